@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import composites  # noqa: F401
+from ledgerloom.plans import (  # noqa: F401
+    composites,
+    ingestion_queries,
+    question_queries,
+    relational_queries,
+    scalar_queries,
+)
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 

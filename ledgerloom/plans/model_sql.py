@@ -96,7 +96,8 @@ def anomalies_sql(
 ) -> str:
     """Anomalies of every day from start to end, by a self-join over positions."""
     label = keys.replace(", ", "+")
-    value = " || ' / ' || ".join(keys.split(", "))
+    shown = [f"CASE {key} WHEN '' THEN 'unknown' ELSE {key} END" for key in keys.split(", ")]
+    value = " || ' / ' || ".join(shown)
     return f"""WITH daily AS (
   SELECT {keys}, usage_date, SUM(total_net_amortized_cost) AS cost FROM summary
   WHERE usage_date BETWEEN DATE '{start}' - {days} AND DATE '{end}' GROUP BY ALL),
