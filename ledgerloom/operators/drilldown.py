@@ -62,15 +62,14 @@ def drill_down(
         top_n,
     )
     # at most top_n rows per breakdown are left: the total may be set beside them
-    total = F.max(F.when(F.col("dimension") == "total", coalesce_zero(F.col("cost")))).over(
-        Window.partitionBy(F.lit(0))
-    )
+    total = F.when(F.col("dimension") == "total", coalesce_zero(F.col("cost")))
+    beside = ranked.withColumn("total", F.max(total).over(Window.partitionBy(F.lit(0))))
     by_type = F.col("dimension") == "usage_type"
-    return ranked.select(
+    return beside.select(
         "dimension",
         "rank",
         F.when(F.col("dimension") != "total", unknown_label(F.col("key"))).alias("key"),
         coalesce_zero(F.col("cost")).alias("cost"),
-        pct_of_total(coalesce_zero(F.col("cost")), total).alias("pct_of_total"),
+        pct_of_total(coalesce_zero(F.col("cost")), F.col("total")).alias("pct_of_total"),
         F.when(by_type, coalesce_zero(F.col("usage_amount"))).alias("usage_amount"),
     )

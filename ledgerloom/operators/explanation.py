@@ -45,16 +45,16 @@ def _wanted_days(requests: DataFrame, before: int, after: int) -> DataFrame:
 def _scoped_costs(rows: DataFrame, wanted: DataFrame, extra: list[str], measure: str) -> DataFrame:
     """Cost per service, day and ``extra``, for all accounts together and for each.
 
-    Only the services and days that some request looks at are added up.
+    Days nobody asks about are dropped during the scan; the list of days is as
+    long as a calendar, so it may be broadcast. What is left is added up before
+    anything is shuffled, so a service with most of the rows sends few.
     """
-    asked = wanted.select("service", "usage_date").distinct()
+    days = wanted.select("usage_date").distinct()
     keys = ["service", "usage_date", *extra]
     return (
         rows.withColumnRenamed("product_code", "service")
-        .join(asked, ["service", "usage_date"], "left_semi")
-        .groupingSets(
-            [keys, [*keys, "usage_account_id"]], *keys, "usage_account_id"
-        )
+        .join(F.broadcast(days), "usage_date", "left_semi")
+        .groupingSets([keys, [*keys, "usage_account_id"]], *keys, "usage_account_id")
         .agg(
             F.sum(measure).alias("cost"),
             F.grouping("usage_account_id").cast("boolean").alias("all_accounts"),
@@ -83,6 +83,8 @@ def explain_costs(
 ) -> DataFrame:
     """One row per request (service, anomaly_date, account_id) whose day has a cost.
 
+    ``requests`` is used more than once: give a stored table, not a long plan.
+
     The baseline is the ``baseline_days`` days before; without any, the anomaly
     day stands in and ``has_baseline`` is false. Costs are rounded here, because
     the difference, the multiple and the elevated days are defined on rounded
@@ -148,6 +150,8 @@ def explain_usage_types(
 ) -> DataFrame:
     """The usage types that changed most for each row of `explain_costs`.
 
+    ``explained`` is used more than once: give a stored table, not a long plan.
+
     Baseline cost is the sum over the baseline days divided by the number of
     baseline days the summary has. Requests whose anomaly day has no line item
     yield nothing.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import anomalies, attribution, comparison, drilldown, explanation, trends
 from ledgerloom.operators import summary as summary_ops
 from ledgerloom.plans.model_sql import anomalies_sql, rounded
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import query, stored
 from ledgerloom.plans.samples import (
     EVENT_DAYS,
     PERIOD_A,
@@ -182,7 +182,10 @@ def scanned(spark, sf, by="product_code"):
 
 
 def requests(spark, sf):
-    """What the scan by product found, and every event product, day and account."""
+    """What the scan by product found, and every event product, day and account.
+
+    Stored, as findings are before anyone asks for their explanation.
+    """
     found = scanned(spark, sf).select(
         F.col("group_value").alias("service"),
         F.col("usage_date").alias("anomaly_date"),
@@ -193,7 +196,7 @@ def requests(spark, sf):
         F.col("usage_date").alias("anomaly_date"),
         F.col("usage_account_id").alias("account_id"),
     )
-    return found.unionByName(accounts.distinct())
+    return stored(found.unionByName(accounts.distinct()))
 
 
 _REQUESTS = f"""requests AS (
@@ -282,7 +285,7 @@ FROM ranked WHERE rank <= 10"""
 
 def usage_type_changes(spark, sf):
     rows = tables.summary_rows(spark, sf, ["product_code", "usage_account_id"])
-    explained = explanation.explain_costs(rows, requests(spark, sf))
+    explained = stored(explanation.explain_costs(rows, requests(spark, sf)))
     detail = tables.line_items(
         spark,
         sf,

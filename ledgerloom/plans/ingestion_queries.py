@@ -361,7 +361,7 @@ WHERE product_code = 'purchase' AND usage_date BETWEEN DATE '2024-01-10' AND DAT
     text=("usage_date",),
 )
 def summary_upsert_range(spark, sf):
-    """The API's purchases of ten days restated at twice their cost."""
+    """Stored API costs, then the purchases of ten days restated at twice their cost."""
     restated = tables.api_cells(spark, sf).filter(
         (F.col("product_code") == "purchase")
         & F.col("usage_date").between(date(2024, 1, 10), date(2024, 1, 20))
@@ -369,10 +369,11 @@ def summary_upsert_range(spark, sf):
     restated = restated.withColumns(
         {c: F.col(c) * 2 for c in restated.columns if c.startswith("total_")}
     )
-    replaced = summary_ops.replace_range(
-        tables.daily_summary(spark, sf), summary_ops.api_summary(restated)
-    )
-    return replaced.select(
+    root = scratch(spark)
+    for incoming in (tables.api_cells(spark, sf), restated):
+        storage.write_summary_range(summary_ops.api_summary(incoming), root)
+    exported = summary_ops.summarize_line_items(tables.line_items(spark, sf))
+    return summary_ops.union_sources(exported, storage.read_summary(spark, root)).select(
         "usage_date",
         "usage_account_id",
         "product_code",

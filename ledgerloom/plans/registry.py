@@ -60,3 +60,10 @@ def scratch(spark: SparkSession) -> str:
     if shared:
         return f"{shared.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="ledgerloom-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to scratch and read back: computed once, and of known size."""
+    path = f"{scratch(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

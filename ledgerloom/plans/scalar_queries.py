@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from ledgerloom import checks
 from ledgerloom.fixed_values import SENSITIVITY
 from ledgerloom.functions import amounts, dates, labels, robust
 from ledgerloom.operators import adhoc, anomalies, comparison
+from ledgerloom.plans.composites import scanned
 from ledgerloom.plans.model_sql import anomalies_sql, rounded
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.samples import EVENT_DAYS, PERIOD_A, PERIOD_B, REFERENCE, WHOLE, api_pages
+from ledgerloom.plans.samples import PERIOD_A, PERIOD_B, WHOLE, api_pages
 from ledgerloom.sources import sample_tables as tables
 
 def _day():
@@ -373,9 +372,9 @@ def json_safe(spark, sf):
 
 
 @query(
-    """SELECT CASE event_type WHEN 'purchase' THEN 'AmazonS3' WHEN 'signup' THEN 'awskms'
-            ELSE event_type END AS product_code, SUM(value) IS NOT NULL AS known
-FROM events GROUP BY 1"""
+    """SELECT CASE product_code WHEN 'purchase' THEN 'AmazonS3' WHEN 'signup' THEN 'awskms'
+            ELSE product_code END AS product_code, SUM(cost) AS cost
+FROM api_rows GROUP BY 1"""
 )
 def map_lookup(spark, sf):
     kind = F.col("product_code")
@@ -387,7 +386,7 @@ def map_lookup(spark, sf):
     return (
         tables.api_rows(spark, sf)
         .groupBy(labels.service_code(name).alias("product_code"))
-        .agg(F.sum("total_net_amortized_cost").isNotNull().alias("known"))
+        .agg(F.sum("total_net_amortized_cost").alias("cost"))
     )
 
 
@@ -415,10 +414,9 @@ def nested_access(spark, sf):
 @query(
     f"""SELECT group_value, kind, z_score,
        CASE WHEN kind = 'trend' THEN z_score * 100 END AS drift_pct
-FROM ({anomalies_sql("product_code", str(REFERENCE), str(REFERENCE), EVENT_DAYS)})"""
+FROM ({anomalies_sql("product_code", str(WHOLE[0]), str(WHOLE[1]))})"""
 )
 def drift_pct(spark, sf):
-    """The share of drift in percent beside each anomaly of the events."""
-    rows = tables.summary_rows(spark, sf, ["product_code"], date(2024, 1, 1), REFERENCE)
-    found = anomalies.detect_anomalies(rows, reference_date=REFERENCE, days=EVENT_DAYS)
+    """The drift in percent beside each anomaly by product."""
+    found = scanned(spark, sf)
     return anomalies.with_drift_pct(found).select("group_value", "kind", "z_score", "drift_pct")

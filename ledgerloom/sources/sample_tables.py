@@ -47,20 +47,6 @@ def _grid(amount: Column) -> Column:
     return F.floor(amount * 64 + 0.5) / 64
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s_suppkey, n_name, r_name) of every supplier."""
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(
-            table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left"
-        )
-        .join(
-            table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-        )
-        .select("s_suppkey", "n_name", "r_name")
-    )
-
-
 def line_items(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -76,8 +62,15 @@ def line_items(
             table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left"
         )
     if FROM_PLACE & set(names):
+        # one after the other: each join is then planned by the size of its own table
+        rows = rows.join(
+            table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left"
+        ).join(
+            table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left"
+        )
+    if "region" in names:
         rows = rows.join(
-            places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"), "left"
+            table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
         )
     start = F.col("l_shipdate")
     price, refund = F.col("l_extendedprice"), F.col("l_returnflag") == "R"
