@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
@@ -16,20 +16,19 @@ def to_day(timestamp: Column) -> Column:
     return F.to_date(timestamp)
 
 
-def days_between(column: Column, start: date, end: date) -> Column:
+def days_between(column: str, start: date, end: date) -> Column:
     """Inclusive range over a date column."""
-    return column.between(F.lit(start), F.lit(end))
+    return F.expr(f"{column} BETWEEN DATE'{start}' AND DATE'{end}'")
 
 
-def instants_between(column: Column, start: date, end: date) -> Column:
+def instants_between(column: str, start: date, end: date) -> Column:
     """Inclusive day range over a timestamp column.
 
     The same rows as comparing the date part, but the column stays bare, so the
     predicate reaches the Parquet reader and row groups are skipped by statistics.
     """
-    low = F.lit(datetime.combine(start, time.min)).cast("timestamp_ntz")
-    high = F.lit(datetime.combine(end + timedelta(days=1), time.min)).cast("timestamp_ntz")
-    return (column >= low) & (column < high)
+    after = end + timedelta(days=1)
+    return F.expr(f"{column} >= TIMESTAMP_NTZ'{start}' AND {column} < TIMESTAMP_NTZ'{after}'")
 
 
 def trunc_period(day: Column, unit: str) -> Column:

@@ -1,15 +1,13 @@
-"""Robust statistics over an array column, as expressions.
+"""Robust statistics over an array column, as SQL expressions.
 
-Medians are the mean of the two middle values when the count is even. Each
-builder binds its intermediate arrays once, so a sort is never evaluated twice.
+Arguments and results are expression text, so that a whole kernel is handed to
+Spark in one piece. Medians are the mean of the two middle values when the count
+is even. Each builder binds its intermediate arrays once, so a sort is never
+evaluated twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, functions as F
-
 from ledgerloom.fixed_values import (
     DRIFT_SEVERITY,
     FLAT_MAD,
@@ -19,80 +17,62 @@ from ledgerloom.fixed_values import (
 )
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def median_of(values: Column) -> Column:
-    """Median of a non-empty array of doubles; NULL for an empty one."""
-
-    def middle(ordered: Column) -> Column:
-        size = F.size(ordered)
-        low = F.get(ordered, F.shiftright(size - 1, 1))
-        return (low + F.get(ordered, F.shiftright(size, 1))) / 2
-
-    return _bind(F.sort_array(values), middle)
+def median_of(values: str) -> str:
+    """Median of an array of doubles; NULL for an empty one."""
+    return (
+        f"get(transform(array(sort_array({values})), sorted -> "
+        "(get(sorted, shiftright(size(sorted) - 1, 1)) + get(sorted, shiftright(size(sorted), 1)))"
+        " / 2), 0)"
+    )
 
 
-def mad_of(values: Column, median: Column) -> Column:
+def mad_of(values: str, median: str) -> str:
     """Median of the absolute deviations from ``median``, unscaled."""
-    return median_of(F.transform(values, lambda v: F.abs(v - median)))
+    return median_of(f"transform({values}, v -> abs(v - {median}))")
 
 
-def theil_sen(values: Column) -> Column:
+def theil_sen(values: str) -> str:
     """Median slope over all pairs of positions; NULL below two values.
 
     Positions are ordinal: a missing day is not a gap of two.
     """
-
-    def slopes(cost: Column) -> Column:
-        last = F.size(cost) - 1
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), last - 1),
-                lambda i: F.transform(
-                    F.sequence(i + 1, last),
-                    lambda j: (F.get(cost, j) - F.get(cost, i)) / (j - i),
-                ),
-            )
-        )
-
-    return F.when(F.size(values) >= 2, median_of(_bind(values, slopes)))
+    slopes = (
+        f"flatten(transform(sequence(0, size({values}) - 2), i -> "
+        f"transform(sequence(i + 1, size({values}) - 1), j -> "
+        f"(get({values}, j) - get({values}, i)) / (j - i))))"
+    )
+    return f"CASE WHEN size({values}) >= 2 THEN {median_of(slopes)} END"
 
 
-def robust_z(value: Column, median: Column, mad: Column, min_change: float) -> Column:
+def robust_z(value: str, median: str, mad: str, min_change: float) -> str:
     """Modified z-score; a jump off a flat baseline scores a fixed +-10."""
-    off_flat = F.when(
-        F.abs(value - median) > min_change,
-        F.when(value > median, F.lit(FLAT_Z)).otherwise(F.lit(-FLAT_Z)),
-    ).otherwise(F.lit(0.0))
-    return F.when(mad < FLAT_MAD, off_flat).otherwise(
-        F.lit(Z_FACTOR) * (value - median) / mad
+    return (
+        f"CASE WHEN {mad} >= {FLAT_MAD!r} THEN {Z_FACTOR}D * ({value} - {median}) / {mad} "
+        f"WHEN NOT abs({value} - {median}) > {float(min_change)!r}D THEN 0D "
+        f"WHEN {value} > {median} THEN {FLAT_Z}D ELSE -{FLAT_Z}D END"
     )
 
 
-def _severity(score: Column, bounds: tuple[float, float]) -> Column:
+def _severity(score: str, bounds: tuple[float, float]) -> str:
     critical, warning = bounds
     return (
-        F.when(F.abs(score) > critical, F.lit("critical"))
-        .when(F.abs(score) > warning, F.lit("warning"))
-        .otherwise(F.lit("info"))
+        f"CASE WHEN abs({score}) > {critical}D THEN 'critical' "
+        f"WHEN abs({score}) > {warning}D THEN 'warning' ELSE 'info' END"
     )
 
 
-def point_severity(z: Column) -> Column:
+def point_severity(z: str) -> str:
     return _severity(z, POINT_SEVERITY)
 
 
-def drift_severity(drift: Column) -> Column:
+def drift_severity(drift: str) -> str:
     return _severity(drift, DRIFT_SEVERITY)
 
 
-def direction(score: Column, up: str, down: str) -> Column:
-    return F.when(score > 0, F.lit(up)).otherwise(F.lit(down))
+def direction(score: str, up: str, down: str) -> str:
+    return f"CASE WHEN {score} > 0 THEN '{up}' ELSE '{down}' END"
 
 
-def severity_rank(severity: Column) -> Column:
+def severity_rank(severity: str) -> str:
     """0 for critical, 1 for warning, 2 for info."""
-    return F.when(severity == "critical", 0).when(severity == "warning", 1).otherwise(2)
+    return f"CASE {severity} WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"

@@ -48,53 +48,47 @@ def score_windows(
     """
     kept = [c for c in windows.columns if c != "points"]
     threshold = sensitivity_threshold(sensitivity)
-    current, median, mad = F.col("current_cost"), F.col("median_cost"), F.col("mad")
-    days = F.size("costs")
+    least = f"{float(min_daily_cost)!r}D"
+    drift = (
+        f"CASE WHEN size(costs) >= {MIN_DRIFT_DAYS} AND median_cost > {least} "
+        f"THEN {robust.theil_sen('costs')} * size(costs) / median_cost END"
+    )
     judged = (
-        windows.filter(F.size("points") >= MIN_POINT_DAYS)
-        .select(
+        windows.filter(
+            f"size(points) >= {MIN_POINT_DAYS} AND element_at(points, -1).cost >= {least}"
+        )
+        .selectExpr(
             *kept,
-            F.col("points.cost").alias("costs"),
-            F.element_at("points", -1)["usage_date"].alias("usage_date"),
-            F.element_at("points", -1)["cost"].alias("current_cost"),
+            "element_at(points, -1).usage_date AS usage_date",
+            "element_at(points, -1).cost AS current_cost",
+            "points.cost AS costs",
+            "slice(points.cost, 1, size(points) - 1) AS baseline",
         )
-        .filter(current >= min_daily_cost)
-        .withColumn("baseline", F.slice("costs", F.lit(1), days - 1))
-        .withColumn("median_cost", robust.median_of(F.col("baseline")))
-        .withColumn("mad", robust.mad_of(F.col("baseline"), median))
-        .withColumn("z", robust.robust_z(current, median, mad, min_daily_cost))
-        .withColumn(
-            "drift",
-            F.when(
-                (days >= MIN_DRIFT_DAYS) & (median > min_daily_cost),
-                robust.theil_sen(F.col("costs")) * days / median,
-            ),
+        .selectExpr("*", f"{robust.median_of('baseline')} AS median_cost")
+        .selectExpr("*", f"{robust.mad_of('baseline', 'median_cost')} AS mad")
+        .selectExpr(
+            "*",
+            f"{robust.robust_z('current_cost', 'median_cost', 'mad', min_daily_cost)} AS z",
+            f"{drift} AS drift",
         )
     )
-
-    def finding(score: Column, severity: Column, up: str, down: str, kind: str) -> Column:
-        return F.struct(
-            score.alias("z_score"),
-            severity.alias("severity"),
-            robust.direction(score, up, down).alias("direction"),
-            F.lit(kind).alias("kind"),
-        )
-
-    z, drift = F.col("z"), F.col("drift")
-    findings = F.array_compact(
-        F.array(
-            F.when(
-                F.abs(z) >= threshold,
-                finding(z, robust.point_severity(z), "spike", "drop", "point"),
-            ),
-            F.when(
-                F.abs(drift) >= drift_threshold,
-                finding(drift, robust.drift_severity(drift), "drift_up", "drift_down", "trend"),
-            ),
-        )
+    point = (
+        f"CASE WHEN abs(z) >= {threshold}D THEN struct(z AS z_score, "
+        f"{robust.point_severity('z')} AS severity, "
+        f"{robust.direction('z', 'spike', 'drop')} AS direction, 'point' AS kind) END"
     )
-    return judged.select(
-        *kept, "usage_date", "current_cost", "median_cost", "mad", F.inline(findings)
+    trend = (
+        f"CASE WHEN abs(drift) >= {float(drift_threshold)!r}D THEN struct(drift AS z_score, "
+        f"{robust.drift_severity('drift')} AS severity, "
+        f"{robust.direction('drift', 'drift_up', 'drift_down')} AS direction, 'trend' AS kind) END"
+    )
+    return judged.selectExpr(
+        *kept,
+        "usage_date",
+        "current_cost",
+        "median_cost",
+        "mad",
+        f"inline(array_compact(array({point}, {trend})))",
     )
 
 
@@ -230,7 +224,7 @@ def days_scanned(scan_start: date, scan_end: date) -> int:
 def by_severity(anomalies: DataFrame) -> DataFrame:
     """Critical first, then warning, then info; the strongest first within each."""
     return anomalies.orderBy(
-        robust.severity_rank(F.col("severity")),
+        F.expr(robust.severity_rank("severity")),
         F.abs("z_score").desc(),
         "group_value",
         "kind",

@@ -48,8 +48,8 @@ def detail_period_costs(
     ordered_range(*period_a, what="period_a")
     ordered_range(*period_b, what="period_b")
     chosen = dimensions(by, ATTRIBUTION_DIMENSIONS)
-    start = F.col("usage_start_date")
-    in_a, in_b = instants_between(start, *period_a), instants_between(start, *period_b)
+    in_a = instants_between("usage_start_date", *period_a)
+    in_b = instants_between("usage_start_date", *period_b)
     rows = _service_rows(line_items, service, account_id, exclude_types).filter(in_a | in_b)
     if strict:
         require_rows(rows, f"no line items for {service} in either period")

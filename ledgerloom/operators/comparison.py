@@ -35,12 +35,11 @@ def period_costs(
     ordered_range(*period_b, what="period_b")
     (key,) = dimensions(group_by)
     rows = from_source(summary, data_source).withColumnRenamed(key, "group_value")
-    day = F.col("usage_date")
     return two_sided_costs(
         rows,
         ["group_value"],
-        days_between(day, *period_a),
-        days_between(day, *period_b),
+        days_between("usage_date", *period_a),
+        days_between("usage_date", *period_b),
         F.col(measure),
         null_safe=null_safe,
     )

@@ -13,7 +13,7 @@ from ledgerloom.functions.dates import days_between, instants_between, utc_today
 
 def in_range(summary: DataFrame, start: date, end: date) -> DataFrame:
     """Usage dates from start to end, both inclusive."""
-    return summary.filter(days_between(F.col("usage_date"), start, end))
+    return summary.filter(days_between("usage_date", start, end))
 
 
 def since(
@@ -50,7 +50,7 @@ def usage_only(line_items: DataFrame) -> DataFrame:
 
 def in_usage_days(line_items: DataFrame, start: date, end: date) -> DataFrame:
     """Line items whose usage starts on a day from start to end."""
-    return line_items.filter(instants_between(F.col("usage_start_date"), start, end))
+    return line_items.filter(instants_between("usage_start_date", start, end))
 
 
 def with_resource(line_items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans.model_sql import with_model
 
@@ -40,15 +40,13 @@ def query(sql: str | None = None, *, text: tuple[str, ...] = ()) -> Callable[[Qu
 def reported(df: DataFrame) -> DataFrame:
     """Dates and timestamps as ISO text, integers as BIGINT; order is kept."""
 
-    def shown(field: T.StructField):
-        column = F.col(field.name)
-        if isinstance(field.dataType, (T.DateType, T.TimestampNTZType)):
-            return column.cast("string").alias(field.name)
-        if isinstance(field.dataType, (T.IntegerType, T.ShortType)):
-            return column.cast("bigint").alias(field.name)
-        return column
-
-    return df.select(*[shown(field) for field in df.schema])
+    kinds = {"date": "STRING", "timestamp_ntz": "STRING", "int": "BIGINT"}
+    return df.selectExpr(
+        *[
+            f"CAST(`{name}` AS {kinds[kind]}) AS `{name}`" if kind in kinds else f"`{name}`"
+            for name, kind in df.dtypes
+        ]
+    )
 
 
 def scratch(spark: SparkSession) -> str:

@@ -301,8 +301,8 @@ SELECT product_code, month, median_cost, {median_of("d")} AS mad FROM spread""",
     text=("month",),
 )
 def agg_mad(spark, sf):
-    centred = _monthly(spark, sf).withColumn("median_cost", robust.median_of(F.col("costs")))
-    mad = robust.mad_of(F.col("costs"), F.col("median_cost"))
+    centred = _monthly(spark, sf).withColumn("median_cost", F.expr(robust.median_of("costs")))
+    mad = F.expr(robust.mad_of("costs", "median_cost"))
     return centred.select("product_code", "month", "median_cost", mad.alias("mad"))
 
 
@@ -320,7 +320,7 @@ SELECT product_code, month, {median_of("s")} AS slope FROM slopes""",
     text=("month",),
 )
 def agg_theil_sen(spark, sf):
-    slope = robust.theil_sen(F.col("costs"))
+    slope = F.expr(robust.theil_sen("costs"))
     return _monthly(spark, sf).select("product_code", "month", slope.alias("slope"))
 
 

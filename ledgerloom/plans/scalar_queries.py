@@ -212,7 +212,7 @@ def _day_scores(spark, sf):
     scored = centred.join(
         centred.groupBy("product_code").agg(F.median(deviation).alias("mad")), "product_code"
     )
-    z = robust.robust_z(F.col("cost"), F.col("m"), F.col("mad"), 1.0)
+    z = F.expr(robust.robust_z("cost", "m", "mad", 1.0))
     return scored.select("product_code", "usage_date", z.alias("z"))
 
 
@@ -227,7 +227,7 @@ SELECT CASE WHEN abs(z) > 4 THEN 'critical' WHEN abs(z) > 3 THEN 'warning' ELSE
          AS severity, COUNT(*) AS days FROM z GROUP BY 1"""
 )
 def severity_point(spark, sf):
-    severity = robust.point_severity(F.col("z"))
+    severity = F.expr(robust.point_severity("z"))
     return _day_scores(spark, sf).groupBy(severity.alias("severity")).agg(F.count("*").alias("days"))
 
 
@@ -237,7 +237,7 @@ SELECT CASE WHEN abs(z) > 1.0 THEN 'critical' WHEN abs(z) > 0.5 THEN 'warning' E
          AS severity, COUNT(*) AS days FROM z GROUP BY 1"""
 )
 def severity_drift(spark, sf):
-    severity = robust.drift_severity(F.col("z"))
+    severity = F.expr(robust.drift_severity("z"))
     return _day_scores(spark, sf).groupBy(severity.alias("severity")).agg(F.count("*").alias("days"))
 
 
@@ -248,12 +248,11 @@ SELECT CASE WHEN z > 0 THEN 'spike' ELSE 'drop' END AS point,
 FROM z GROUP BY 1, 2"""
 )
 def direction(spark, sf):
-    z = F.col("z")
     return (
         _day_scores(spark, sf)
         .groupBy(
-            robust.direction(z, "spike", "drop").alias("point"),
-            robust.direction(z, "drift_up", "drift_down").alias("drift"),
+            F.expr(robust.direction("z", "spike", "drop")).alias("point"),
+            F.expr(robust.direction("z", "drift_up", "drift_down")).alias("drift"),
         )
         .agg(F.count("*").alias("days"))
     )

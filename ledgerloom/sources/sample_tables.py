@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.fixed_values import API_SOURCE, EXPORT_SOURCE
-from ledgerloom.functions.dates import instants_between, month_start, to_day
+from ledgerloom.functions.dates import instants_between
 from ledgerloom.model import LINE_ITEMS
 from ledgerloom.operators.filters import in_usage_days, usage_only
 from ledgerloom.operators.summary import api_summary, summarize_line_items, union_sources
@@ -36,6 +36,7 @@ SCHEMAS = {
 }
 FROM_PART = {"product_code", "product_name", "usage_type"}
 FROM_PLACE = {"usage_account_id", "region"}
+API_COSTS = ("total_unblended_cost", "total_blended_cost", "total_net_amortized_cost")
 DIMENSIONS = ("usage_account_id", "product_code", "region")
 
 
@@ -43,8 +44,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _grid(amount: Column) -> Column:
-    return F.floor(amount * 64 + 0.5) / 64
+def grid(amount: str) -> str:
+    return f"FLOOR(({amount}) * 64 + 0.5D) / 64"
+
+
+_MONTH = "TRUNC(CAST(l_shipdate AS DATE), 'month')"
+_LINE_ITEM = {
+    "line_item_id": "CONCAT_WS('-', l_orderkey, l_linenumber)",
+    "usage_start_date": "l_shipdate",
+    "usage_end_date": "l_shipdate + INTERVAL 1 DAY",
+    "billing_period_start": _MONTH,
+    "billing_period_end": f"ADD_MONTHS({_MONTH}, 1)",
+    "payer_account_id": "'999999999999'",
+    "usage_account_id": "n_name",
+    "product_code": "p_type",
+    "product_name": "p_type",
+    "region": "r_name",
+    "availability_zone": "CAST(NULL AS STRING)",
+    "usage_type": "p_brand",
+    "operation": "l_linestatus",
+    # a refund belongs to no resource
+    "resource_id": "CASE WHEN l_returnflag <> 'R' THEN CONCAT('part-', l_partkey) END",
+    "line_item_type": "CASE WHEN l_returnflag = 'R' THEN 'Refund' ELSE 'Usage' END",
+    "unblended_cost": grid("l_extendedprice"),
+    "blended_cost": grid("l_extendedprice * (1 - l_discount)"),
+    "net_unblended_cost": grid("l_extendedprice * (1 - l_discount) * (1 + l_tax)"),
+    "usage_amount": "l_quantity",
+    "currency_code": "'USD'",
+    "line_item_description": "CAST(NULL AS STRING)",
+    "billing_entity": "CASE WHEN l_linestatus = 'F' THEN 'AWS Marketplace' ELSE 'AWS' END",
+    "_ingested_at": "CAST(NULL AS TIMESTAMP_NTZ)",
+    "_source_file": "'lineitem.parquet'",
+}
 
 
 def line_items(
@@ -72,40 +103,7 @@ def line_items(
         rows = rows.join(
             table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
         )
-    start = F.col("l_shipdate")
-    price, refund = F.col("l_extendedprice"), F.col("l_returnflag") == "R"
-    discounted = price * (1 - F.col("l_discount"))
-    none = F.lit(None).cast("string")
-    derived = {
-        "line_item_id": lambda: F.concat_ws("-", "l_orderkey", "l_linenumber"),
-        "usage_start_date": lambda: start,
-        "usage_end_date": lambda: start + F.expr("INTERVAL 1 DAY"),
-        "billing_period_start": lambda: month_start(to_day(start)),
-        "billing_period_end": lambda: F.add_months(month_start(to_day(start)), 1),
-        "payer_account_id": lambda: F.lit("999999999999"),
-        "usage_account_id": lambda: F.col("n_name"),
-        "product_code": lambda: F.col("p_type"),
-        "product_name": lambda: F.col("p_type"),
-        "region": lambda: F.col("r_name"),
-        "availability_zone": lambda: none,
-        "usage_type": lambda: F.col("p_brand"),
-        "operation": lambda: F.col("l_linestatus"),
-        # a refund belongs to no resource
-        "resource_id": lambda: F.when(~refund, F.concat(F.lit("part-"), "l_partkey")),
-        "line_item_type": lambda: F.when(refund, "Refund").otherwise("Usage"),
-        "unblended_cost": lambda: _grid(price),
-        "blended_cost": lambda: _grid(discounted),
-        "net_unblended_cost": lambda: _grid(discounted * (1 + F.col("l_tax"))),
-        "usage_amount": lambda: F.col("l_quantity"),
-        "currency_code": lambda: F.lit("USD"),
-        "line_item_description": lambda: none,
-        "billing_entity": lambda: F.when(
-            F.col("l_linestatus") == "F", "AWS Marketplace"
-        ).otherwise("AWS"),
-        "_ingested_at": lambda: F.lit(None).cast("timestamp_ntz"),
-        "_source_file": lambda: F.lit("lineitem.parquet"),
-    }
-    return rows.select(*[derived[name]().alias(name) for name in names])
+    return rows.selectExpr(*[f"{_LINE_ITEM[name]} AS {name}" for name in names])
 
 
 def api_rows(
@@ -114,15 +112,12 @@ def api_rows(
     """``events`` as costs per day, account and product, not yet added up."""
     events = table(spark, sf_dir, "events")
     if start and end:
-        events = events.filter(instants_between(F.col("ts"), start, end))
-    cost = _grid(F.col("value"))
-    return events.select(
-        to_day(F.col("ts")).alias("usage_date"),
-        (F.col("user_id") % 5).cast("string").alias("usage_account_id"),
-        F.col("event_type").alias("product_code"),
-        cost.alias("total_unblended_cost"),
-        cost.alias("total_blended_cost"),
-        cost.alias("total_net_amortized_cost"),
+        events = events.filter(instants_between("ts", start, end))
+    return events.selectExpr(
+        "CAST(ts AS DATE) AS usage_date",
+        "CAST(user_id % 5 AS STRING) AS usage_account_id",
+        "event_type AS product_code",
+        *[f"{grid('value')} AS {cost}" for cost in API_COSTS],
     )
 
 
@@ -131,16 +126,7 @@ def api_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         api_rows(spark, sf_dir)
         .groupBy("usage_date", "usage_account_id", "product_code")
-        .agg(
-            *[
-                F.sum(c).alias(c)
-                for c in (
-                    "total_unblended_cost",
-                    "total_blended_cost",
-                    "total_net_amortized_cost",
-                )
-            ]
-        )
+        .agg(*[F.sum(cost).alias(cost) for cost in API_COSTS])
     )
 
 
@@ -173,14 +159,14 @@ def summary_rows(
     if start and end:
         detail = in_usage_days(detail, start, end)
     kept = ["usage_date", *by, "total_unblended_cost", "total_net_amortized_cost", "data_source"]
-    exported = detail.select(
-        to_day(F.col("usage_start_date")).alias("usage_date"),
+    exported = detail.selectExpr(
+        "CAST(usage_start_date AS DATE) AS usage_date",
         *by,
-        F.col("unblended_cost").alias("total_unblended_cost"),
-        F.col("net_unblended_cost").alias("total_net_amortized_cost"),
-        F.lit(EXPORT_SOURCE).alias("data_source"),
+        "unblended_cost AS total_unblended_cost",
+        "net_unblended_cost AS total_net_amortized_cost",
+        f"'{EXPORT_SOURCE}' AS data_source",
     )
-    fetched = api_rows(spark, sf_dir, start, end).withColumns(
-        {"region": F.lit(""), "data_source": F.lit(API_SOURCE)}
+    fetched = api_rows(spark, sf_dir, start, end).selectExpr(
+        "*", "'' AS region", f"'{API_SOURCE}' AS data_source"
     )
     return exported.select(*kept).unionByName(fetched.select(*kept))
