@@ -12,6 +12,11 @@ def utc_today() -> date:
     return datetime.now(timezone.utc).date()
 
 
+def instant(moment: datetime) -> Column:
+    """A zone-less timestamp literal, whatever the session zone is."""
+    return F.expr(f"TIMESTAMP_NTZ'{moment.replace(tzinfo=None)}'")
+
+
 def to_day(timestamp: Column) -> Column:
     return F.to_date(timestamp)
 

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.checks import month_period
-from ledgerloom.functions.dates import period_start
+from ledgerloom.functions.dates import instant, period_start
 from ledgerloom.operators.summary import summarize_line_items
 from ledgerloom.sources import tables
 from ledgerloom.sources.billing_files import check_exports, read_footers, scan_exports
@@ -77,7 +77,6 @@ def log_entries(
     line_items: DataFrame, files: DataFrame, ingested_at: datetime | None = None
 ) -> DataFrame:
     """Log rows of ``files`` (billing_period, assembly_id, s3_key) with their row counts."""
-    now = (ingested_at or datetime.now(timezone.utc)).replace(tzinfo=None)
     counts = line_items.groupBy(F.col("_source_file").alias("s3_key")).agg(
         F.count("*").alias("rows_loaded")
     )
@@ -86,7 +85,7 @@ def log_entries(
         "billing_period",
         "s3_key",
         F.coalesce("rows_loaded", F.lit(0)).cast("long").alias("rows_loaded"),
-        F.lit(now).cast("timestamp_ntz").alias("ingested_at"),
+        instant(ingested_at or datetime.now(timezone.utc)).alias("ingested_at"),
     )
 
 

@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.functions.dates import instant
+
 ALARM_LIMIT = 50
 
 
@@ -14,10 +16,11 @@ def metric_hourly(
 ) -> DataFrame:
     """(hour, maximum, average) of a metric over the last hours before ``end``, at least one."""
     start = end - timedelta(hours=max(hours, 1))
-    recent = metrics.filter((F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
-                            & (F.col(ts) < F.lit(end).cast("timestamp_ntz")))
-    return recent.groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour")).agg(
-        F.max(value).alias("maximum"), F.avg(value).alias("average")
+    recent = metrics.filter((F.col(ts) >= instant(start)) & (F.col(ts) < instant(end)))
+    return (
+        recent.groupBy(F.window(ts, "1 hour").alias("hour"))
+        .agg(F.max(value).alias("maximum"), F.avg(value).alias("average"))
+        .withColumn("hour", F.col("hour.start"))
     )
 
 
