@@ -58,5 +58,5 @@ def with_resource(line_items: DataFrame) -> DataFrame:
 
 
 def in_top(df: DataFrame, top: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ``top``, which a limit must have bounded."""
-    return df.join(F.broadcast(top.select(key)), key, "left_semi")
+    """Rows whose key is among ``top``. A limit tells Spark its size, so it is broadcast."""
+    return df.join(top.select(key), key, "left_semi")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -111,11 +111,13 @@ def ingest_exports(
     """Bring the tables up to date with the exports below ``export_root``.
 
     Bad manifests and files are reported and left out. All accepted files of all
-    periods are loaded by one write. The driver handles one row of metadata per
-    file. Order of effects: clear replaced periods (line items and log), append
-    line items, append the log, rebuild the summary. A run that broke off before
-    the log was written leaves rows no log entry accounts for; the next run
-    finds them and reloads their period.
+    periods are loaded by one write, and only the days whose line items came or
+    went are summarized again. The driver handles one short row per file.
+
+    The log is written last and is what makes a file count as loaded. A run that
+    broke off leaves line items no log entry accounts for, and notes of the days
+    it touched; the next run finds both, reloads those periods and summarizes
+    those days.
     """
     root = export_root.rstrip("/")
     parsed = parse_manifests(latest_manifests(read_manifest_files(spark, root)))
@@ -128,44 +130,76 @@ def ingest_exports(
     plan = ingest_plan(report_keys(parsed), log, month=month, full_refresh=full_refresh).collect()
 
     todo = [row for row in plan if row["action"] != "skip"]
-    report.skipped = sorted(row["s3_key"] for row in plan if row["action"] == "skip")
     clear = {row["billing_period"] for row in todo if row["action"] == "replace"}
     clear |= _unlogged_periods(spark, table_root, log, {r["billing_period"] for r in todo} - clear)
     todo = [row for row in plan if row["billing_period"] in clear or row["action"] == "load"]
+    report.skipped = sorted({row["s3_key"] for row in plan} - {row["s3_key"] for row in todo})
 
     accepted, files = [], []
     paths = [f"{root}/{row['s3_key']}" for row in todo]
-    checked = check_exports(read_footers(spark, paths)) if paths else []
-    found = {path: (signature, error) for path, signature, error in checked}
+    checked = check_exports(read_footers(spark, paths)) if paths else {}
     for row, path in zip(todo, paths):
-        signature, error = found[path]
+        signature, error = checked[path]
         if error:
             report.errors.append((row["s3_key"], error))
         else:
             accepted.append((path, signature))
             files.append((row["billing_period"], row["assembly_id"], row["s3_key"]))
-
     if report.errors and not files:
         raise ValueError(f"nothing could be loaded: {report.errors}")
-    # a period of which no new file is usable keeps what it has
-    _clear_periods(spark, table_root, clear & {period for period, _, _ in files})
+
+    touched = tables.read_pending(spark, table_root)
     if files:
+        report.periods = sorted({period for period, _, _ in files})
+        # a period of which no new file is usable keeps what it has
+        replaced = sorted(clear & set(report.periods))
+        gone = _touched_days(_of_periods(tables.read_line_items(spark, table_root), replaced))
+        tables.note_pending(spark, table_root, gone + _first_days(report.periods))
+        _clear_periods(spark, table_root, replaced)
         listed = spark.createDataFrame(
             files, "billing_period string, assembly_id string, s3_key string"
         )
         rows = _with_period(scan_exports(spark, accepted, root), listed)
         tables.append_line_items(rows, table_root)
-        report.periods = sorted({period for period, _, _ in files})
         loaded = _of_periods(tables.read_line_items(spark, table_root), report.periods)
+        touched += gone + _touched_days(loaded)
+    if touched:
+        _summarize_days(spark, table_root, touched)
+    if files:
         tables.append_log(log_entries(loaded, listed), table_root)
         logged = tables.read_log(spark, table_root).join(listed, listed.columns, "left_semi")
         report.rows_loaded = logged.agg(F.sum("rows_loaded")).first()[0]
-    report.summary_rows = tables.write_rebuilt_summary(
-        summarize_line_items(tables.read_line_items(spark, table_root)), table_root
-    )
+    tables.clear_pending(spark, table_root)
+    report.summary_rows = tables.count_summary(spark, table_root)
     return report
 
 
+def _touched_days(line_items: DataFrame) -> list[date | None]:
+    """First and last usage day among line items; None if some have no usage day."""
+    day = F.to_date("usage_start_date")
+    row = line_items.agg(
+        F.min(day).alias("first"),
+        F.max(day).alias("last"),
+        F.count_if(day.isNull()).alias("without"),
+    ).first()
+    bounds = [] if row["first"] is None else [row["first"], row["last"]]
+    return bounds + ([None] if row["without"] else [])
+
+
+def _summarize_days(spark: SparkSession, table_root: str, days: list[date | None]) -> None:
+    """Bring the summary of the days between those given up to date.
+
+    A NULL stands for line items without a usage day, which no range of days
+    finds: then the whole summary is rebuilt.
+    """
+    rows = tables.read_line_items(spark, table_root)
+    if None in days:
+        tables.write_rebuilt_summary(summarize_line_items(rows), table_root)
+    else:
+        start, end = min(days), max(days)
+        tables.write_rebuilt_days(summarize_line_items(rows, start, end), table_root, start, end)
+
+
 def _with_period(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Line items whose missing period start is taken from the manifest of their file."""
     periods = files.select(
@@ -177,9 +211,12 @@ def _with_period(rows: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def _first_days(periods) -> list[date]:
+    return [datetime.strptime(period[:8], "%Y%m%d").date() for period in periods]
+
+
 def _of_periods(line_items: DataFrame, periods) -> DataFrame:
-    starts = [datetime.strptime(p[:8], "%Y%m%d").date() for p in periods]
-    return line_items.filter(F.col("billing_period_start").isin(starts))
+    return line_items.filter(F.col("billing_period_start").isin(_first_days(periods)))
 
 
 def _unlogged_periods(
@@ -198,13 +235,9 @@ def _unlogged_periods(
     return {period for period in periods if period[:8] in left}
 
 
-def _clear_periods(spark: SparkSession, table_root: str, periods: set[str]) -> None:
-    tables.drop_partitions(
-        spark, f"{table_root}/{tables.LOG_TABLE}", "billing_period", sorted(periods)
-    )
+def _clear_periods(spark: SparkSession, table_root: str, periods: list[str]) -> None:
+    log, line_items = tables.LOG_TABLE, tables.LINE_ITEM_TABLE
+    tables.drop_partitions(spark, f"{table_root}/{log}", "billing_period", periods)
     tables.drop_partitions(
-        spark,
-        f"{table_root}/{tables.LINE_ITEM_TABLE}",
-        "billing_period_start",
-        [datetime.strptime(p[:8], "%Y%m%d").date() for p in sorted(periods)],
+        spark, f"{table_root}/{line_items}", "billing_period_start", _first_days(periods)
     )

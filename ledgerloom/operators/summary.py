@@ -85,7 +85,7 @@ def replace_range(
         F.max("usage_date").alias("last_date"),
     )
     kept = summary.alias("s").join(
-        F.broadcast(bounds).alias("b"),
+        bounds.alias("b"),
         (F.col("s.data_source") == F.col("b.data_source"))
         & (F.col("s.usage_date") >= F.col("b.first_date"))
         & (F.col("s.usage_date") <= F.col("b.last_date")),
@@ -100,4 +100,4 @@ def preferred_source(summary: DataFrame) -> DataFrame:
     sources = summary.agg(
         F.when(from_api, API_SOURCE).otherwise(EXPORT_SOURCE).alias("data_source")
     )
-    return summary.join(F.broadcast(sources), "data_source", "left_semi")
+    return summary.join(sources, "data_source", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ledgerloom.fixed_values import EXPORT_COLUMNS, MANDATORY_COLUMNS
 from ledgerloom.model import LINE_ITEMS
 
-FOOTERS = "path string, columns array<string>, signature string, error string"
+FOOTERS = "path string, signature string, missing array<string>, error string"
 
 
 def export_generation(columns: Iterable[str]) -> str:
@@ -90,13 +90,16 @@ def relative_key(path: Column, root: str) -> Column:
 
 
 def read_footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, columns, signature, error) of each Parquet file, read in parallel.
+    """(path, signature, missing, error) of each Parquet file, read in parallel.
 
     Only footers are fetched. The signature is equal for files that can be read
-    together; an unreadable file gets an error instead.
+    together, ``missing`` lists absent optional columns. A file gets an error
+    instead if its footer is unreadable or a mandatory column is absent.
     """
 
     def footers(batches: Iterator) -> Iterator:
+        import hashlib
+
         import pandas as pd
         import pyarrow.parquet as pq
         from pyarrow import fs
@@ -108,16 +111,18 @@ def read_footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                 else:
                     where, inner = fs.LocalFileSystem(), path
                 schema = pq.read_schema(inner, filesystem=where)
-            except Exception as problem:  # any unreadable file is reported, not raised
+                if not schema.names:
+                    raise ValueError("no columns")
+                missing = missing_optional(schema.names)
+            except Exception as problem:  # any unusable file is reported, not raised
                 return path, None, None, f"{type(problem).__name__}: {problem}"
-            if not schema.names:
-                return path, None, None, "no columns"
-            return path, schema.names, "|".join(f"{f.name}:{f.type}" for f in schema), None
+            layout = "|".join(f"{f.name}:{f.type}" for f in schema)
+            return path, hashlib.md5(layout.encode()).hexdigest(), missing, None
 
         for batch in batches:
             yield pd.DataFrame(
                 [footer(path) for path in batch["path"]],
-                columns=["path", "columns", "signature", "error"],
+                columns=["path", "signature", "missing", "error"],
             )
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
@@ -125,21 +130,10 @@ def read_footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return listed.repartition(spread).mapInPandas(footers, FOOTERS)
 
 
-def check_exports(footers: DataFrame) -> list[tuple[str, str | None, str | None]]:
-    """(path, signature, error) per file, one row of metadata each.
-
-    A file is rejected if its footer is unreadable or a mandatory column is missing.
-    """
-    checked = []
-    for row in footers.collect():
-        error = row["error"]
-        if error is None:
-            try:
-                missing_optional(row["columns"])
-            except ValueError as problem:
-                error = str(problem)
-        checked.append((row["path"], row["signature"], error))
-    return checked
+def check_exports(footers: DataFrame) -> dict[str, tuple[str | None, str | None]]:
+    """(signature, error) by path: one short row of metadata per file reaches the driver."""
+    checked = footers.select("path", "signature", "error").collect()
+    return {row["path"]: (row["signature"], row["error"]) for row in checked}
 
 
 def scan_exports(
@@ -172,7 +166,7 @@ def _file_path() -> Column:
 def read_exports(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
     """Line items of the given files; raises if any of them is unusable."""
     checked = check_exports(read_footers(spark, paths))
-    for path, _, error in checked:
+    for path, (_, error) in checked.items():
         if error:
             raise ValueError(f"cannot load {path}: {error}")
-    return scan_exports(spark, [(path, signature) for path, signature, _ in checked], root)
+    return scan_exports(spark, [(path, signature) for path, (signature, _) in checked.items()], root)

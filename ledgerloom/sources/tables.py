@@ -21,6 +21,9 @@ from ledgerloom.model import DAILY_SUMMARY, INGESTION_LOG, LINE_ITEMS, conform
 LINE_ITEM_TABLE = "cost_line_items"
 SUMMARY_TABLE = "daily_cost_summary"
 LOG_TABLE = "ingestion_log"
+PENDING_TABLE = "pending_days"
+
+PENDING = T.StructType([T.StructField("day", T.DateType())])
 
 
 def _path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -84,11 +87,27 @@ def _by_day(summary: DataFrame) -> DataFrame:
     return conform(summary, DAILY_SUMMARY).drop("data_source").hint("rebalance", "usage_date")
 
 
+def _source_path(root: str, data_source: str) -> str:
+    return f"{root}/{SUMMARY_TABLE}/data_source={data_source}"
+
+
 def write_rebuilt_summary(summary: DataFrame, root: str, data_source: str = EXPORT_SOURCE) -> int:
     """Replace every row of one source; other sources are not touched. Returns the rows written."""
-    path = f"{root}/{SUMMARY_TABLE}/data_source={data_source}"
+    path = _source_path(root, data_source)
     _by_day(summary).write.mode("overwrite").partitionBy("usage_date").parquet(path)
-    return _count(summary.sparkSession, path)
+    return count_summary(summary.sparkSession, root, data_source)
+
+
+def write_rebuilt_days(summary: DataFrame, root: str, start: date, end: date) -> None:
+    """Replace the export rows of the days from start to end, all of them.
+
+    The days are dropped before they are written; note them with `note_pending`
+    first, so that a run that breaks off in between is made up for.
+    """
+    spark, path = summary.sparkSession, _source_path(root, EXPORT_SOURCE)
+    held = [day for day in _stored_days(spark, path) if start <= day <= end]
+    drop_partitions(spark, path, "usage_date", held)
+    _by_day(summary).write.mode("append").partitionBy("usage_date").parquet(path)
 
 
 def write_summary_range(incoming: DataFrame, root: str, data_source: str = API_SOURCE) -> int:
@@ -97,8 +116,7 @@ def write_summary_range(incoming: DataFrame, root: str, data_source: str = API_S
     Only the partitions of that range are rewritten. Dates in the range without
     an incoming row are dropped. The driver sees one row per incoming date.
     """
-    spark = incoming.sparkSession
-    path = f"{root}/{SUMMARY_TABLE}/data_source={data_source}"
+    spark, path = incoming.sparkSession, _source_path(root, data_source)
     dates = sorted(row[0] for row in incoming.select("usage_date").distinct().collect())
     if not dates:
         return 0
@@ -109,17 +127,36 @@ def write_summary_range(incoming: DataFrame, root: str, data_source: str = API_S
         .partitionBy("usage_date")
         .parquet(path)
     )
+    written = set(dates)
     stale = [
         day
         for day in _stored_days(spark, path)
-        if dates[0] <= day <= dates[-1] and day not in set(dates)
+        if dates[0] <= day <= dates[-1] and day not in written
     ]
     drop_partitions(spark, path, "usage_date", stale)
-    return _count(spark, path, dates)
+    return count_summary(spark, root, data_source, dates)
+
+
+def note_pending(spark: SparkSession, root: str, days: Iterable[date]) -> None:
+    """Remember days whose summary is about to be out of date."""
+    noted = spark.createDataFrame([(day,) for day in days], PENDING)
+    noted.coalesce(1).write.mode("append").parquet(f"{root}/{PENDING_TABLE}")
+
+
+def read_pending(spark: SparkSession, root: str) -> list[date]:
+    """Days noted by runs that broke off."""
+    return [row["day"] for row in _read(spark, f"{root}/{PENDING_TABLE}", PENDING).distinct().collect()]
+
+
+def clear_pending(spark: SparkSession, root: str) -> None:
+    files, where = _path(spark, f"{root}/{PENDING_TABLE}")
+    files.delete(where, True)
 
 
 def _stored_days(spark: SparkSession, path: str) -> list[date]:
     files, where = _path(spark, path)
+    if not files.exists(where):
+        return []
     names = [status.getPath().getName() for status in files.listStatus(where)]
     return [
         date.fromisoformat(name.removeprefix("usage_date="))
@@ -128,8 +165,13 @@ def _stored_days(spark: SparkSession, path: str) -> list[date]:
     ]
 
 
-def _count(spark: SparkSession, path: str, dates: list[date] | None = None) -> int:
-    """Rows stored below a path; Parquet answers a count from footers."""
+def count_summary(
+    spark: SparkSession, root: str, data_source: str = EXPORT_SOURCE, dates: list[date] | None = None
+) -> int:
+    """Rows stored of one source; Parquet answers a count from footers."""
+    path = _source_path(root, data_source)
+    if not path_exists(spark, path):
+        return 0
     schema = T.StructType([f for f in DAILY_SUMMARY if f.name != "data_source"])
     stored = spark.read.schema(schema).parquet(path)
     if dates:

@@ -160,6 +160,59 @@ def test_run_that_broke_off_before_the_log(spark, exports, store):
     assert log(spark, store) == [(JAN, "first", a, 2), (JAN, "first", b, 1)]
 
 
+def test_only_touched_days_are_summarized_again(spark, exports, store):
+    """Days outside the restated range keep their files; vanished days go; strays are found."""
+    root = str(exports.root)
+    exports.manifest(JAN, "first", [exports.file(f"{JAN}/a.parquet", [1])])
+    exports.manifest(FEB, "feb", [exports.file(f"{FEB}/f.parquet", [8], period="2025-02-01")])
+    ingestion.ingest_exports(spark, root, store)
+    days = exports.root.parent / "tables" / tables.SUMMARY_TABLE / "data_source=cur"
+    before = {p: p.stat().st_mtime_ns for p in days.rglob("*.parquet") if "2025-01-01" in str(p)}
+    assert len(before) == 1
+    # the second assembly of February has one line item of another day
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    key = f"{FEB}/g.parquet"
+    pq.write_table(pa.table({
+        "line_item_usage_start_date": ["2025-02-27T05:00:00Z"],
+        "bill_billing_period_start_date": ["2025-02-01"],
+        "line_item_line_item_type": ["Usage"],
+        "line_item_unblended_cost": [3.0]}), exports.root / key)
+    exports.manifest(FEB, "second", [key], name="second-Manifest.json")
+    report = ingestion.ingest_exports(spark, root, store)
+    assert (report.rows_loaded, report.summary_rows) == (1, 2)
+    summary = tables.read_summary(spark, store)
+    assert rows_of(summary, "usage_date", "total_unblended_cost") == [
+        (date(2025, 1, 1), 1.0), (date(2025, 2, 27), 3.0)]
+    assert before == {p: p.stat().st_mtime_ns for p in before}
+
+
+def test_days_noted_by_a_broken_run_are_summarized(spark, exports, store):
+    root = str(exports.root)
+    exports.manifest(JAN, "first", [exports.file(f"{JAN}/a.parquet", [1])])
+    ingestion.ingest_exports(spark, root, store)
+    stale = tables.read_summary(spark, store).selectExpr(
+        "DATE'2025-01-20' AS usage_date", "usage_account_id", "product_code", "region",
+        "total_unblended_cost", "total_blended_cost", "total_net_amortized_cost",
+        "total_usage_amount", "line_item_count")
+    stale.write.mode("append").partitionBy("usage_date").parquet(
+        f"{store}/{tables.SUMMARY_TABLE}/data_source=cur")
+    assert tables.count_summary(spark, store) == 2
+    tables.note_pending(spark, store, [date(2025, 1, 20)])
+    assert ingestion.ingest_exports(spark, root, store).summary_rows == 1
+    assert tables.read_pending(spark, store) == []
+
+
+def test_line_items_without_a_usage_day(spark, exports, store):
+    root = str(exports.root)
+    exports.manifest(JAN, "first", [
+        exports.file(f"{JAN}/a.parquet", [1]), exports.file(f"{JAN}/b.parquet", [2], period="rubbish")])
+    assert ingestion.ingest_exports(spark, root, store).summary_rows == 2
+    assert rows_of(tables.read_summary(spark, store), "usage_date", "total_unblended_cost") == [
+        (None, 2.0), (date(2025, 1, 1), 1.0)]
+
+
 def test_plan_and_log(spark):
     log = spark.createDataFrame(
         [("old", JAN, "k1", 1, datetime(2025, 1, 1)), ("new", JAN, "k1", 1, datetime(2025, 1, 2)),

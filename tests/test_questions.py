@@ -93,6 +93,15 @@ def test_rank_within_drops_rows_before_the_shuffle(month, capsys):
     assert plan.count("WindowGroupLimit") == 2 and rows_of(ranked, "rank") == [(1,)] * 5
 
 
+def test_more_ranks_than_spark_cuts_early(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"k{i % 5}", float(i * 7919 % 1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    order = [totals.F.col("v").desc()]
+    plain = rows_of(totals.rank_within(df, ["k"], order, 40))
+    monkeypatch.setattr(totals, "EARLY_CUT_LIMIT", 10)
+    assert rows_of(totals.rank_within(df, ["k"], order, 40)) == plain
+
+
 def test_lookups(spark):
     end = datetime(2025, 1, 1, 12)
     metrics = spark.createDataFrame(
