@@ -42,36 +42,33 @@ def _wanted_days(requests: DataFrame, before: int, after: int) -> DataFrame:
     )
 
 
-def _scoped_costs(rows: DataFrame, wanted: DataFrame, extra: list[str], measure: str) -> DataFrame:
-    """Cost per service, day and ``extra``, for all accounts together and for each.
-
-    Days nobody asks about are dropped during the scan; the list of days is as
-    long as a calendar, so it may be broadcast. What is left is added up before
-    anything is shuffled, so a service with most of the rows sends few.
+def _matched(rows: DataFrame, wanted: DataFrame, extra: list[str], measure: str) -> DataFrame:
+    """Wanted days beside their cost per ``extra``, in the scope each request asks for.
+
+    Requests for all accounts and for one account are matched apart, so that
+    costs are added up per account only where that is asked. Days nobody asks
+    about are dropped during the scan; the list of days is as long as a calendar
+    at most, so it may be broadcast. What is left is added up before anything is
+    shuffled: a service with most of the rows sends few.
     """
-    days = wanted.select("usage_date").distinct()
-    keys = ["service", "usage_date", *extra]
-    return (
-        rows.withColumnRenamed("product_code", "service")
-        .join(F.broadcast(days), "usage_date", "left_semi")
-        .groupingSets([keys, [*keys, "usage_account_id"]], *keys, "usage_account_id")
-        .agg(
-            F.sum(measure).alias("cost"),
-            F.grouping("usage_account_id").cast("boolean").alias("all_accounts"),
-        )
+    costs = rows.withColumnsRenamed(
+        {"product_code": "service", "usage_account_id": "account_id"}
     )
 
+    def scope(asked: DataFrame, keys: list[str]) -> DataFrame:
+        days = asked.select("usage_date").distinct()
+        sums = (
+            costs.join(F.broadcast(days), "usage_date", "left_semi")
+            .groupBy(*keys, *extra)
+            .agg(F.sum(measure).alias("cost"))
+        )
+        return asked.join(sums, keys)
 
-def _matched(wanted: DataFrame, costs: DataFrame, extra: list[str]) -> DataFrame:
-    """Requests beside the costs of their days, in the scope each request asks for."""
-    w, c = wanted.alias("w"), costs.alias("c")
-    return w.join(
-        c,
-        (F.col("w.service") == F.col("c.service"))
-        & (F.col("w.usage_date") == F.col("c.usage_date"))
-        & (F.col("w.account_id").isNull() == F.col("c.all_accounts"))
-        & F.col("w.account_id").eqNullSafe(F.col("c.usage_account_id")),
-    ).select("w.*", *[f"c.{name}" for name in extra], "c.cost")
+    for_all = wanted.filter(F.col("account_id").isNull())
+    for_one = wanted.filter(F.col("account_id").isNotNull())
+    return scope(for_all, ["service", "usage_date"]).unionByName(
+        scope(for_one, ["service", "usage_date", "account_id"])
+    )
 
 
 def explain_costs(
@@ -92,11 +89,11 @@ def explain_costs(
     """
     positive(baseline_days, "baseline_days")
     wanted = _wanted_days(_requests(requests), baseline_days, DAYS_AFTER)
-    costs = _scoped_costs(summary, wanted, [], measure).filter(F.col("cost").isNotNull())
     day, on, cost = F.col("usage_date"), F.col("anomaly_date"), F.col("cost")
     before = F.when(day < on, cost)
     per_request = (
-        _matched(wanted, costs, [])
+        _matched(summary, wanted, [], measure)
+        .filter(F.col("cost").isNotNull())
         .groupBy(*_REQUEST)
         .agg(
             F.max(F.when(day == on, cost)).alias("actual"),
@@ -159,8 +156,7 @@ def explain_usage_types(
     request = [*_REQUEST, "baseline_days_used"]
     wanted = _wanted_days(explained.select(*request), baseline_days, 0)
     rows = line_items.withColumn("usage_date", to_day(F.col("usage_start_date")))
-    costs = _scoped_costs(rows, wanted, ["usage_type"], measure)
-    matched = _matched(wanted, costs, ["usage_type"])
+    matched = _matched(rows, wanted, ["usage_type"], measure)
     on_day = F.col("usage_date") == F.col("anomaly_date")
     sides = two_sided_costs(
         matched, [*request, "usage_type"], ~on_day, on_day, F.col("cost")

@@ -95,22 +95,21 @@ def cur_validate(spark, sf):
     )
 
 
-_NORMALIZED = """SELECT usage_account_id, product_code, usage_type,
+_NORMALIZED = """SELECT product_code, usage_type,
        CAST(billing_period_end AS VARCHAR) AS billing_period_end,
        COUNT(*) AS line_items, COUNT(resource_id) AS with_resource,
-       MIN(line_item_id) AS first_id, CAST(MAX(usage_end_date) AS VARCHAR) AS last_end,
+       CAST(SUM(length(line_item_id)) AS BIGINT) AS id_length,
+       CAST(MAX(usage_end_date) AS VARCHAR) AS last_end,
        SUM(unblended_cost) AS unblended_cost, SUM(net_unblended_cost) AS net_unblended_cost,
        SUM(usage_amount) AS usage_amount
 FROM line_items"""
 
 
 def _normalized(rows):
-    return rows.groupBy(
-        "usage_account_id", "product_code", "usage_type", "billing_period_end"
-    ).agg(
+    return rows.groupBy("product_code", "usage_type", "billing_period_end").agg(
         F.count("*").alias("line_items"),
         F.count("resource_id").alias("with_resource"),
-        F.min("line_item_id").alias("first_id"),
+        F.sum(F.length("line_item_id")).alias("id_length"),
         F.max("usage_end_date").alias("last_end"),
         F.sum("unblended_cost").alias("unblended_cost"),
         F.sum("net_unblended_cost").alias("net_unblended_cost"),
