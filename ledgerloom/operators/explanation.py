@@ -56,9 +56,9 @@ def _matched(rows: DataFrame, wanted: DataFrame, extra: list[str], measure: str)
     )
 
     def scope(asked: DataFrame, keys: list[str]) -> DataFrame:
-        days = asked.select("usage_date").distinct()
+        days = F.broadcast(asked.select("usage_date").distinct())
         sums = (
-            costs.join(F.broadcast(days), "usage_date", "left_semi")
+            costs.join(days, "usage_date", "left_semi")
             .groupBy(*keys, *extra)
             .agg(F.sum(measure).alias("cost"))
         )
@@ -244,8 +244,9 @@ def explain_anomaly(
             costs.filter(F.col("usage_date") == F.lit(anomaly_date)),
             f"no cost of {service} on {anomaly_date}",
         )
-    request = summary.sparkSession.createDataFrame(
-        [(service, anomaly_date, account_id)],
-        "service string, anomaly_date date, account_id string",
+    request = summary.sparkSession.range(1).select(
+        F.lit(service).alias("service"),
+        F.lit(anomaly_date).alias("anomaly_date"),
+        F.lit(account_id).cast("string").alias("account_id"),
     )
     return explain_anomalies(costs, detail, request, baseline_days=baseline_days)

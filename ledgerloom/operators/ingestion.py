@@ -201,12 +201,16 @@ def _summarize_days(spark: SparkSession, table_root: str, days: list[date | None
 
 
 def _with_period(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Line items whose missing period start is taken from the manifest of their file."""
+    """Line items whose missing period start is taken from the manifest of their file.
+
+    ``files`` is the driver's own list of files: it fits there, so it may be
+    broadcast, and line items are not shuffled.
+    """
     periods = files.select(
         F.col("s3_key").alias("_source_file"),
         period_start(F.col("billing_period")).alias("manifest_start"),
     )
-    return rows.join(periods, "_source_file", "left").withColumn(
+    return rows.join(F.broadcast(periods), "_source_file", "left").withColumn(
         "billing_period_start", F.coalesce("billing_period_start", "manifest_start")
     )
 

@@ -84,7 +84,7 @@ def normalize_export(df: DataFrame, source_file: Column | str) -> DataFrame:
 
 
 def relative_key(path: Column, root: str) -> Column:
-    """The part of a file's URI below ``root``."""
+    """The part of a file's path below ``root``."""
     plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     return F.substring_index(path, plain + "/", -1)
 
@@ -150,7 +150,7 @@ def scan_exports(
     if not together:
         return spark.createDataFrame([], LINE_ITEMS)
     scans = [
-        normalize_export(spark.read.parquet(*sorted(paths)), relative_key(_file_path(), root))
+        normalize_export(spark.read.parquet(*sorted(paths)), file_key(root))
         for _, paths in sorted(together.items())
     ]
     united = scans[0]
@@ -159,8 +159,10 @@ def scan_exports(
     return united
 
 
-def _file_path() -> Column:
-    return F.col("_metadata.file_path")
+def file_key(root: str) -> Column:
+    """Key below ``root`` of the file a row was read from; the metadata escapes it as a URI."""
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return relative_key(F.url_decode(escaped), root)
 
 
 def read_exports(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:

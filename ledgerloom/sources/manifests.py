@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.functions.dates import compact_period
-from ledgerloom.sources.billing_files import relative_key
+from ledgerloom.sources.billing_files import file_key, relative_key
 
 MANIFEST = T.StructType(
     [
@@ -69,7 +69,7 @@ def read_manifest_files(spark: SparkSession, root: str) -> DataFrame:
         .text(root, wholetext=True)
     )
     return files.select(
-        relative_key(F.col("_metadata.file_path"), root).alias("key"),
+        file_key(root).alias("key"),
         F.col("value").alias("content"),
     )
 

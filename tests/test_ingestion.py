@@ -126,6 +126,23 @@ def test_bad_files_and_manifests_are_isolated(spark, exports, store):
     assert [c for _, c in costs(spark, store)] == [1.0, 2.0, 4.0, 8.0]
 
 
+def test_keys_with_special_characters(spark, exports, store):
+    keys = [exports.file(f"{JAN}/run=1/{name}.parquet", [1]) for name in ("a b", "a+b", "a%20b", "ä-1")]
+    exports.manifest(JAN, "first", keys)
+    report = ingestion.ingest_exports(spark, str(exports.root), store)
+    assert report.rows_loaded == 4
+    assert [(key, n) for _, _, key, n in log(spark, store)] == sorted((key, 1) for key in keys)
+
+
+def test_files_are_matched_to_periods_without_a_shuffle(spark, make_line_items, capsys):
+    rows = make_line_items([{"_source_file": "k", "unblended_cost": 1.0}])
+    files = spark.createDataFrame([(JAN, "a", "k")], "billing_period string, assembly_id string, s3_key string")
+    matched = ingestion._with_period(rows, files)
+    matched.explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
+    assert rows_of(matched, "billing_period_start") == [(date(2025, 1, 1),)]
+
+
 def test_nothing_usable(spark, exports, store):
     exports.manifest(JAN, "first", [f"{JAN}/absent.parquet"])
     with pytest.raises(ValueError, match="nothing could be loaded"):
