@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import chat, mixing, packing, tokens
 from ledgerloom.llm.quality_rules import clean_lines
 from ledgerloom.llm.shared import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -40,3 +44,28 @@ def op1_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+
+
+@query()
+def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query()
+def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+@query()
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(chat.events_of(turns)))
