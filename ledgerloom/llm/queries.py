@@ -75,8 +75,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH vectors AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
     FROM vectors AS q JOIN vectors AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
