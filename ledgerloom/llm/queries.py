@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, mixing, packing, tokens, vantage
+from ledgerloom.llm import chat, jaccard, mixing, packing, tokens, vantage
 from ledgerloom.llm.quality_rules import clean_lines
 from ledgerloom.llm.shared import table
 
@@ -57,6 +57,11 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query()
+def op6_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
