@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, jaccard, mixing, packing, tokens, vantage
+from ledgerloom.llm import chat, jaccard, mixing, packing, substrings, tokens, vantage
 from ledgerloom.llm.quality_rules import clean_lines
 from ledgerloom.llm.shared import table
 
@@ -47,6 +47,19 @@ def op1_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_interval_expansion_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substrings.repeated_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lengths = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        lengths.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
