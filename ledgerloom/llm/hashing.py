@@ -102,3 +102,74 @@ def shingles(texts: list[bytes], size: int, lower: bool = True) -> list[np.ndarr
         else:
             found.append(np.empty(0, np.uint64))
     return found
+
+
+def inverse_powers(count: int) -> np.ndarray:
+    """The first ``count`` powers of the base's inverse, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        steps = np.full(max(count, 1), pow(BASE, -1, 1 << 64), np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
+
+class Lines:
+    """Lines of a block of texts as sequences of word hashes.
+
+    ``of``: the text of each line; ``place``: its number in the text; ``size``: its words. Lines end at line
+    feeds, and white space between words does not count.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data, starts = joined(texts)
+        feeds = np.flatnonzero(data == 10)
+        self.of = np.searchsorted(starts, feeds, "right") - 1
+        first = np.searchsorted(feeds, starts[:-1])
+        self.place = np.arange(len(feeds)) - first[self.of] if len(feeds) else np.empty(0, np.int64)
+        begins, ends = runs(~BLANKS[data])
+        self.words = span_hashes(data[~BLANKS[data]], ends - begins)
+        self.size = np.bincount(np.searchsorted(feeds, begins), minlength=len(feeds))
+        self.start = np.cumsum(self.size) - self.size
+        index = np.arange(len(self.words)) - np.repeat(self.start, self.size)
+        longest = int(self.size.max(initial=0)) + 2
+        self.inverse = inverse_powers(longest)
+        self.sums = [self.prefix_sums(w, powers(longest)[index + 1]) for w in (self.words, mixed(self.words ^ np.uint64(MIX[0])))]
+
+    @staticmethod
+    def prefix_sums(hashes, scale) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * scale, dtype=np.uint64)])
+
+    @staticmethod
+    def finished(sums: np.ndarray, sizes: np.ndarray, salt: int = 0) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed(sums + sizes.astype(np.uint64) * np.uint64(MIX[1]) + np.uint64(salt))
+
+    def part(self, begin: np.ndarray, count: np.ndarray, stream: int = 0) -> np.ndarray:
+        """Sums of the words of each line from its ``begin`` on, as if they stood at its start."""
+        sums, at = self.sums[stream], self.start + begin
+        with np.errstate(over="ignore"):
+            return (sums[at + count] - sums[at]) * self.inverse[begin]
+
+    def keys(self, stream: int = 0) -> np.ndarray:
+        return self.finished(self.part(np.zeros_like(self.size), self.size, stream), self.size)
+
+    def halves(self) -> np.ndarray:
+        """Four keys per line; lines one word edit apart have one in common.
+
+        Of two such lines, the longer with M words, the first or the last (M - 1) // 2 words are equal. A line is the longer one or
+        has a word less.
+        """
+        found = []
+        for longer in (self.size, self.size + 1):
+            half = np.minimum(np.maximum(longer - 1, 0) // 2, self.size)
+            for side, begin in enumerate((np.zeros_like(half), self.size - half)):
+                found.append(self.finished(self.part(begin, half), longer, side + 1))
+        return np.stack(found, axis=1) if len(self.size) else np.empty((0, 4), np.uint64)
+
+    def without_each(self, line: int) -> np.ndarray:
+        """Keys of the line's deletion neighbours: without its first word, its second, and so on."""
+        size, start, sums = int(self.size[line]), int(self.start[line]), self.sums[0]
+        at = start + np.arange(size)
+        with np.errstate(over="ignore"):
+            raw = (sums[at] - sums[start]) + (sums[start + size] - sums[at + 1]) * self.inverse[1]
+        return self.finished(raw, np.full(size, size - 1))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, jaccard, mixing, packing, substrings, tokens, vantage
+from ledgerloom.llm import chat, jaccard, line_dedup, mixing, packing, substrings, tokens, vantage
 from ledgerloom.llm.quality_rules import clean_lines
 from ledgerloom.llm.shared import table
 
@@ -75,6 +75,12 @@ def op6_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op7_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 @query()
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
