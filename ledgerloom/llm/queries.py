@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, jaccard, line_dedup, mixing, packing, substrings, tokens, vantage
+from ledgerloom.llm import chat, jaccard, line_dedup, mixing, packing, quality_model, substrings, tokens, vantage
 from ledgerloom.llm.quality_rules import clean_lines
 from ledgerloom.llm.shared import table
 
@@ -65,6 +65,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+@query()
+def op4_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality_model.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @query()
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
