@@ -26,11 +26,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import stored, text_blocks
+from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
 
 #: Frequent shingles whose count is told to every task (at most 1.6 MB): those met LOCAL times or more among the
 #: documents of CHUNK shingles, by their sum. They shape the order only, never the result.
@@ -101,11 +101,11 @@ def choose_matches(counts, needed: int, size: int) -> int:
     return best
 
 
-SIGNATURE = "doc_id long, n long, k1 long, k2 long, l int, prefix array<long>, bits array<long>"
+SIGNATURE = "doc_id long, n long, k1 long, k2 long, l int, rare array<long>, often array<long>, bits array<long>"
 
 
 def signatures(docs: DataFrame, join: Join) -> DataFrame:
-    """Set size, 128-bit set key, prefix and bitmap of each document."""
+    """Set size, 128-bit set key, prefix and bitmap of each document; of the prefix, the shingles known to be frequent apart."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
 
     def signed(batches):
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
             for s in shingles(texts, join.words):
                 n = len(s)
                 if not n:
-                    made.append((0, 0, 0, 0, [], []))
+                    made.append((0, 0, 0, 0, [], [], []))
                     continue
                 key = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 occurs = np.ones(n)
@@ -132,16 +132,17 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
                 order = np.argsort(occurs, kind="stable")
                 needed = -(-join.percent * n // 100)
                 matches = choose_matches(occurs[order], needed, n)
-                prefix = s[order[: n - needed + matches]]
+                prefix = order[: n - needed + matches]
+                rare, often = (s[prefix[(occurs[prefix] > 1) == x]].view(np.int64) for x in (False, True))
                 flips = np.bincount((mixed(s) % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
                 bits = np.packbits(flips.astype(np.uint8)).view(np.int64)
-                made.append((n, int(key[0]), int(key[1]), matches, prefix.view(np.int64), bits))
-            n, k1, k2, matches, prefix, bits = zip(*made)
+                made.append((n, int(key[0]), int(key[1]), matches, rare, often, bits))
+            n, k1, k2, matches, rare, often, bits = zip(*made)
             long, longs = pa.int64(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("doc_id")).cast(long), pa.array(n, long), pa.array(k1, long), pa.array(k2, long),
-                 pa.array(matches, pa.int32()), pa.array(prefix, longs), pa.array(bits, longs)],
-                ["doc_id", "n", "k1", "k2", "l", "prefix", "bits"],
+                 pa.array(matches, pa.int32()), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, longs)],
+                ["doc_id", "n", "k1", "k2", "l", "rare", "often", "bits"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(signed, SIGNATURE)
@@ -184,7 +185,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
             made = pa.array([s.tobytes() for s in shingles(texts, join.words)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("id")), made], ["id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    wanted, _ = split_by_ids(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
+    wanted = wanted.join(ids, "id", "left_semi")
     return wanted.mapInArrow(packed, "id long, shingles binary")
 
 
@@ -252,9 +254,17 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     classes = worded.groupBy(*key).agg(F.min("doc_id").alias("first"))
     member = stored(worded.select("doc_id", *key).join(classes, key).select("doc_id", "first").distinct(), "members")
 
-    # Prefix shingles that several different sets offer.
-    firsts = member.filter("doc_id = first").select("doc_id")
-    offered = worded.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token")).distinct()
+    # Prefix shingles that several documents offer. The frequent ones are known to be; the others come
+    # in small groups, whose least and greatest id tell. Of those, the ones that different sets offer.
+    def offered_of(kind):
+        return worded.select(F.col("doc_id").alias("id"), F.explode(kind).alias("token"))
+
+    group = Window.partitionBy("token")
+    several = offered_of("rare").withColumn("least", F.min("id").over(group)).withColumn("most", F.max("id").over(group))
+    several = several.filter("least < most").select("id", "token")
+    repeated = stored(several.unionByName(offered_of("often")), "repeated-shingles")
+    firsts = member.filter("doc_id = first").select(F.col("doc_id").alias("id"))
+    offered = repeated.join(firsts, "id", "left_semi").distinct()
     shared = offered.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
     postings = stored(offered.join(shared, "token"), "postings")
     about = postings.groupBy("id").agg(F.collect_set("token").alias("tokens"))

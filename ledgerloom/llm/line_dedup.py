@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import stored, text_blocks
+from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
 
 RESULTS = ("n_lines", "n_removed", "clean_text")
 
@@ -92,7 +92,8 @@ def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 first += len(split)
             yield pa.RecordBatch.from_pylist(made, schema)
 
-    read = docs.join(places, "uid").select("text", "wanted")
+    holders, _ = split_by_ids(docs, "uid", wanted)
+    read = holders.join(places, "uid").select("text", "wanted")
     return read.mapInArrow(emit, f"h1 long, rank {RANK}, line string, variants array<long>")
 
 
@@ -121,7 +122,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("h1", F.explode("halves").alias("half")).distinct()
     again = keyed.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
     wanted = keyed.join(again, "half").select("h1").distinct()
-    lines = stored(neighbourhoods(docs, distinct.join(wanted, "h1").select("h1", "rank", "uid", "place")), "neighbourhoods")
+    wanted = stored(distinct.join(wanted, "h1").select("h1", "rank", "uid", "place"), "near-candidates")
+    lines = stored(neighbourhoods(docs, wanted), "neighbourhoods")
     lines = lines.dropDuplicates(["h1"])
 
     me = F.struct("rank", F.col("h1").alias("line")).alias("me")
@@ -169,7 +171,7 @@ def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
 
     affected = distinct.join(near, "h1", "left").filter("times > 1 OR near").select("h1", "h2", F.col("rank").alias("first"), "near")
     gone = lines.join(affected, ["h1", "h2"]).filter(F.col("near") | (rank > F.col("first")))
-    gone = gone.groupBy("uid").agg(F.collect_set("place").alias("gone"))
+    gone = stored(gone.groupBy("uid").agg(F.collect_set("place").alias("gone")), "lines-gone")
 
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())])
@@ -187,5 +189,6 @@ def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
             results = [pa.array(c, k) for c, k in zip(zip(*made), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in columns), *results], [*columns, *RESULTS])
 
-    read = known.join(gone, "uid", "left").select(*[F.col(f"`{c}`") for c in columns], "gone")
-    return read.mapInArrow(remove, schema)
+    losing, whole = split_by_ids(known, "uid", gone)
+    read = losing.join(gone, "uid", "left").unionByName(whole.withColumn("gone", F.lit(None).cast("array<int>")))
+    return read.select(*[F.col(f"`{c}`") for c in columns], "gone").mapInArrow(remove, schema)

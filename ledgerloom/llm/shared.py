@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +57,25 @@ def text_blocks(batches, columns=("text",), max_bytes=1 << 20):
                 start, held = i, 0
             held += size
         yield batch.slice(start), [x or b"" for x in text.slice(start).to_pylist()]
+
+
+#: Slots of the filter below: a sketch of 1 MB at most, whatever the size of the data.
+SLOTS = 1 << 23
+
+
+def split_by_ids(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` may be among ``ids``, and rows whose key surely is not.
+
+    ``ids`` has a column of that name. Its hashes are put into a bitmap of fixed size, which is
+    broadcast, so that wide rows need no shuffle to learn that nothing happens to them. Where ``ids`` fill the bitmap,
+    more rows may be among them; no row that is goes amiss.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
+    marked = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket"))
+    sketch = stored(marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")), "sketch")
+    place = F.bitmap_bit_position(slot)
+    octet = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.floor(octet / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    tested = df.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(sketch), "__bucket", "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return tested.filter(found).select(*columns), tested.filter(~found).select(*columns)

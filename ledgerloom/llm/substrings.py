@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import stored, text_blocks
+from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
 
 LENGTH, ANCHOR = 400, 200
 SHARD_BYTES = 1_500_000
@@ -203,14 +203,15 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
                     ["anchor", "fragment", "copies", "bytes"],
                 )
 
-    held = docs.join(wanted, "uid").select("text", "wanted").mapInArrow(fetch, "anchor long, fragment long, copies long, bytes binary")
+    holders, _ = split_by_ids(docs, "uid", distinct)
+    held = holders.join(wanted, "uid").select("text", "wanted").mapInArrow(fetch, "anchor long, fragment long, copies long, bytes binary")
     held = held.dropDuplicates(["anchor", "fragment"]).join(large, "anchor", "left")
     held = stored(held.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))), "held-fragments")
     small = covered_in_shards(held.filter("large IS NULL").drop("large"), length)
     covered = stored(small.unionByName(covered_by_hash(held.filter("large"), length, anchor)), "covered")
 
     spans = live.join(covered, ["anchor", "fragment"]).select("uid", F.struct("first", "starts", "ends").alias("run"))
-    spans = spans.distinct().groupBy("uid").agg(F.collect_list("run").alias("runs"))
+    spans = stored(spans.distinct().groupBy("uid").agg(F.collect_list("run").alias("runs")), "spans")
 
     def remove(batches):
         import pyarrow as pa
@@ -236,5 +237,6 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.join(spans, "uid", "left").select("doc_id", "text", "runs")
-    return read.mapInArrow(remove, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    losing, whole = split_by_ids(docs, "uid", spans)
+    read = losing.join(spans, "uid", "left").unionByName(whole.withColumn("runs", F.lit(None).cast(spans.schema["runs"].dataType)))
+    return read.select("doc_id", "text", "runs").mapInArrow(remove, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
