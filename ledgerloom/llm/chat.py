@@ -94,8 +94,9 @@ def events_of(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
     )
     opened = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("text")))
     deltas = F.transform(pieces, lambda p: F.struct(F.lit("delta").alias("kind"), p.alias("text")))
-    # Turns of one number are told apart by what they hold, so that each keeps its deltas together.
-    seq = F.struct(F.col("turn"), F.col("role").alias("of"), F.xxhash64(text).alias("hash"))
+    # Turns of one number are told apart by what they hold, so that each keeps its deltas together; rows repeated whole
+    # by where they lie, which changes nothing in the result.
+    seq = F.struct(F.col("turn"), F.col("role").alias("of"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("copy"))
     return turns.select("conv_id", seq.alias("seq"), "role", F.posexplode(F.concat(opened, deltas)).alias("part", "event")).select(
         "conv_id", F.struct("seq.*", "part").alias("seq"), "event.kind", F.lit(None).cast("long").alias("target"), "role", "event.text"
     )
