@@ -27,7 +27,9 @@ def display_round(amount: Column, digits: int) -> Column:
     at the stored value, as ordinary spreadsheet and script tooling does.
     """
     pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", amount, F.lit(pattern)).cast("double")
+    finite = F.abs(amount) < float("inf")
+    text = F.call_function("format_number", F.when(finite, amount), F.lit(pattern))
+    return F.when(finite, text.cast("double")).otherwise(amount)
 
 
 def money_text(amount: Column) -> Column:

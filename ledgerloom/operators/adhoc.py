@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.fixed_values import FORBIDDEN_FUNCTIONS, FORBIDDEN_WORDS
@@ -14,34 +17,84 @@ _FORBIDDEN = re.compile(
 )
 
 
-class UnsafeSQLError(ValueError):
+class RefusedQueryError(ValueError):
     """The text is not a single read-only query."""
 
 
 def check_sql(text: str) -> str:
-    """The query without trailing semicolons; raises `UnsafeSQLError` if it is not allowed.
+    """The query without trailing semicolons; raises `RefusedQueryError` if it is not allowed.
 
     One SELECT or WITH statement, possibly after comments. Forbidden words are
     refused wherever they stand, also inside literals.
     """
     query = text.strip().rstrip(";")
     if ";" in query:
-        raise UnsafeSQLError("more than one statement")
+        raise RefusedQueryError("more than one statement")
     body = query[_LEADING_COMMENTS.match(query).end():]
     if not body.upper().startswith(("SELECT", "WITH")):
-        raise UnsafeSQLError(f"only SELECT and WITH queries are allowed, got {body[:20]!r}")
+        raise RefusedQueryError(f"only SELECT and WITH queries are allowed, got {body[:20]!r}")
     found = _FORBIDDEN.search(query)
     if found:
-        raise UnsafeSQLError(f"forbidden word {found[1].upper()}")
+        raise RefusedQueryError(f"forbidden word {found[1].upper()}")
     return query
 
 
+def read_relations(spark: SparkSession, query: str) -> set[str]:
+    """Names a query reads, without the common table expressions it defines itself.
+
+    They are read off Spark's own parse tree, subqueries included; nothing is resolved.
+    """
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    defined = {n.strip().lower() for names in re.findall(r"\bCTE \[([^\]]*)\]", tree) for n in names.split(",")}
+    return {n.strip() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)} - defined
+
+
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A checked query over ``tables``, registered as temporary views. Nothing is collected."""
+    """A checked query that may read ``tables`` and nothing else. Nothing is collected.
+
+    The tables are common table expressions before the query, over views of names no one else has, so views
+    and tables of the session are neither read nor changed.
+    """
     query = check_sql(text)
+    known = {name.lower() for name in tables}
+    foreign = sorted(name for name in read_relations(spark, query) if name.lower() not in known)
+    if foreign:
+        raise RefusedQueryError(f"not among the tables given: {', '.join(foreign)}")
+    given = []
     for name, table in tables.items():
-        table.createOrReplaceTempView(name)
-    return spark.sql(query)
+        view = f"ledgerloom_{uuid.uuid4().hex}"
+        table.createOrReplaceTempView(view)
+        given.append(f"`{name}` AS (SELECT * FROM {view})")
+    body = query[_LEADING_COMMENTS.match(query).end():]
+    own = body[4:] if body[:4].upper() == "WITH" else None
+    if not given:
+        return spark.sql(query)
+    return spark.sql(f"WITH {', '.join(given)}{',' + own if own is not None else ' ' + body}")
+
+
+@dataclass
+class SqlOutcome:
+    """What a query gave: its columns and rows, or the error as a value."""
+
+    columns: list[str] = field(default_factory=list)
+    result: DataFrame | None = None
+    error: str | None = None
+
+    def rows(self) -> DataFrame | None:
+        """Each row as one JSON text."""
+        return None if self.result is None else json_rows(self.result)
+
+    def row_count(self) -> int:
+        return 0 if self.result is None else self.result.count()
+
+
+def execute_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> SqlOutcome:
+    """Like :func:`run_sql`, with refusals and Spark's complaints about the query as a value."""
+    try:
+        result = run_sql(spark, text, tables)
+    except (RefusedQueryError, PySparkException) as problem:
+        return SqlOutcome(error=str(problem).splitlines()[0])
+    return SqlOutcome(result.columns, result)
 
 
 def json_rows(result: DataFrame) -> DataFrame:

@@ -182,11 +182,12 @@ def explain_anomalies(
     requests: DataFrame,
     *,
     baseline_days: int = 14,
+    top_n: int = TOP_USAGE_TYPES,
 ) -> DataFrame:
     """`explain_costs` with ``has_cur_data`` and ``top_usage_type_changes`` beside each row."""
     explained = explain_costs(summary, requests, baseline_days=baseline_days)
     changes = (
-        explain_usage_types(line_items, explained, baseline_days=baseline_days)
+        explain_usage_types(line_items, explained, baseline_days=baseline_days, top_n=top_n)
         .groupBy(*_REQUEST)
         .agg(
             F.sort_array(
@@ -226,6 +227,7 @@ def explain_anomaly(
     baseline_days: int = 14,
     data_source: str | None = None,
     strict: bool = False,
+    top_n: int = TOP_USAGE_TYPES,
 ) -> DataFrame:
     """`explain_anomalies` for one service and day, its scans narrowed beforehand.
 
@@ -249,4 +251,4 @@ def explain_anomaly(
         F.lit(anomaly_date).alias("anomaly_date"),
         F.lit(account_id).cast("string").alias("account_id"),
     )
-    return explain_anomalies(costs, detail, request, baseline_days=baseline_days)
+    return explain_anomalies(costs, detail, request, baseline_days=baseline_days, top_n=top_n)

@@ -11,7 +11,7 @@ from ledgerloom.checks import month_period
 from ledgerloom.functions.dates import instant, period_start
 from ledgerloom.operators.summary import summarize_line_items
 from ledgerloom.sources import tables
-from ledgerloom.sources.billing_files import check_exports, read_footers, scan_exports
+from ledgerloom.sources.billing_files import read_footers, scan_exports
 from ledgerloom.sources.manifests import (
     latest_manifests,
     parse_manifests,
@@ -137,13 +137,13 @@ def ingest_exports(
 
     accepted, files = [], []
     paths = [f"{root}/{row['s3_key']}" for row in todo]
-    checked = check_exports(read_footers(spark, paths)) if paths else {}
+    footers = read_footers(spark, paths)
     for row, path in zip(todo, paths):
-        signature, error = checked[path]
-        if error:
-            report.errors.append((row["s3_key"], error))
+        footer = footers[path]
+        if footer.error:
+            report.errors.append((row["s3_key"], footer.error))
         else:
-            accepted.append((path, signature))
+            accepted.append((path, footer.layout))
             files.append((row["billing_period"], row["assembly_id"], row["s3_key"]))
     if report.errors and not files:
         raise ValueError(f"nothing could be loaded: {report.errors}")
@@ -153,20 +153,24 @@ def ingest_exports(
         report.periods = sorted({period for period, _, _ in files})
         # a period of which no new file is usable keeps what it has
         replaced = sorted(clear & set(report.periods))
-        gone = _touched_days(_of_periods(tables.read_line_items(spark, table_root), replaced))
-        tables.note_pending(spark, table_root, gone + _first_days(report.periods))
-        _clear_periods(spark, table_root, replaced)
         listed = spark.createDataFrame(
             files, "billing_period string, assembly_id string, s3_key string"
         )
         rows = _with_period(scan_exports(spark, accepted, root), listed)
-        tables.append_line_items(rows, table_root)
-        loaded = _of_periods(tables.read_line_items(spark, table_root), report.periods)
-        touched += gone + _touched_days(loaded)
+        # Rows go by the file they came from: a file may hold rows of another period than its manifest's.
+        held = _marked(tables.read_line_items(spark, table_root), log, listed, replaced)
+        stale = held.filter("stale")
+        gone, come = _touched_days(stale), _touched_days(rows)
+        tables.note_pending(spark, table_root, gone + come)
+        counts = log_entries(rows, listed)
+        starts = [row[0] for row in stale.select("billing_period_start").distinct().collect()]
+        tables.replace_line_items(spark, table_root, rows, held.filter("NOT stale").drop("stale"), starts)
+        tables.drop_partitions(spark, f"{table_root}/{tables.LOG_TABLE}", "billing_period", replaced)
+        touched += gone + come
     if touched:
         _summarize_days(spark, table_root, touched)
     if files:
-        tables.append_log(log_entries(loaded, listed), table_root)
+        tables.append_log(counts, table_root)
         logged = tables.read_log(spark, table_root).join(listed, listed.columns, "left_semi")
         report.rows_loaded = logged.agg(F.sum("rows_loaded")).first()[0]
     tables.clear_pending(spark, table_root)
@@ -233,15 +237,20 @@ def _unlogged_periods(
         F.date_format("billing_period_start", "yyyyMMdd").alias("first_day"),
         F.col("_source_file").alias("s3_key"),
     ).distinct()
-    known = log.select(F.substring("billing_period", 1, 8).alias("first_day"), "s3_key")
-    unlogged = stored.join(known, ["first_day", "s3_key"], "left_anti").select("first_day")
+    unlogged = stored.join(log.select("s3_key").distinct(), "s3_key", "left_anti").select("first_day")
     left = {row["first_day"] for row in unlogged.distinct().collect()}
     return {period for period in periods if period[:8] in left}
 
 
-def _clear_periods(spark: SparkSession, table_root: str, periods: list[str]) -> None:
-    log, line_items = tables.LOG_TABLE, tables.LINE_ITEM_TABLE
-    tables.drop_partitions(spark, f"{table_root}/{log}", "billing_period", periods)
-    tables.drop_partitions(
-        spark, f"{table_root}/{line_items}", "billing_period_start", _first_days(periods)
-    )
+def _marked(line_items: DataFrame, log: DataFrame, listed: DataFrame, periods: list[str]) -> DataFrame:
+    """Stored line items with ``stale``: whether they make way for the files ``listed``.
+
+    Those of a listed file do, those of a file logged for a period that is replaced, and those a broken
+    run left in such a period, whose file no log knows.
+    """
+    old = log.withColumn("old", F.col("billing_period").isin(periods)).select("s3_key", "old")
+    files = old.unionByName(listed.select("s3_key", F.lit(True).alias("old")))
+    files = files.groupBy(F.col("s3_key").alias("_source_file")).agg(F.max("old").alias("old"))
+    of_period = F.coalesce(F.col("billing_period_start").isin(_first_days(periods)), F.lit(False))
+    marked = line_items.join(files, "_source_file", "left")
+    return marked.withColumn("stale", F.coalesce("old", of_period)).drop("old")

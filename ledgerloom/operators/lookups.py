@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.dates import instant
 
-ALARM_LIMIT = 50
-
 
 def metric_hourly(
     metrics: DataFrame, end: datetime, *, hours: int = 24, value: str = "value", ts: str = "ts"
@@ -24,9 +22,10 @@ def metric_hourly(
     )
 
 
-def alarms_active(alarms: DataFrame, limit: int = ALARM_LIMIT) -> DataFrame:
-    """The first alarms by name that are in state ALARM."""
-    return alarms.filter(F.col("state") == "ALARM").orderBy("name").limit(limit)
+def alarms_active(alarms: DataFrame, limit: int | None = None) -> DataFrame:
+    """Alarms in state ALARM by name: all of them, unless the caller gives a limit."""
+    active = alarms.filter(F.col("state") == "ALARM").orderBy("name")
+    return active if limit is None else active.limit(limit)
 
 
 def budget_status(budgets: DataFrame, spend: DataFrame) -> DataFrame:

@@ -10,11 +10,6 @@ from ledgerloom.checks import positive
 from ledgerloom.functions.amounts import coalesce_zero
 from ledgerloom.model import SUMMARY_MEASURE
 
-# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold, and the
-# number of slices a partition is cut in where more rows than that are wanted.
-EARLY_CUT_LIMIT = 1000
-SLICES = 64
-
 
 def group_costs(
     df: DataFrame, keys: Sequence[str], measure: str = SUMMARY_MEASURE, name: str = "cost"
@@ -71,17 +66,12 @@ def rank_within(
 
     Written as a filtered ``row_number`` so that every task drops all but its
     own first n rows before the shuffle: a partition that holds most of the data
-    still sends only n rows per task. Spark does so up to a limit on n; beyond
-    it, each partition is first cut within slices of its rows.
+    still sends only n rows per task. Spark does so for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; raise that for longer lists.
     """
-    positive(n, "top_n")
-    ranked = df
-    if n > EARLY_CUT_LIMIT:
-        piece = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES))
-        within = Window.partitionBy(*partition, piece).orderBy(*order)
-        ranked = ranked.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= n)
     whole = Window.partitionBy(*partition).orderBy(*order)
-    return ranked.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n)
+    ranked = df.withColumn("rank", F.row_number().over(whole))
+    return ranked.filter(F.col("rank") <= positive(n, "top_n"))
 
 
 def by_date(points: DataFrame, *then: str) -> DataFrame:

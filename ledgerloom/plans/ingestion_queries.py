@@ -80,19 +80,18 @@ def cur_version_detect(spark, sf):
     """SELECT missing_column, COUNT(*) AS line_items
 FROM line_items, (VALUES ('availability_zone'), ('line_item_description'), ('payer_account_id'),
   ('region')) AS missing(missing_column)
-WHERE line_item_type = 'Refund' GROUP BY 1"""
+GROUP BY 1"""
 )
 def cur_validate(spark, sf):
     """Optional columns an export lacks, with the line items that get NULL there."""
     lacking = ["availability_zone", "line_item_description", "payer_account_id", "region"]
-    sources = billing_files.column_map("v1")
-    export = samples.exports(spark, sf)["v1"].drop(*[sources[c] for c in lacking])
-    missing = billing_files.missing_optional(export.columns)
-    return (
-        export.select(F.explode(F.array(*[F.lit(c) for c in missing])).alias("missing_column"))
-        .groupBy("missing_column")
-        .agg(F.count("*").alias("line_items"))
-    )
+    found = []
+    for generation, export in samples.exports(spark, sf).items():
+        sources = billing_files.column_map(generation)
+        export = export.drop(*[sources[c] for c in lacking])
+        missing = billing_files.missing_optional(export.columns)
+        found.append(export.select(F.explode(F.array(*[F.lit(c) for c in missing])).alias("missing_column")))
+    return found[0].unionByName(found[1]).groupBy("missing_column").agg(F.count("*").alias("line_items"))
 
 
 _NORMALIZED = """SELECT product_code, usage_type,
@@ -308,7 +307,7 @@ def ingest_log_append(spark, sf):
     key = F.concat(period, F.lit("/"), F.col("line_item_type"), F.lit(".parquet"))
     root = scratch(spark)
     entries = ingestion.log_entries(rows.select(key.alias("_source_file")), files)
-    storage.append_log(entries.coalesce(1), root)
+    storage.append_log(entries, root)
     return storage.read_log(spark, root).drop("ingested_at")
 
 

@@ -223,10 +223,10 @@ def metric_hourly(spark, sf):
          CASE WHEN SUM(FLOOR(value * 64 + 0.5)) > 64 * 1000 THEN 'ALARM' ELSE 'OK' END AS state,
          'value' AS metric, CAST(1000.0 AS DOUBLE) AS threshold
   FROM events GROUP BY user_id)
-WHERE state = 'ALARM' ORDER BY name LIMIT 50"""
+WHERE state = 'ALARM' ORDER BY name"""
 )
 def alarms_active(spark, sf):
-    """Alarms on the total value of each user: the first fifty that are raised."""
+    """Alarms on the total value of each user: those that are raised."""
     total = F.sum(F.floor(F.col("value") * 64 + 0.5))
     alarms = (
         tables.table(spark, sf, "events")

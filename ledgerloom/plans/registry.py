@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -52,12 +51,15 @@ def reported(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder for written tables, below the shared folder the cluster names.
 
-    Only where the session names none, as in tests, a local one is made.
+    Where the session names none, it lies in the warehouse of a local master; on a cluster that might be a
+    folder of each machine, so it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="ledgerloom-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -392,8 +392,17 @@ FROM daily_product WINDOW w AS (PARTITION BY product_code ORDER BY usage_date)""
     text=("usage_date",),
 )
 def win_lag_change(spark, sf):
-    rows = _summary(spark, sf, "product_code")
-    return trends.daily_trends(rows, reference_date=date(1995, 1, 15), top_n=1000)
+    """Every group's change from its previous present day."""
+    daily = totals.daily_costs(_summary(spark, sf, "product_code"), ["product_code"])
+    before = F.lag("cost").over(Window.partitionBy("product_code").orderBy("usage_date"))
+    change = F.col("cost") - before
+    return daily.select(
+        "usage_date",
+        F.col("product_code").alias("group_value"),
+        F.col("cost").alias("total_cost"),
+        change.alias("cost_change"),
+        F.when(before > 0, change / before * 100).alias("pct_change"),
+    )
 
 
 @query(
@@ -523,19 +532,10 @@ def topn_fixed10(spark, sf):
     )
 
 
-@query(anomalies_sql("usage_account_id", str(REFERENCE), str(REFERENCE), samples.EVENT_DAYS))
+@query(anomalies_sql("product_code", *composites.SCAN))
 def sort_severity(spark, sf):
-    rows = tables.summary_rows(
-        spark, sf, ["usage_account_id"], composites.EVENT_START, REFERENCE
-    )
-    return anomalies.by_severity(
-        anomalies.detect_anomalies(
-            rows,
-            reference_date=REFERENCE,
-            days=samples.EVENT_DAYS,
-            group_by="usage_account_id",
-        )
-    )
+    """Everything a scan of all days found, gravest first."""
+    return anomalies.by_severity(composites.scanned(spark, sf))
 
 
 @query(
@@ -568,13 +568,13 @@ def union_sources(spark, sf):
 
 @query(
     f"""SELECT group_value, usage_date, COUNT(*) AS kinds, MIN(kind) AS first_kind
-FROM ({anomalies_sql("product_code", "2024-01-15", "2024-02-10", 14, 2.0, streaks=False)})
+FROM ({anomalies_sql("product_code", *composites.SCAN, 14, 2.0, streaks=False)})
 GROUP BY 1, 2"""
 )
 def union_kinds(spark, sf):
-    """Groups with the kinds of anomaly they show, up to two, over the scan days of the events."""
+    """Groups with the kinds of anomaly they show, up to two, over all days."""
     rows = _summary(spark, sf, "product_code")
-    windows = anomalies.sliding_windows(rows, date(2024, 1, 15), date(2024, 2, 10))
+    windows = anomalies.sliding_windows(rows, *WHOLE)
     found = anomalies.score_windows(windows, sensitivity="high")
     return found.groupBy(F.col("product_code").alias("group_value"), "usage_date").agg(
         F.count("*").alias("kinds"), F.min("kind").alias("first_kind")

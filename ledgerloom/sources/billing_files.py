@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.fixed_values import EXPORT_COLUMNS, MANDATORY_COLUMNS
 from ledgerloom.model import LINE_ITEMS
 
-FOOTERS = "path string, signature string, missing array<string>, error string"
+#: Footers that the driver waits for at the same time.
+FOOTER_THREADS = 32
 
 
 def export_generation(columns: Iterable[str]) -> str:
@@ -89,68 +94,63 @@ def relative_key(path: Column, root: str) -> Column:
     return F.substring_index(path, plain + "/", -1)
 
 
-def read_footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, signature, missing, error) of each Parquet file, read in parallel.
+@dataclass(frozen=True)
+class Footer:
+    """What a file's footer says: files of equal ``layout`` can be read together; or why it is unusable."""
+
+    layout: str | None = None
+    missing: tuple[str, ...] = ()
+    error: str | None = None
 
-    Only footers are fetched. The signature is equal for files that can be read
-    together, ``missing`` lists absent optional columns. A file gets an error
-    instead if its footer is unreadable or a mandatory column is absent.
-    """
 
-    def footers(batches: Iterator) -> Iterator:
-        import hashlib
+def read_footers(spark: SparkSession, paths: Sequence[str]) -> dict[str, Footer]:
+    """The footer of each Parquet file, fetched through Hadoop's file systems by threads of the driver.
 
-        import pandas as pd
-        import pyarrow.parquet as pq
-        from pyarrow import fs
+    A path works here if it works for ``spark.read``, with the same credentials. Only mapped columns
+    count for the layout, as exports change their other columns from month to month. A file gets an
+    error if its footer is unreadable or a mandatory column is absent.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    mapped = {name for _, v1, v2, _ in EXPORT_COLUMNS for name in (v1, v2)}
 
-        def footer(path: str) -> tuple:
+    def footer(path: str) -> Footer:
+        try:
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
             try:
-                if "://" in path or path.startswith("file:"):
-                    where, inner = fs.FileSystem.from_uri(path)
-                else:
-                    where, inner = fs.LocalFileSystem(), path
-                schema = pq.read_schema(inner, filesystem=where)
-                if not schema.names:
-                    raise ValueError("no columns")
-                missing = missing_optional(schema.names)
-            except Exception as problem:  # any unusable file is reported, not raised
-                return path, None, None, f"{type(problem).__name__}: {problem}"
-            layout = "|".join(f"{f.name}:{f.type}" for f in schema)
-            return path, hashlib.md5(layout.encode()).hexdigest(), missing, None
-
-        for batch in batches:
-            yield pd.DataFrame(
-                [footer(path) for path in batch["path"]],
-                columns=["path", "signature", "missing", "error"],
-            )
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    spread = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
-    return listed.repartition(spread).mapInPandas(footers, FOOTERS)
-
-
-def check_exports(footers: DataFrame) -> dict[str, tuple[str | None, str | None]]:
-    """(signature, error) by path: one short row of metadata per file reaches the driver."""
-    checked = footers.select("path", "signature", "error").collect()
-    return {row["path"]: (row["signature"], row["error"]) for row in checked}
+                fields = reader.getFooter().getFileMetaData().getSchema().getFields()
+                columns = {field.getName(): str(field) for field in fields}
+            finally:
+                reader.close()
+            if not columns:
+                raise ValueError("no columns")
+            missing = missing_optional(columns)
+        except Py4JJavaError as problem:
+            return Footer(error=str(problem.java_exception))
+        except ValueError as problem:
+            return Footer(error=f"{type(problem).__name__}: {problem}")
+        layout = "|".join(sorted(text for name, text in columns.items() if name in mapped))
+        return Footer(hashlib.md5(layout.encode()).hexdigest(), tuple(missing))
+
+    with ThreadPoolExecutor(FOOTER_THREADS) as pool:
+        return dict(zip(paths, pool.map(footer, paths)))
 
 
 def scan_exports(
     spark: SparkSession, accepted: Iterable[tuple[str, str]], root: str
 ) -> DataFrame:
-    """Line items of many export files, given as (path, signature) pairs.
+    """Line items of many export files, given as (path, layout) pairs.
 
-    Files of equal signature are read by one multi-path scan, so the plan has as
-    many branches as there are distinct file layouts, not files.
+    Files of equal layout are read by one multi-path scan, so the plan has as
+    many branches as there are distinct layouts of mapped columns, not files.
     """
     together: dict[str, list[str]] = defaultdict(list)
-    for path, signature in accepted:
-        together[signature].append(path)
+    for path, layout in accepted:
+        together[layout].append(path)
     if not together:
         return spark.createDataFrame([], LINE_ITEMS)
     scans = [
-        normalize_export(spark.read.parquet(*sorted(paths)), file_key(root))
+        normalize_export(_scan(spark, sorted(paths)), file_key(root))
         for _, paths in sorted(together.items())
     ]
     united = scans[0]
@@ -159,6 +159,14 @@ def scan_exports(
     return united
 
 
+def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of one layout by their mapped columns, whatever other columns each has."""
+    first = spark.read.parquet(paths[0])
+    mapped = set(column_map(export_generation(first.columns)).values())
+    schema = T.StructType([field for field in first.schema if field.name in mapped])
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def file_key(root: str) -> Column:
     """Key below ``root`` of the file a row was read from; the metadata escapes it as a URI."""
     escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
@@ -167,8 +175,8 @@ def file_key(root: str) -> Column:
 
 def read_exports(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
     """Line items of the given files; raises if any of them is unusable."""
-    checked = check_exports(read_footers(spark, paths))
-    for path, (_, error) in checked.items():
-        if error:
-            raise ValueError(f"cannot load {path}: {error}")
-    return scan_exports(spark, [(path, signature) for path, (signature, _) in checked.items()], root)
+    footers = read_footers(spark, paths)
+    for path, footer in footers.items():
+        if footer.error:
+            raise ValueError(f"cannot load {path}: {footer.error}")
+    return scan_exports(spark, [(path, footer.layout) for path, footer in footers.items()], root)

@@ -61,7 +61,7 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/{LOG_TABLE}", INGESTION_LOG)
 
 
-def append_line_items(line_items: DataFrame, root: str) -> None:
+def append_line_items(line_items: DataFrame, root: str, name: str = LINE_ITEM_TABLE) -> None:
     """Append by column name. Each task sorts its rows by day, so that row-group
     statistics prune; nothing is shuffled."""
     (
@@ -69,13 +69,43 @@ def append_line_items(line_items: DataFrame, root: str) -> None:
         .sortWithinPartitions("billing_period_start", "usage_start_date")
         .write.mode("append")
         .partitionBy("billing_period_start")
-        .parquet(f"{root}/{LINE_ITEM_TABLE}")
+        .parquet(f"{root}/{name}")
     )
 
 
+def replace_line_items(
+    spark: SparkSession, root: str, rows: DataFrame, stay: DataFrame, starts: list[date | None]
+) -> None:
+    """Store ``rows``; of what is stored, only ``stay`` stays in the partitions of ``starts``.
+
+    Those partitions are written to a folder beside the table first, what stays and what comes, and then
+    put in place by a rename each; the other rows are appended.
+    """
+    if not starts:
+        append_line_items(rows, root)
+        return
+    start = F.col("billing_period_start")
+    days = [day for day in starts if day is not None]
+    affected = F.coalesce(start.isin(days), F.lit(False)) | (start.isNull() if None in starts else F.lit(False))
+    fresh = conform(rows, LINE_ITEMS)
+    aside = f"{root}/{LINE_ITEM_TABLE}_replacing"
+    files_of, where = _path(spark, aside)
+    files_of.delete(where, True)
+    append_line_items(stay.filter(affected).unionByName(fresh.filter(affected)), root, name=f"{LINE_ITEM_TABLE}_replacing")
+    append_line_items(fresh.filter(~affected), root)
+    for day in starts:
+        name = f"billing_period_start={'__HIVE_DEFAULT_PARTITION__' if day is None else day}"
+        old, new = _path(spark, f"{root}/{LINE_ITEM_TABLE}/{name}")[1], _path(spark, f"{aside}/{name}")[1]
+        files_of.delete(old, True)
+        if files_of.exists(new):
+            files_of.rename(new, old)
+    files_of.delete(where, True)
+
+
 def append_log(entries: DataFrame, root: str) -> None:
     (
         conform(entries, INGESTION_LOG)
+        .hint("rebalance", "billing_period")
         .write.mode("append")
         .partitionBy("billing_period")
         .parquet(f"{root}/{LOG_TABLE}")
@@ -117,7 +147,10 @@ def write_summary_range(incoming: DataFrame, root: str, data_source: str = API_S
     an incoming row are dropped. The driver sees one row per incoming date.
     """
     spark, path = incoming.sparkSession, _source_path(root, data_source)
-    dates = sorted(row[0] for row in incoming.select("usage_date").distinct().collect())
+    dates = [row[0] for row in incoming.select("usage_date").distinct().collect()]
+    if None in dates:
+        raise ValueError("incoming costs without a usage_date")
+    dates.sort()
     if not dates:
         return 0
     (

@@ -70,6 +70,50 @@ def log(spark, store):
     return rows_of(tables.read_log(spark, store), "billing_period", "assembly_id", "s3_key", "rows_loaded")
 
 
+def two_periods(exports, key, costs):
+    """A file of January's manifest that holds a row of January and one of December."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = exports.root / key
+    path.parent.mkdir(parents=True, exist_ok=True)
+    days = ["2025-01-03", "2024-12-31"]
+    pq.write_table(pa.table({
+        "line_item_usage_start_date": [f"{d}T00:00:00Z" for d in days], "line_item_line_item_type": ["Usage"] * 2,
+        "line_item_unblended_cost": [float(c) for c in costs], "product_product_code": ["p"] * 2,
+        "bill_billing_period_start_date": [f"{d[:7]}-01" for d in days], f"tag_of_{costs[0]}": ["x"] * 2}), path)
+    return key
+
+
+def test_rows_of_another_period_count_and_go_with_their_file(spark, exports, store):
+    root, december = str(exports.root), "20241201-20250101"
+    exports.manifest(december, "d1", [exports.file(f"{december}/d.parquet", [7], period="2024-12-01")])
+    exports.manifest(JAN, "j1", [two_periods(exports, f"{JAN}/a.parquet", [5, 1])])
+    report = ingestion.ingest_exports(spark, root, store)
+    assert report.rows_loaded == 3
+    assert sum(r["total_unblended_cost"] for r in tables.read_summary(spark, store).collect()) == 13.0
+    again = ingestion.ingest_exports(spark, root, store)
+    assert again.rows_loaded == 0 and len(again.skipped) == 2
+    exports.manifest(JAN, "j2", [two_periods(exports, f"{JAN}/b.parquet", [6, 2])])
+    ingestion.ingest_exports(spark, root, store)
+    december_rows, january = date(2024, 12, 1), date(2025, 1, 1)
+    assert costs(spark, store) == [(december_rows, 2.0), (december_rows, 7.0), (january, 6.0)]
+    exports.manifest(december, "d2", [exports.file(f"{december}/e.parquet", [8], period="2024-12-01")])
+    ingestion.ingest_exports(spark, root, store)
+    assert costs(spark, store) == [(december_rows, 2.0), (december_rows, 8.0), (january, 6.0)]
+    assert sum(r["total_unblended_cost"] for r in tables.read_summary(spark, store).collect()) == 16.0
+
+
+def test_a_scheme_that_only_hadoop_knows(spark, exports, store):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.exports.link./in", f"file://{exports.root}")
+    exports.manifest(JAN, "a1", [exports.file(f"{JAN}/a.parquet", [1, 2]), exports.file(f"{JAN}/b.parquet", [4], v1=True)])
+    (exports.root / f"{JAN}/bad.parquet").write_text("no Parquet")
+    exports.manifest(FEB, "a2", [f"{JAN}/bad.parquet"])
+    report = ingestion.ingest_exports(spark, "viewfs://exports/in", store)
+    assert report.rows_loaded == 3 and [key for key, _ in report.errors] == [f"{JAN}/bad.parquet"]
+
+
 def test_ingest_and_restate(spark, exports, store):
     root = str(exports.root)
     a = exports.file(f"{JAN}/a.parquet", [1, 2])
