@@ -146,10 +146,10 @@ def repeat_words(words: Column) -> Column:
 def line_fails(line: Column, n: Column, symbols: Column, rules: Rules) -> Column:
     """Whether a line of ``n`` words with ``symbols`` symbols breaks a rule; the dearest come last."""
     upper = count_matches(line, r"\p{Lu}")
-    phrases = "|".join(p.replace(" ", r"\s+") for p in BOILERPLATE)
+    phrases = "|".join(p.replace(" ", f"{BLANK}+") for p in BOILERPLATE)
     return (
         (symbols > F.lit(rules.symbols) * n)
-        | ((n <= rules.boilerplate_words) & line.rlike(rf"(?i)\b({phrases})\b"))
+        | ((n <= rules.boilerplate_words) & line.rlike(rf"(?i)(^|[^a-zA-Z])({phrases})($|[^a-zA-Z])"))
         | ((n >= rules.shout_words) & (upper > F.lit(rules.shouted) * F.length(line)))
         | (count_matches(line, r"\p{Punct}") > F.lit(rules.punctuation) * F.length(line))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, jaccard, line_dedup, mixing, packing, quality_model, substrings, tokens, vantage
-from ledgerloom.llm.quality_rules import clean_lines
+from ledgerloom.llm.quality_rules import BLANK, BOILERPLATE, SYMBOL, Rules, clean_lines
 from ledgerloom.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +30,52 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-@query()
+_RULES = Rules()
+_PHRASES = "|".join(p.replace(" ", f"{BLANK}+") for p in BOILERPLATE)
+
+
+@query(rf"""
+WITH texts AS (
+    SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents
+), lines AS (
+    SELECT doc_id, row, i, line, len(words) AS n, length(line) - length(regexp_replace(line, '{SYMBOL}+', '', 'g')) AS symbols
+    FROM (
+        SELECT doc_id, row, i, split[i] AS line, list_filter(string_split_regex(split[i], '{BLANK}+'), lambda x: x <> '') AS words
+        FROM (SELECT *, unnest(range(1, len(split) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS split FROM texts))
+    )
+), judged AS (
+    SELECT *, n > 0 AND (
+        symbols > {_RULES.symbols} * n
+        OR n <= {_RULES.boilerplate_words} AND regexp_matches(line, '(?i)(^|[^a-zA-Z])({_PHRASES})($|[^a-zA-Z])')
+        OR n >= {_RULES.shout_words} AND length(line) - length(regexp_replace(line, '\p{{Lu}}+', '', 'g')) > {_RULES.shouted} * length(line)
+        OR length(line) - length(regexp_replace(line, '[[:punct:]]+', '', 'g')) > {_RULES.punctuation} * length(line)
+    ) AS fails FROM lines
+), by_text AS (
+    SELECT row, sum(n) AS n_words, sum(symbols) AS n_symbols, count(*) FILTER (WHERE n > 0) AS n_lines,
+           count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,
+           count(*) FILTER (WHERE fails) AS n_bad_lines, coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS n_kept_words
+    FROM judged GROUP BY row
+), grams AS (
+    SELECT row, k, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS gram
+    FROM (
+        SELECT row, words, unnest(range(1, len(words) - 1)) AS k
+        FROM (SELECT row, list_filter(string_split_regex(text, '{BLANK}+'), lambda x: x <> '') AS words FROM texts)
+    )
+), repeated AS (
+    SELECT row, count(DISTINCT k + step) AS n_repeat_words
+    FROM (SELECT *, count(*) OVER (PARTITION BY row, gram) AS times FROM grams), (VALUES (0), (1), (2)) AS steps(step)
+    WHERE times > 1 GROUP BY row
+), counted AS (
+    SELECT doc_id, by_text.*, length(regexp_replace(text, '{BLANK}+', '', 'g')) AS word_chars, coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM texts JOIN by_text USING (row) LEFT JOIN repeated USING (row)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines,
+       CAST(n_bad_lines AS BIGINT) AS n_bad_lines, CAST(n_kept_words AS BIGINT) AS n_kept_words,
+       n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed,
+       NOT base_failed AND n_words - n_kept_words <= {_RULES.max_lost} * n_words AS kept
+FROM counted
+""")
 def op1_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
@@ -76,7 +121,34 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '{BLANK}+'), lambda x: x <> '') AS words
+    FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS k FROM texts)
+    UNION ALL
+    SELECT doc_id, array_to_string(words, ' ') FROM texts WHERE len(words) BETWEEN 1 AND 2
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), meetings AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap
+    FROM sets AS a JOIN sets AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM meetings JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b
+    WHERE 100 * overlap >= 90 * (x.n + y.n - overlap)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reached.a, edges.b FROM reached JOIN edges ON reached.b = edges.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) LEFT JOIN sizes USING (doc_id)
+""")
 def op6_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -94,7 +166,25 @@ def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_CONTROLS = "|".join(["\\\\", *(c.replace("[", "\\[").replace("]", "\\]") for c in chat.CONTROLS)])
+_MARKS = " ".join(f"WHEN '{role}' THEN {len(before) + len(after)}" for role, (before, after) in chat.MARKS.items())
+
+
+@query(rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), rendered AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) + CASE role {_MARKS}
+           ELSE {sum(map(len, chat.OTHER))} + length(role) + len(regexp_extract_all(role, '{_CONTROLS}')) END AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{chat.LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = '{chat.LOSS_ROLE}'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM rendered GROUP BY conv_id
+""")
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
