@@ -45,8 +45,8 @@ def _wanted_days(requests: DataFrame, before: int, after: int) -> DataFrame:
 def _matched(rows: DataFrame, wanted: DataFrame, extra: list[str], measure: str) -> DataFrame:
     """Wanted days beside their cost per ``extra``, in the scope each request asks for.
 
-    Requests for all accounts and for one account are matched apart, so that
-    costs are added up per account only where that is asked. Days nobody asks
+    Costs are added up once, per account; those of all accounts are sums of these sums, so
+    line items are scanned once whatever scopes are asked for. Days nobody asks
     about are dropped during the scan; the list of days is as long as a calendar
     at most, so it may be broadcast. What is left is added up before anything is
     shuffled: a service with most of the rows sends few.
@@ -54,20 +54,17 @@ def _matched(rows: DataFrame, wanted: DataFrame, extra: list[str], measure: str)
     costs = rows.withColumnsRenamed(
         {"product_code": "service", "usage_account_id": "account_id"}
     )
-
-    def scope(asked: DataFrame, keys: list[str]) -> DataFrame:
-        days = F.broadcast(asked.select("usage_date").distinct())
-        sums = (
-            costs.join(days, "usage_date", "left_semi")
-            .groupBy(*keys, *extra)
-            .agg(F.sum(measure).alias("cost"))
-        )
-        return asked.join(sums, keys)
-
+    days = F.broadcast(wanted.select("usage_date").distinct())
+    per_account = (
+        costs.join(days, "usage_date", "left_semi")
+        .groupBy("service", "usage_date", "account_id", *extra)
+        .agg(F.sum(measure).alias("cost"))
+    )
+    in_all = per_account.groupBy("service", "usage_date", *extra).agg(F.sum("cost").alias("cost"))
     for_all = wanted.filter(F.col("account_id").isNull())
     for_one = wanted.filter(F.col("account_id").isNotNull())
-    return scope(for_all, ["service", "usage_date"]).unionByName(
-        scope(for_one, ["service", "usage_date", "account_id"])
+    return for_all.join(in_all, ["service", "usage_date"]).unionByName(
+        for_one.join(per_account, ["service", "usage_date", "account_id"])
     )
 
 
