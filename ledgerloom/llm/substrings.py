@@ -28,13 +28,14 @@ LENGTH, ANCHOR = 400, 200
 SHARD_BYTES = 1_500_000
 PIECE = 1 << 20
 
-FRAGMENT = "anchor long, fragment long, uid long, first long, size int"
+FRAGMENT = "anchor long, fragment long, uid long, first long, size int, step int, times int"
 
 
 def cut_fragments(data, starts, length: int, anchor: int):
     """Fragments of the texts joined in ``data`` (see :func:`ledgerloom.llm.hashing.joined`).
 
-    Arrays: anchor hash, first byte and end of each fragment, and the byte where its anchor lies.
+    Arrays: anchor hash, first byte and end of each fragment, the distance at which it comes again, and how often it comes
+    one after another; in a text that repeats a short piece over and over, that is most of it.
     """
     import numpy as np
 
@@ -43,7 +44,7 @@ def cut_fragments(data, starts, length: int, anchor: int):
     empty = np.empty(0, np.int64)
     n = len(data)
     if n < length:
-        return empty.view(np.uint64), empty, empty, empty
+        return empty.view(np.uint64), empty, empty, empty, empty
     with np.errstate(over="ignore"):
         base = np.full(n, BASE, np.uint64)
         base[0] = 1
@@ -69,7 +70,18 @@ def cut_fragments(data, starts, length: int, anchor: int):
     lasts = np.append(edges[1:], len(at)) - 1
     real = at[edges] >= 0
     edges, lasts = edges[real], lasts[real]
-    return windows[at[edges]], edges, lasts + length, at[edges]
+    keys, ends = windows[at[edges]], lasts + length
+    with np.errstate(over="ignore"):
+        whole = (sums[ends] - sums[edges]) * inverse[edges]
+    # A fragment that is like the one before, in bytes and in distance, belongs to its run.
+    text = np.searchsorted(starts, edges, "right")
+    steps = np.diff(edges, append=0)
+    like = np.zeros(len(edges), bool)
+    like[1:] = (keys[1:] == keys[:-1]) & (whole[1:] == whole[:-1]) & (np.diff(ends - edges) == 0) & (np.diff(text) == 0)
+    like[2:] &= ~like[1:-1] | (steps[1:-1] == steps[:-2])
+    head = np.flatnonzero(~like)
+    times = np.diff(np.append(head, len(edges)))
+    return keys[head], edges[head], ends[head], np.where(times > 1, steps[head], 0), times
 
 
 def pieces_of(uids, texts, length: int):
@@ -95,14 +107,15 @@ def fragments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         for rows, block in text_blocks(batches):
             for uids, texts, offsets in pieces_of(rows.column(rows.schema.get_field_index("uid")).to_pylist(), block, length):
                 data, starts = joined(texts)
-                keys, firsts, ends, _ = cut_fragments(data, starts, length, anchor)
+                keys, firsts, ends, steps, times = cut_fragments(data, starts, length, anchor)
                 doc = np.searchsorted(starts, firsts, "right") - 1
                 raw = data.tobytes()
                 hashes = b"".join(blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(firsts.tolist(), ends.tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(np.frombuffer(hashes, np.int64)), pa.array(np.array(uids)[doc]),
-                     pa.array(firsts - starts[doc] + np.array(offsets)[doc]), pa.array((ends - firsts).astype(np.int32))],
-                    ["anchor", "fragment", "uid", "first", "size"],
+                     pa.array(firsts - starts[doc] + np.array(offsets)[doc]), pa.array((ends - firsts).astype(np.int32)),
+                     pa.array(steps.astype(np.int32)), pa.array(times.astype(np.int32))],
+                    ["anchor", "fragment", "uid", "first", "size", "step", "times"],
                 )
 
     return docs.select("uid", "text").mapInArrow(cut, FRAGMENT)
@@ -177,10 +190,10 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
     everything = stored(fragments(docs.filter(F.octet_length("text") >= length), length, anchor), "fragments")
-    again = everything.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    again = everything.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     live = stored(everything.join(again, "anchor"), "live-fragments")
     where = F.struct("uid", "first", "size")
-    distinct = live.groupBy("anchor", "fragment").agg(F.count("*").alias("copies"), F.min(where).alias("at"))
+    distinct = live.groupBy("anchor", "fragment").agg(F.sum("times").alias("copies"), F.min(where).alias("at"))
     distinct = stored(distinct.select("anchor", "fragment", "copies", "at.*"), "distinct-fragments")
 
     weight = distinct.groupBy("anchor").agg(F.sum("size").alias("bytes"))
@@ -210,7 +223,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
     small = covered_in_shards(held.filter("large IS NULL").drop("large"), length)
     covered = stored(small.unionByName(covered_by_hash(held.filter("large"), length, anchor)), "covered")
 
-    spans = live.join(covered, ["anchor", "fragment"]).select("uid", F.struct("first", "starts", "ends").alias("run"))
+    spans = live.join(covered, ["anchor", "fragment"]).select("uid", F.struct("first", "step", "times", "starts", "ends").alias("run"))
     spans = stored(spans.distinct().groupBy("uid").agg(F.collect_list("run").alias("runs")), "spans")
 
     def remove(batches):
@@ -221,7 +234,12 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
             found = rows.column(rows.schema.get_field_index("runs")).to_pylist()
             spans, kept = [], []
             for text, runs_of in zip(texts, found):
-                pairs = sorted((r["first"] + a, r["first"] + b) for r in runs_of or () for a, b in zip(r["starts"], r["ends"]))
+                pairs = sorted(
+                    (at + a, at + b)
+                    for r in runs_of or ()
+                    for at in range(r["first"], r["first"] + r["times"] * max(r["step"], 1), max(r["step"], 1))
+                    for a, b in zip(r["starts"], r["ends"])
+                )
                 merged: list[list[int]] = []
                 for a, b in pairs:
                     if merged and a <= merged[-1][1]:

@@ -34,7 +34,7 @@ def suffix_order(strings: list[bytes], depth: int, seed: int):
     for k in range(SYMBOLS):
         # Nothing behind the end of the string counts.
         key = (key << 9) | np.where(left >= k, text[k : n + k], 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     short = left[order] < SYMBOLS
     first = np.ones(n + 1, bool)
     first[1:n] = (np.diff(key[order]) != 0) | short[1:] | short[:-1]
@@ -50,7 +50,7 @@ def suffix_order(strings: list[bytes], depth: int, seed: int):
         if len(rows):
             at = order[rows]
             pair = (rank[at] << 32) | rank[at + reached]
-            sorting = np.argsort(pair, kind="stable")
+            sorting = np.argsort(pair)
             order[rows] = at[sorting]
             pair = pair[sorting]
             first[rows[1:]] |= np.diff(pair) != 0
