@@ -161,9 +161,9 @@ def op7_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query()
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
+    words = mixing.word_count(F.col("text")).alias("words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words)
+    return mixing.mix(docs, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _CONTROLS = "|".join(["\\\\", *(c.replace("[", "\\[").replace("]", "\\]") for c in chat.CONTROLS)])
