@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import text_blocks
+from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
 
 FEATURES = 1 << 18
 SAMPLE = 20_000
@@ -172,8 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """``(ratios, weights, slope, intercept)`` learnt from the labelled rows that are not held out."""
     import numpy as np
 
-    known = labels.filter("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
-    training = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, "doc_id")
+    known = labels.filter(~held_out(F.col("doc_id"))).filter("quality IN (0, 1)")
+    known = known.select("doc_id", F.col("quality").cast("int").alias("label"))
+    # Only texts that have a label are shuffled, and once.
+    labelled, _ = split_by_ids(docs.select("doc_id", "text"), "doc_id", known)
+    training = stored(labelled.join(known, "doc_id"), "training")
     ratios = log_count_ratios(training.select("text", "label"))
     if not ratios.any():
         return ratios, np.zeros(FEATURES + 1), 0.0, 0.0
