@@ -181,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     if not ratios.any():
         return ratios, np.zeros(FEATURES + 1), 0.0, 0.0
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    chosen = training.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(sample).select("text", "label")
+    # The sample's last draw is found among draws alone, so only the texts of the sample move.
+    drawn = training.withColumn("draw", F.xxhash64("doc_id"))
+    last = drawn.select("draw").orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    chosen = drawn.filter(F.col("draw") <= last).select("text", "label").limit(sample)
 
     def fitted(batches):
         import numpy as np
@@ -203,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             [pa.array([weights.tobytes()], pa.binary()), pa.array([a]), pa.array([b])], ["weights", "slope", "intercept"]
         )
 
-    model = chosen.coalesce(1).mapInArrow(fitted, "weights binary, slope double, intercept double").first()
+    model = chosen.repartition(1).mapInArrow(fitted, "weights binary, slope double, intercept double").first()
     return ratios, np.frombuffer(model["weights"], np.float64), model["slope"], model["intercept"]
 
 
