@@ -36,8 +36,9 @@ from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
 #: documents of CHUNK shingles, by their sum. They shape the order only, never the result.
 FREQUENT, LOCAL, CHUNK = 100_000, 4, 2_000_000
 MOST_MATCHES, VERIFY_COST = 8, 16.0
-BLOCK = 512
-BITS = 1024
+BLOCK = 4096
+#: Bits of a document's bitmap: a power of two, as many as its shingles within these bounds.
+LEAST_BITS, MOST_BITS = 512, 16384
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,7 @@ def choose_matches(counts, needed: int, size: int) -> int:
     return best
 
 
-SIGNATURE = "doc_id long, n long, k1 long, k2 long, l int, rare array<long>, often array<long>, bits array<long>"
+SIGNATURE = "doc_id long, n long, k1 long, k2 long, l int, rare array<long>, often array<long>, bits binary"
 
 
 def signatures(docs: DataFrame, join: Join) -> DataFrame:
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
             for s in shingles(texts, join.words):
                 n = len(s)
                 if not n:
-                    made.append((0, 0, 0, 0, [], [], []))
+                    made.append((0, 0, 0, 0, [], [], b""))
                     continue
                 key = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 occurs = np.ones(n)
@@ -134,14 +135,15 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
                 matches = choose_matches(occurs[order], needed, n)
                 prefix = order[: n - needed + matches]
                 rare, often = (s[prefix[(occurs[prefix] > 1) == x]].view(np.int64) for x in (False, True))
-                flips = np.bincount((mixed(s) % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
-                bits = np.packbits(flips.astype(np.uint8)).view(np.int64)
+                width = min(max(LEAST_BITS, 1 << (n - 1).bit_length()), MOST_BITS)
+                flips = np.bincount((mixed(s) % np.uint64(width)).astype(np.int64), minlength=width) % 2
+                bits = np.packbits(flips.astype(np.uint8)).tobytes()
                 made.append((n, int(key[0]), int(key[1]), matches, rare, often, bits))
             n, k1, k2, matches, rare, often, bits = zip(*made)
             long, longs = pa.int64(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("doc_id")).cast(long), pa.array(n, long), pa.array(k1, long), pa.array(k2, long),
-                 pa.array(matches, pa.int32()), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, longs)],
+                 pa.array(matches, pa.int32()), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, pa.binary())],
                 ["doc_id", "n", "k1", "k2", "l", "rare", "often", "bits"],
             )
 
@@ -152,8 +154,45 @@ def long_enough(join: Join, n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= join.percent * F.greatest(n, m)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets are similar enough."""
+def folded(bits, width: int):
+    """Rows of bitmaps, as 64-bit words, brought down to ``width`` bytes; halves of a bitmap add up without carry."""
+    while bits.shape[1] * 8 > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def room_for_overlap(apart, total, percent: int):
+    """Whether sets of ``total`` elements in sum can be similar enough: bitmaps are ``apart`` by no more than the sets."""
+    return 200 * ((total - apart) // 2) >= percent * (total + apart)
+
+
+def star_candidates(pairs: DataFrame, join: Join) -> DataFrame:
+    """The ``pairs`` (a, b, a_n, b_n, a_l, b_l, a_tokens, b_tokens, a_bits, b_bits) that pass the bounds."""
+    percent = join.percent
+
+    def check(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = zip(*(column.to_pylist() for column in batch.columns[2:]))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (n, m, k, l, ours, theirs, x, y) in enumerate(rows):
+                width = min(len(x), len(y))
+                x, y = (folded(np.frombuffer(z, np.uint64)[None, :], width) for z in (x, y))
+                apart = int(np.bitwise_count(x ^ y).sum())
+                keep[i] = room_for_overlap(apart, n + m, percent) and len(set(ours) & set(theirs)) >= min(k, l)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], ["a", "b"])
+
+    columns = ["a", "b", *(f"{side}_{c}" for c in ("n", "l", "tokens", "bits") for side in "ab")]
+    return pairs.filter(long_enough(join, F.col("a_n"), F.col("b_n"))).select(*columns).mapInArrow(check, "a long, b long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """The ``pairs`` (a, b) of documents whose whole sets are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(whole_sets(docs, stored(ids, "pair-ids"), join), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_set", "b_set")
@@ -219,7 +258,14 @@ def candidates_in_blocks(rows: DataFrame, join: Join) -> DataFrame:
         for (token, i, j), rows in blocks():
             half, ids, comps, n, l, tokens, bits = zip(*rows)
             half, ids, comps, n = np.array(half), np.array(ids), np.array(comps), np.array(n)
-            bits = np.array(bits, np.int64).view(np.uint64)
+            width = np.array([len(b) for b in bits])
+            # Bitmaps by width: those as wide or wider, folded to it.
+            maps = {}
+            for w in np.unique(width).tolist():
+                maps[w] = np.zeros((len(ids), w // 8), np.uint64)
+                for v in np.unique(width[width >= w]).tolist():
+                    at = np.flatnonzero(width == v)
+                    maps[w][at] = folded(np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), -1), w)
             sets = [frozenset(t) for t in tokens]
             for x in range(len(ids)):
                 ok = (comps != comps[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
@@ -227,11 +273,12 @@ def candidates_in_blocks(rows: DataFrame, join: Join) -> DataFrame:
                 near = np.flatnonzero(ok)
                 if not len(near):
                     continue
-                # The bitmap's distance is at most that of the sets, which bounds their overlap.
-                apart = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                total = n[near] + n[x]
-                near = near[200 * ((total - apart) // 2) >= percent * (total + apart)]
-                for y in near.tolist():
+                common_width = np.minimum(width[near], width[x])
+                apart = np.empty(len(near), np.int64)
+                for w in np.unique(common_width).tolist():
+                    at = common_width == w
+                    apart[at] = np.bitwise_count(maps[w][near[at]] ^ maps[w][x]).sum(axis=1, dtype=np.int64)
+                for y in near[room_for_overlap(apart, n[near] + n[x], percent)].tolist():
                     common = sets[x] & sets[y]
                     if len(common) >= min(l[x], l[y]) and token == min(common):
                         found.append((int(ids[x]), int(ids[y])))
@@ -270,17 +317,14 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     about = postings.groupBy("id").agg(F.collect_set("token").alias("tokens"))
     about = about.join(worded.select(F.col("doc_id").alias("id"), "n", "l", "bits").dropDuplicates(["id"]), "id")
     about = stored(about, "candidates")
-    sets = stored(whole_sets(docs, about.select("id"), join), "sets")
 
     # Each shingle's documents against the first of them.
     star = postings.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     a, b = (about.select(*[F.col(c).alias(f"{side}_{c}") for c in about.columns]) for side in "ab")
-    star = star.join(b, F.col("b") == F.col("b_id")).join(a, F.col("a") == F.col("a_id")).filter(
-        long_enough(join, F.col("a_n"), F.col("b_n"))
-        & (F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.least("a_l", "b_l"))
-    )
+    star = star.join(b, F.col("b") == F.col("b_id")).join(a, F.col("a") == F.col("a_id"))
+    star = stored(star_candidates(star, join), "star-pairs")
     joined = member.filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links = stored(verified(star.select("a", "b"), sets, join), "star-links")
+    links = stored(verified(docs, star, join), "star-links")
     groups = stored(components(links), "star-components")
 
     # What is not joined yet, in blocks.
@@ -292,8 +336,8 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     blocks = left.join(mixed.select("token"), "token", "left_semi").withColumn("half", chunk)
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     blocks = blocks.select("token", F.least("half", "other").alias("i"), F.greatest("half", "other").alias("j"), "half", "id", "component")
-    rest = candidates_in_blocks(blocks.join(about, "id"), join)
-    more = stored(verified(rest, sets, join), "block-links")
+    rest = stored(candidates_in_blocks(blocks.join(about, "id"), join), "block-pairs")
+    more = stored(verified(docs, rest, join), "block-links")
 
     grouped = stored(components(links.unionByName(more).unionByName(joined)), "components")
     result = signed.select("doc_id", F.col("n").alias("n_shingles")).join(grouped, F.col("doc_id") == F.col("id"), "left")
