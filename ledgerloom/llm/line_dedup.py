@@ -1,7 +1,7 @@
 """Removal of lines that repeat an earlier line up to one word.
 
-Lines are sequences of words; white space does not count. Equal lines are grouped by hash, and the earliest, by document id
-and place, is kept. Distinct lines are then joined by deletion neighbourhoods: a line emits, as hashed
+Lines are sequences of words; white space does not count. Equal lines are put together per document and then grouped by
+hash, and the earliest, by document id and place, is kept, however short they are. Distinct lines are then joined by deletion neighbourhoods: a line emits, as hashed
 keys, itself and every variant without one of its words. Two lines are one word edit apart exactly if
 
 * they give the same variant with the word at the same place removed (one word replaced), or
@@ -15,7 +15,7 @@ So that not every line of a large corpus emits all its variants, lines first hav
 with a line of about their length, as lines one edit apart always do.
 
 Defined results: a null or empty text has no line that can go and stays as it is; lines of fewer than ``least_words`` words are
-kept, those of fewer than ``least_fuzzy`` go only if equal; rows repeated whole (id and text) are one document and are treated alike; a null id
+kept, by default those without a word; those of fewer than ``least_fuzzy`` go only if equal; rows repeated whole (id and text) are one document and are treated alike; a null id
 comes after all others; an empty table gives an empty table; further columns are kept, except that columns named like a result
 are replaced.
 """
@@ -35,17 +35,20 @@ RESULTS = ("n_lines", "n_removed", "clean_text")
 
 @dataclass(frozen=True)
 class Bounds:
-    """Fewest words of a line that can be removed, and of one that can go for a line one word apart."""
+    """Fewest words of a line that can be removed, and of one that can go for a line one word apart.
 
-    least_words: int = 4
-    least_fuzzy: int = 9
+    In lines of under five words another word is another line: "Yes." and "No." are one word apart.
+    """
 
+    least_words: int = 1
+    least_fuzzy: int = 5
 
-LINES = "uid long, doc_id long, place int, h1 long, h2 long, size int, halves array<long>"
+
+LINES = "uid long, doc_id long, places array<int>, h1 long, h2 long, size int, halves array<long>"
 
 
 def hashed_lines(docs: DataFrame, bounds: Bounds) -> DataFrame:
-    """The lines of ``docs`` (uid, doc_id, text) that can be removed."""
+    """The distinct lines of each of ``docs`` (uid, doc_id, text) that can be removed, with their places in order."""
 
     def hashed(batches):
         import numpy as np
@@ -56,15 +59,22 @@ def hashed_lines(docs: DataFrame, bounds: Bounds) -> DataFrame:
         for rows, texts in text_blocks(batches):
             lines = Lines(texts)
             keep = np.flatnonzero(lines.size >= bounds.least_words)
+            h1, h2 = lines.keys()[keep], lines.keys(1)[keep]
+            order = np.lexsort((lines.place[keep], h2, h1, lines.of[keep]))
+            keep, h1, h2 = keep[order], h1[order], h2[order]
+            new = np.ones(len(keep), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (np.diff(lines.of[keep]) != 0)
+            places = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(keep)).astype(np.int32)), pa.array(lines.place[keep].astype(np.int32)))
+            keep, h1, h2 = keep[new], h1[new], h2[new]
             of = pa.array(lines.of[keep])
             halves = lines.halves()[keep].view(np.int64)
             fuzzy = lines.size[keep] >= bounds.least_fuzzy
             offsets = np.concatenate([[0], np.cumsum(4 * fuzzy)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("uid")).take(of), rows.column(rows.schema.get_field_index("doc_id")).take(of),
-                 pa.array(lines.place[keep].astype(np.int32)), pa.array(lines.keys()[keep].view(np.int64)), pa.array(lines.keys(1)[keep].view(np.int64)),
+                 places, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                  pa.array(lines.size[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[fuzzy].ravel()))],
-                ["uid", "doc_id", "place", "h1", "h2", "size", "halves"],
+                ["uid", "doc_id", "places", "h1", "h2", "size", "halves"],
             )
 
     return docs.select("uid", "doc_id", "text").mapInArrow(hashed, LINES)
@@ -162,16 +172,20 @@ def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     known = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     brief = known.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     lines = stored(hashed_lines(brief, bounds), "lines")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
-    line = F.struct(rank.alias("rank"), "uid", "size", "halves")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(line).alias("first"), F.count("*").alias("times"))
+
+    def rank(place):
+        return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", place.alias("place"))
+
+    line = F.struct(rank(F.get("places", F.lit(0))).alias("rank"), "uid", "size", "halves")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(line).alias("first"), F.sum(F.size("places")).alias("times"))
     distinct = stored(distinct.select("h1", "h2", "times", "first.*", F.col("first.rank.place").alias("place")), "distinct-lines")
     fuzzy = distinct.filter(F.size("halves") > 0)
     near = stored(near_lines(brief, fuzzy), "near-lines").withColumn("near", F.lit(True))
 
     affected = distinct.join(near, "h1", "left").filter("times > 1 OR near").select("h1", "h2", F.col("rank").alias("first"), "near")
-    gone = lines.join(affected, ["h1", "h2"]).filter(F.col("near") | (rank > F.col("first")))
-    gone = stored(gone.groupBy("uid").agg(F.collect_set("place").alias("gone")), "lines-gone")
+    later = F.filter("places", lambda p: F.coalesce("near", F.lit(False)) | (rank(p) > F.col("first")))
+    gone = lines.join(affected, ["h1", "h2"]).select("uid", later.alias("gone")).filter(F.size("gone") > 0)
+    gone = stored(gone.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "lines-gone")
 
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())])

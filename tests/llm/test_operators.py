@@ -264,6 +264,16 @@ def test_line_dedup(spark, none, rows):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["Yes.\nAll rights reserved.\nYes.\n\n\nNo.", "No.\n  Yes.\nall rights reserved.", "one two three four five\n\nNo. \nsix", "one two other four five\none two three four"]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_lines, r.n_removed, r.clean_text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {
+        (0, 6, 1, "Yes.\nAll rights reserved.\n\n\nNo."), (1, 3, 2, "all rights reserved."),
+        (2, 4, 1, "one two three four five\n\nsix"), (3, 2, 1, "one two three four"),
+    }
+
+
 def test_mixing(docs, none, rows):
     found = mixing.mix(docs).collect()
     size = {s: sum(len(words(r[1])) for r in rows if r[3] == s) for s in {r[3] for r in rows}}
