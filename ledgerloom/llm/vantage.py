@@ -7,9 +7,11 @@ into its own side first, and enters the other side unless the triangle inequalit
 there can be among its nearest. The bound is multiplied by ``relax``: 1 is exact search, more prunes
 more and may miss neighbours.
 
-Inner products become distances by one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm
-(0 for queries), so nearest by distance is largest by inner product, for vectors of any length.
-Candidates are scored anew in double precision, component by component in order.
+Inner products become distances by one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm of the shard
+(0 for queries), so nearest by distance is largest by inner product, for vectors of any length. Distances only decide
+which leaves are entered, with a margin for their rounding. In a leaf, every point whose inner product is within rounding
+of the ``k``-th best so far is scored anew in double precision, component by component in order, and the best by
+score and id are held, so that neither ties nor a single long vector lose a neighbour.
 
 Every query block meets every shard: that is the search itself. Shards and blocks are bounded, and of
 each pair only the nearest ``k`` of each query leave the task.
@@ -26,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 16384, 4096, 256
-#: Candidates kept beyond ``k`` until scores are computed in order.
-SPARE = 4
+#: Scores of a leaf computed in order at once.
+SCORES = 1 << 18
 RELAX = 1.0
 
 FOUND = "query_id long, vec_id long, score double"
@@ -71,89 +73,141 @@ class Tree:
         bounds = [(d[side].min(), d[side].max()) for side in (near, far)]
         return vantage, *bounds, self.split(rows[near]), self.split(rows[far])
 
-    def search(self, queries, k: int, relax: float, own=None):
-        """Rows and distances of the ``k`` nearest of each query, unsorted; -1 where there are fewer.
+    def walk(self, queries, meet, reach, relax: float) -> None:
+        """Call ``meet(active, rows)`` for each leaf and the queries that may have points there within ``reach(active)``, squared.
 
-        ``own``: a row per query that is not its candidate, or -1. Also counts the distances computed.
+        Also counts the distances computed.
         """
         import numpy as np
 
-        n = len(queries)
         squares = np.einsum("ij,ij->i", queries, queries)
-        best = np.full((n, k), np.inf)
-        found = np.full((n, k), -1, np.int64)
+        # What rounding can do to a squared distance.
+        double = np.finfo(float)
+        slack = 16 * (queries.shape[1] + 8) * double.eps * (squares + self.squares.max()) + double.tiny
         self.seen = 0
 
         def visit(node, active):
             if not len(active):
                 return
             if not isinstance(node, tuple):
-                d = self.distances(queries[active], squares[active], node)
-                self.seen += d.size
-                if own is not None:
-                    d[node[None, :] == own[active][:, None]] = np.inf
-                better = d.min(axis=1) < best[active].max(axis=1)
-                active, d = active[better], d[better]
-                d = np.concatenate([best[active], d], axis=1)
-                rows = np.concatenate([found[active], np.broadcast_to(node, (len(active), len(node)))], axis=1)
-                take = np.argpartition(d, k - 1, axis=1)[:, :k]
-                best[active] = np.take_along_axis(d, take, 1)
-                found[active] = np.where(np.isinf(best[active]), -1, np.take_along_axis(rows, take, 1))
+                self.seen += len(active) * len(node)
+                meet(active, node)
                 return
             vantage, near_bounds, far_bounds, near, far = node
             d = self.distances(queries[active], squares[active], np.array([vantage]))[:, 0]
             self.seen += len(active)
+            e = slack[active]
+            least, most = np.sqrt(np.maximum(d**2 - e, 0.0)), np.sqrt(d**2 + e)
             nearer = d <= (near_bounds[1] + far_bounds[0]) / 2
             sides = ((near, near_bounds, nearer), (far, far_bounds, ~nearer))
             for side, _, first in sides:
                 visit(side, active[first])
             for side, (lo, hi), first in sides:
-                bound = np.maximum(lo - d, d - hi) * relax
-                # The margin covers rounding of distances.
-                visit(side, active[~first & (bound <= best[active].max(axis=1) + 1e-6)])
+                bound = np.maximum(np.sqrt(np.maximum(lo**2 - e, 0.0)) - most, least - np.sqrt(hi**2 + e)) * relax
+                # Written so that what overflows is visited.
+                visit(side, active[~first & ~(bound > np.sqrt(np.maximum(reach(active) + e, 0.0)))])
 
-        visit(self.root, np.arange(n))
+        visit(self.root, np.arange(len(queries)))
+
+    def search(self, queries, k: int, relax: float):
+        """Rows and distances of the ``k`` nearest of each query, unsorted; -1 where there are fewer."""
+        import numpy as np
+
+        squares = np.einsum("ij,ij->i", queries, queries)
+        best = np.full((len(queries), k), np.inf)
+        found = np.full((len(queries), k), -1, np.int64)
+
+        def meet(active, rows):
+            d = np.concatenate([best[active], self.distances(queries[active], squares[active], rows)], axis=1)
+            rows = np.concatenate([found[active], np.broadcast_to(rows, (len(active), len(rows)))], axis=1)
+            take = np.argpartition(d, k - 1, axis=1)[:, :k]
+            best[active] = np.take_along_axis(d, take, 1)
+            found[active] = np.take_along_axis(rows, take, 1)
+
+        self.walk(queries, meet, lambda active: best[active].max(axis=1) ** 2, relax)
         return found, best
 
 
-def scores_in_order(queries, points):
-    """Inner products of rows, each summed component by component in order."""
+def norms(vectors):
+    """Lengths of rows, none of them zero, without overflow or underflow of squares."""
     import numpy as np
 
-    total = np.zeros(len(queries))
-    for j in range(queries.shape[1]):
-        total += queries[:, j] * points[:, j]
-    return total
+    scale = np.abs(vectors).max(axis=1)
+    unit = vectors / scale[:, None]
+    return scale * np.sqrt(np.einsum("ij,ij->i", unit, unit))
 
 
-def nearest_in_shard(query_ids, queries, ids, vectors, k: int, largest: float, relax: float):
+def nearest_in_shard(query_ids, queries, ids, vectors, k: int, relax: float):
     """(query id, id, score) of the ``k`` nearest of each query within a shard."""
     import numpy as np
 
-    # Equal vectors are one point with a list of ids, so that ties go by id and not by rounding.
+    # Equal vectors are one point with a list of ids, in order.
     vectors = vectors + 0.0
     points, point_of = np.unique(vectors, axis=0, return_inverse=True)
     by_point = np.lexsort((ids, point_of))
     first = np.searchsorted(point_of[by_point], np.arange(len(points) + 1))
-    last = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", points, points), 0.0))
-    tree = Tree(np.column_stack([points, last]))
-    # A point whose only id is the query's own is not its candidate.
-    single = {ids[by_point[a]]: p for p, (a, b) in enumerate(zip(first, first[1:])) if ids[by_point[a]] == ids[by_point[b - 1]]}
-    own = np.array([single.get(q, -1) for q in query_ids], np.int64)
-    found, _ = tree.search(np.column_stack([queries, np.zeros(len(queries))]), k + SPARE, relax, own)
-    q, p = np.nonzero(found >= 0)
-    p = found[q, p]
-    score = scores_in_order(queries[q], points[p])
-    # Each point stands for its smallest ids, one more than asked as one may be the query's own.
-    held = np.minimum(first[p + 1] - first[p], k + 1)
-    rows = np.repeat(first[p], held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
-    q, score, vec = np.repeat(q, held), np.repeat(score, held), ids[by_point[rows]]
-    keep = vec != query_ids[q]
-    q, score, vec = q[keep], score[keep], vec[keep]
-    order = np.lexsort((vec, -score, q))
-    q, score, vec = q[order], score[order], vec[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return query_ids[q[rank < k]], vec[rank < k], score[rank < k]
+    listed = ids[by_point]
+    known, number = np.unique(listed, return_inverse=True)
+    places = point_of[by_point] * len(known) + number
+    own = np.minimum(np.searchsorted(known, query_ids), len(known) - 1)
+    own = np.where(known[own] == query_ids, own, -1)
+
+    squares, lengths, query_lengths = np.einsum("ij,ij->i", points, points), norms(points), norms(queries)
+    query_squares, largest = np.einsum("ij,ij->i", queries, queries), squares.max()
+    tree = Tree(np.column_stack([points, np.sqrt(np.maximum(largest - squares, 0.0))]))
+    by_component = list(zip(np.ascontiguousarray(queries.T), np.ascontiguousarray(points.T)))
+    double = np.finfo(float)
+    rounding = 4 * (queries.shape[1] + 2) * double.eps
+
+    held = np.zeros(len(queries), np.int64)
+    score, vec = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)
+
+    def worst(active):
+        return np.where(held[active] == k, score[active, -1], -np.inf)
+
+    def improve(active, rows):
+        least = worst(active)
+        margin = rounding * query_lengths[active][:, None] * lengths[rows] + double.tiny
+        # Written so that what overflows is scored.
+        at, p = np.nonzero(~(queries[active] @ points[rows].T + margin < least[:, None]))
+        q, p, made = active[at], rows[p], np.zeros(len(at))
+        # Inner products, each summed component by component in order.
+        for of_query, of_point in by_component:
+            made += of_query[q] * of_point[p]
+        keep = ~(made < least[at])
+        q, p, made = q[keep], p[keep], made[keep]
+        # Each point stands for its ``k`` smallest ids besides the query's own.
+        mine = p * len(known) + own[q]
+        times = np.where(own[q] < 0, 0, np.searchsorted(places, mine, "right") - np.searchsorted(places, mine))
+        take = np.minimum(first[p + 1] - first[p], k + times)
+        at = np.repeat(first[p], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+        q, made, found = np.repeat(q, take), np.repeat(made, take), listed[at]
+        keep = found != query_ids[q]
+        q, made, found = q[keep], made[keep], found[keep]
+        touched = np.unique(q)
+        at, column = np.nonzero(np.arange(k) < held[touched][:, None])
+        before = touched[at]
+        q = np.concatenate([before, q])
+        made, found = np.concatenate([score[before, column], made]), np.concatenate([vec[before, column], found])
+        # As in Spark, NaN (of products that overflow) comes before all numbers.
+        order = np.lexsort((found, -made, ~np.isnan(made), q))
+        q, made, found = q[order], made[order], found[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, made, found, rank = q[rank < k], made[rank < k], found[rank < k], rank[rank < k]
+        score[q, rank], vec[q, rank] = made, found
+        held[touched] = np.bincount(q, minlength=len(queries))[touched]
+
+    def meet(active, rows):
+        step = max(1, SCORES // int(np.minimum(first[rows + 1] - first[rows], k).sum()))
+        for i in range(0, len(active), step):
+            improve(active[i : i + step], rows)
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        tree.walk(
+            np.column_stack([queries, np.zeros(len(queries))]), meet, lambda active: query_squares[active] + largest - 2 * worst(active), relax
+        )
+    q, rank = np.nonzero(np.arange(k) < held[:, None])
+    return query_ids[q], vec[q, rank], score[q, rank]
 
 
 def nearest(
@@ -166,9 +220,7 @@ def nearest(
         return df.filter(usable(F.col("embedding"))).select("vec_id", vector.alias("embedding"), F.size("embedding").alias("dim"))
 
     base, queries = vectors(base), vectors(queries).dropDuplicates(["vec_id"])
-    square = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
-    count, largest = base.agg(F.count("*"), F.sqrt(F.max(square))).first()
-    asked = queries.count()
+    count, asked = base.count(), queries.count()
     shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked // block_queries))
 
     def dealt(df, own, parts, other, others):
@@ -190,7 +242,7 @@ def nearest(
         empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         found = empty
         if points.num_rows and asked.num_rows:
-            found = nearest_in_shard(*arrays(asked), *arrays(points), k, largest, relax)
+            found = nearest_in_shard(*arrays(asked), *arrays(points), k, relax)
         return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     found = left.cogroup(right).applyInArrow(search, FOUND)

@@ -350,6 +350,34 @@ def test_vantage_points(spark):
     assert vantage.nearest(df.filter("vec_id < 0"), df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["ties", "long", "own"])
+def test_vantage_points_lose_none(spark, kind):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    if kind == "ties":
+        vectors = rng.integers(-1, 2, size=(3000, 16)).astype(float)
+        vectors[:, 0] = 1
+    else:
+        vectors = rng.normal(size=(3000, 16))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    ids = np.arange(3000)
+    if kind == "long":
+        vectors[1500] *= 1e8
+    if kind == "own":
+        vectors[100:140], ids[100:130] = vectors[100], 100
+    df = spark.createDataFrame(list(zip(ids.tolist(), vectors.tolist())), "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in vantage.nearest(df, df.filter("vec_id % 20 = 0")).collect()]
+    expected = []
+    for q in np.unique(ids[ids % 20 == 0]):
+        scores = np.zeros(3000)
+        for j in range(16):
+            scores += vectors[:, j] * vectors[q, j]
+        best = [i for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:20]
+        expected += [(ids[q], ids[i], scores[i]) for i in best]
+    assert sorted(got) == sorted(expected)
+
+
 def test_relaxed_bound_prunes():
     import numpy as np
 
