@@ -3,7 +3,7 @@
 1. ``quality_rules``: lines that fail a rule go, and documents that fail go whole.
 2. ``line_dedup``: lines that repeat an earlier line up to one word go, and documents of which no words are left.
 3. ``near_duplicates``: of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, directly or
-   through others, the one of the smallest id stays.
+   through others, the one of the smallest id stays. Rows of one id and different texts are different documents here.
 4. ``mixing``: documents are repeated or left out so that sources come near their target shares.
 5. ``packing``: what is left is packed into sequences of tokens, one row per piece.
 
@@ -43,16 +43,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    groups = stored(jaccard.similar_documents(docs.select("doc_id", "text"), NEAR), "near-groups")
-    counts = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("times"))
-    changed = stored(counts.filter("first < doc_id OR times > 1"), "near-changed")
-    touched, rest = split_by_ids(docs, "doc_id", changed)
-    ends = touched.join(changed, "doc_id", "left")
-    stay = ends.filter("times IS NULL").select(*COLUMNS)
-    # Rows that share an id are one document.
-    once = ends.filter("first = doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return rest.unionByName(stay).unionByName(once.select("doc_id", "row.*"))
+    # A document is an id with a text; rows repeated whole are one.
+    uid = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    docs = docs.select(*COLUMNS, uid.alias("uid"))
+    groups = stored(jaccard.similar_documents(docs.select(F.col("uid").alias("doc_id"), "text"), NEAR), "near-groups")
+    groups = groups.select(F.col("doc_id").alias("uid"), "component_id").filter("uid IS NOT NULL")
+    counts = stored(groups.groupBy("uid").agg(F.min("component_id").alias("first"), F.count("*").alias("times")), "near-counts")
+    linked = counts.filter("first <> uid")
+    ends = linked.select("uid", "first").unionByName(linked.select(F.col("first").alias("uid"), "first").distinct())
+    changed = ends.unionByName(counts.filter("first = uid AND times > 1").select("uid", "first")).distinct()
+    changed = stored(changed, "near-changed")
+    touched, rest = split_by_ids(docs, "uid", changed)
+    stay = touched.join(changed, "uid", "left_anti")
+    members = touched.select("uid", "doc_id").join(changed, "uid")
+    least = members.groupBy("first").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
+    least = stored(least.select("least.uid"), "near-least")
+    once = touched.join(least, "uid").groupBy("doc_id", "uid").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    return rest.unionByName(stay).select(*COLUMNS).unionByName(once.select("doc_id", "row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

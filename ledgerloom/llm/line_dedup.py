@@ -15,7 +15,8 @@ So that not every line of a large corpus emits all its variants, lines first hav
 with a line of about their length, as lines one edit apart always do.
 
 Defined results: a null or empty text has no line that can go and stays as it is; lines of fewer than ``least_words`` words are
-kept, by default those without a word; those of fewer than ``least_fuzzy`` go only if equal; rows repeated whole (id and text) are one document and are treated alike; a null id
+kept, by default those without a word; those of fewer than ``least_fuzzy`` go only if equal; rows repeated whole (id and text) are one document and are treated alike, other texts of its id are
+further documents, in the order of a hash where places are equal; a null id
 comes after all others; an empty table gives an empty table; further columns are kept, except that columns named like a result
 are replaced.
 """
@@ -148,7 +149,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shorter = wholes.join(earliest(variants, "variant"), "variant")
     longer = variants.join(wholes.select("variant", F.col("me").alias("first")), "variant")
     pairs = replaced.select("me", "first").unionByName(shorter.select("me", "first")).unionByName(longer.select("me", "first"))
-    pairs = pairs.filter("first.rank < me.rank").groupBy("me").agg(F.min("first").alias("first"))
+    pairs = pairs.filter("first < me").groupBy("me").agg(F.min("first").alias("first"))
     pairs = pairs.select(F.col("me.line").alias("a"), F.col("first.line").alias("b"))
     text = lines.select("h1", "line")
     both = pairs.join(text.toDF("a", "a_line"), "a").join(text.toDF("b", "b_line"), "b").select("a", "a_line", "b_line")
@@ -182,8 +183,8 @@ def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     fuzzy = distinct.filter(F.size("halves") > 0)
     near = stored(near_lines(brief, fuzzy), "near-lines").withColumn("near", F.lit(True))
 
-    affected = distinct.join(near, "h1", "left").filter("times > 1 OR near").select("h1", "h2", F.col("rank").alias("first"), "near")
-    later = F.filter("places", lambda p: F.coalesce("near", F.lit(False)) | (rank(p) > F.col("first")))
+    affected = distinct.join(near, "h1", "left").filter("times > 1 OR near").select("h1", "h2", F.struct("rank", "uid").alias("first"), "near")
+    later = F.filter("places", lambda p: F.coalesce("near", F.lit(False)) | (F.struct(rank(p).alias("rank"), "uid") > F.col("first")))
     gone = lines.join(affected, ["h1", "h2"]).select("uid", later.alias("gone")).filter(F.size("gone") > 0)
     gone = stored(gone.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "lines-gone")
 

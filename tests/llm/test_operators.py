@@ -274,6 +274,13 @@ def test_line_dedup_of_short_lines(spark):
     }
 
 
+def test_line_dedup_of_texts_of_one_id(spark):
+    line = "one line of words that stands in both of the texts"
+    docs = [(7, line + "\nmine"), (7, line + "\nyours"), (8, "a b c d e f"), (8, "a b c d e g"), (9, "twice"), (9, "twice")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(key, ((r.doc_id, r.n_removed) for r in found))) == sorted(map(key, [(7, 0), (7, 1), (8, 0), (8, 1), (9, 0), (9, 0)]))
+
+
 def test_mixing(docs, none, rows):
     found = mixing.mix(docs).collect()
     size = {s: sum(len(words(r[1])) for r in rows if r[3] == s) for s in {r[3] for r in rows}}

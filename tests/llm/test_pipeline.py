@@ -71,6 +71,17 @@ def test_stages(spark, folder, tmp_path):
     assert sum(r.length for r in again.collect()) == tokens
 
 
+def test_near_duplicates_of_one_id(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (3, c + " more"), (4, a + " more"), (0, "short"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(3), "").collect())
+    third = [k for k in found if k[0] == 3]
+    assert len(third) == 1 and third[0][1] in (c, c + " more")
+    assert found == Counter([(1, a), (1, b), third[0], (0, "short"), (None, a), (None, a)])
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
