@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, jaccard, line_dedup, mixing, packing, quality_model, substrings, tokens, vantage
+from ledgerloom.llm import chat, divergence, jaccard, line_dedup, mixing, packing, quality_model, substrings, tokens, vantage, warc, whitening
 from ledgerloom.llm.quality_rules import BLANK, BOILERPLATE, SYMBOL, Rules, clean_lines
 from ledgerloom.llm.shared import table
 
@@ -208,3 +208,86 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vantage.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query()
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    by_component = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of")
+    return whitened.select("vec_id", "n", "deviation", "identity_error", by_component).select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        F.col("of.whitened").alias("whitened"),
+        F.col("of.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+@query(rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x{{00}}-\x{{40}}\x{{5B}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS terms
+    FROM documents
+), occurring AS (
+    SELECT doc, lang, source, unnest(terms) AS term FROM texts
+), kept AS (
+    SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT doc) >= {divergence.LEAST_DOCUMENTS}
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM texts
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+    SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), of_lang AS (
+    SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL
+), lang_totals AS (
+    SELECT lang, sum(n) AS total FROM counts GROUP BY lang
+), cells AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n,
+           1 + ({divergence.SCALE} * CAST(coalesce(n, 0) + {divergence.SMOOTHING} AS HUGEINT)) // CAST(total + {divergence.SMOOTHING} * v AS HUGEINT) AS p
+    FROM totals JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN counts USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce((
+        SELECT sum(abs(x.p - y.p)) FROM cells AS x JOIN cells AS y USING (lang, term)
+        WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source
+    ), 0) AS value
+    FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+), terms AS (
+    SELECT lang, source, term AS item,
+           p - (1 + ({divergence.SCALE} * CAST(of_lang.n + {divergence.SMOOTHING} AS HUGEINT)) // CAST(lang_totals.total + {divergence.SMOOTHING} * v AS HUGEINT)) AS value
+    FROM cells JOIN of_lang USING (lang, term) JOIN lang_totals USING (lang) JOIN sizes USING (lang) WHERE cells.n > 0
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms WHERE value > 0
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+""")
+def op12_transducer_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query("""
+WITH records AS (
+    SELECT page_id, row_number() OVER () AS record, coalesce(html, '') AS payload FROM pages
+), responses AS (
+    SELECT payload, max(struct_pack(page_id := coalesce(page_id, -9223372036854775808), record := record)) AS response FROM records GROUP BY payload
+), coded AS (
+    SELECT page_id, record, response, strlen(payload) AS payload_bytes, sha1(payload) AS hex FROM records JOIN responses USING (payload)
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST(concat('0x', substr(hex, 1 + 5 * (k // 4), 5)) AS INTEGER) >> (15 - 5 * (k % 4))) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN record = response.record THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN record <> response.record THEN response.page_id END AS refers_to
+FROM coded
+""")
+def op13_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
