@@ -22,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.hashing import BASE, MIX, joined, mixed
 from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
+from ledgerloom.llm.suffixes import repeated_starts
 
 LENGTH, ANCHOR = 400, 200
 SHARD_BYTES = 1_500_000
@@ -39,8 +41,6 @@ def cut_fragments(data, starts, length: int, anchor: int):
     """
     import numpy as np
 
-    from ledgerloom.llm.hashing import BASE, MIX, mixed
-
     empty = np.empty(0, np.int64)
     n = len(data)
     if n < length:
@@ -102,8 +102,6 @@ def fragments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        from ledgerloom.llm.hashing import joined
-
         for rows, block in text_blocks(batches):
             for uids, texts, offsets in pieces_of(rows.column(rows.schema.get_field_index("uid")).to_pylist(), block, length):
                 data, starts = joined(texts)
@@ -138,8 +136,6 @@ def covered_in_shards(held: DataFrame, length: int) -> DataFrame:
     def expand(table):
         import pyarrow as pa
 
-        from ledgerloom.llm.suffixes import repeated_starts
-
         strings, copies = table.column("bytes").to_pylist(), table.column("copies").to_pylist()
         found = [
             (a, f, *runs(places, length))
