@@ -80,27 +80,44 @@ def words(texts: list[bytes], lower: bool = False):
     return span_hashes(data[inside], ends - begins), counts
 
 
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the window of ``size`` words that starts at each word; those at the end are of no use."""
+    with np.errstate(over="ignore"):
+        scaled = [hashes * powers(size + 1)[k + 1] for k in range(size)]
+        sums = np.zeros(len(hashes), np.uint64)
+        for k in range(size):
+            sums[: len(sums) - k] += scaled[k][k:]
+    return mixed(sums)
+
+
 def shingles(texts: list[bytes], size: int, lower: bool = True) -> list[np.ndarray]:
     """The distinct hashes of each text's word windows of ``size``, sorted.
 
     A text with fewer words, but one at least, has its whole sequence as its one window.
     """
-    hashes, counts = words(texts, lower)
-    with np.errstate(over="ignore"):
-        scaled = [hashes * powers(size + 1)[k + 1] for k in range(size)]
-        sums = np.zeros(len(hashes), np.uint64)
+    return [found for found, _ in weighed_shingles(*words(texts, lower), size)]
+
+
+def weighed_shingles(hashes: np.ndarray, counts: np.ndarray, size: int, weights: np.ndarray | None = None):
+    """Of each text, given its word hashes and their number, the `shingles` and the sum of their words' ``weights``.
+
+    Weights go by the word's hash modulo their number; a window has the same sum wherever it stands, and one shorter than ``size`` none.
+    """
+    of_window, total = windows(hashes, size), np.zeros(len(hashes))
+    if weights is not None:
+        of_word = weights[(hashes % np.uint64(len(weights))).astype(np.int64)]
         for k in range(size):
-            sums[: len(sums) - k] += scaled[k][k:]
-    windows = mixed(sums)
+            total[: len(total) - k] += of_word[k:]
     found, end = [], 0
     for count in counts.tolist():
         begin, end = end, end + count
         if count >= size:
-            found.append(np.unique(windows[begin : end - size + 1]))
+            distinct, first = np.unique(of_window[begin : end - size + 1], return_index=True)
+            found.append((distinct, total[begin:end][first]))
         elif count:
-            found.append(span_hashes(hashes[begin:end], np.array([count])))
+            found.append((span_hashes(hashes[begin:end], np.array([count])), np.zeros(1)))
         else:
-            found.append(np.empty(0, np.uint64))
+            found.append((np.empty(0, np.uint64), np.empty(0)))
     return found
 
 

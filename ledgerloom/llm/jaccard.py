@@ -26,16 +26,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.hashing import mixed, shingles
+from ledgerloom.llm.hashing import mixed, shingles, weighed_shingles, words
 from ledgerloom.llm.shared import split_by_ids, stored, text_blocks
 
 #: Frequent shingles whose count is told to every task (at most 1.6 MB): those met LOCAL times or more among the
 #: documents of CHUNK shingles, by their sum. They shape the order only, never the result.
 FREQUENT, LOCAL, CHUNK = 100_000, 4, 2_000_000
+#: Counters of words, by hash, told to every task (2 MB): they too shape the order only.
+WORD_SLOTS = 1 << 18
 MOST_MATCHES, VERIFY_COST = 8, 16.0
 BLOCK = 4096
 #: Bits of a document's bitmap: a power of two, as many as its shingles within these bounds.
@@ -53,36 +56,45 @@ class Join:
         return 100 * overlap >= self.percent * union
 
 
-def frequent_shingles(docs: DataFrame, join: Join):
-    """Counts of the most frequent shingles, in sorted arrays, from all documents."""
+def statistics(docs: DataFrame, join: Join):
+    """Counts of the most frequent shingles, in sorted arrays, and of words by slot, all from all documents."""
     import numpy as np
 
     def counted(batches):
         import pyarrow as pa
 
-        def result(held):
+        def result(keys, counts, word):
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(np.full(len(keys), word))], ["key", "count", "word"])
+
+        def frequent(held):
             found, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL
-            columns = [pa.array(found[often].view(np.int64)), pa.array(counts[often])]
-            return pa.RecordBatch.from_arrays(columns, ["shingle", "count"])
+            return result(found[often], counts[often], False)
 
-        held, size = [], 0
+        held, size, slots = [], 0, np.zeros(WORD_SLOTS, np.int64)
         for _, texts in text_blocks(batches):
-            for s in shingles(texts, join.words):
+            hashes, counts = words(texts, True)
+            slots += np.bincount((hashes % np.uint64(WORD_SLOTS)).astype(np.int64), minlength=WORD_SLOTS)
+            for s, _ in weighed_shingles(hashes, counts, join.words):
                 held.append(s)
                 size += len(s)
             if size >= CHUNK:
-                yield result(held)
+                yield frequent(held)
                 held, size = [], 0
         if held:
-            yield result(held)
-
-    counts = docs.select("text").mapInArrow(counted, "shingle long, count long")
-    top = counts.groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(FREQUENT)
-    rows = top.toArrow()
-    shingle, count = np.asarray(rows["shingle"]).view(np.uint64), np.asarray(rows["count"])
+            yield frequent(held)
+        used = np.flatnonzero(slots)
+        yield result(used, slots[used], True)
+
+    counts = docs.select("text").mapInArrow(counted, "key long, count long, word boolean")
+    counts = stored(counts.groupBy("word", "key").agg(F.sum("count").alias("count")), "counts")
+    rows = counts.filter("NOT word").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    shingle, count = np.asarray(rows["key"]).view(np.uint64), np.asarray(rows["count"])
     order = np.argsort(shingle)
-    return shingle[order], count[order]
+    rows = counts.filter("word").toArrow()
+    slots = np.zeros(WORD_SLOTS)
+    slots[np.asarray(rows["key"])] = np.asarray(rows["count"])
+    return shingle[order], count[order], slots
 
 
 def choose_matches(counts, needed: int, size: int) -> int:
@@ -106,7 +118,10 @@ SIGNATURE = "doc_id long, n long, k1 long, k2 long, l int, rare array<long>, oft
 
 def signatures(docs: DataFrame, join: Join) -> DataFrame:
     """Set size, 128-bit set key, prefix and bitmap of each document; of the prefix, the shingles known to be frequent apart."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
+    frequent, counts, slots = statistics(docs, join)
+    total = max(slots.sum(), 1.0)
+    # Of a window's words, the logarithms of their shares; a window of words that come independently is met exp(sum) * total times.
+    known = docs.sparkSession.sparkContext.broadcast((frequent, counts, np.log(np.maximum(slots, 1.0) / total), total, float(counts.min(initial=LOCAL))))
 
     def signed(batches):
         from hashlib import blake2b
@@ -114,24 +129,26 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        frequent, counts = known.value
+        frequent, counts, weights, total, least = known.value
         for rows, texts in text_blocks(batches):
             made = []
-            for s in shingles(texts, join.words):
+            for s, weight in weighed_shingles(*words(texts, True), join.words, weights):
                 n = len(s)
                 if not n:
                     made.append((0, 0, 0, 0, [], [], b""))
                     continue
                 key = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                occurs = np.ones(n)
+                often = np.zeros(n, bool)
+                occurs = 1.0 + np.minimum(np.exp(weight) * total, least)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    occurs = np.where(frequent[at] == s, counts[at], 1.0)
+                    often = frequent[at] == s
+                    occurs[often] = 1.0 + counts[at[often]] + least
                 order = np.argsort(occurs, kind="stable")
                 needed = -(-join.percent * n // 100)
                 matches = choose_matches(occurs[order], needed, n)
                 prefix = order[: n - needed + matches]
-                rare, often = (s[prefix[(occurs[prefix] > 1) == x]].view(np.int64) for x in (False, True))
+                rare, often = (s[prefix[often[prefix] == x]].view(np.int64) for x in (False, True))
                 width = min(max(LEAST_BITS, 1 << (n - 1).bit_length()), MOST_BITS)
                 flips = np.bincount((mixed(s) % np.uint64(width)).astype(np.int64), minlength=width) % 2
                 bits = np.packbits(flips.astype(np.uint8)).tobytes()
@@ -296,25 +313,28 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     classes = worded.groupBy(*key).agg(F.min("doc_id").alias("first"))
     member = stored(worded.select("doc_id", *key).join(classes, key).select("doc_id", "first").distinct(), "members")
 
-    # Prefix shingles that several documents offer. The frequent ones are known to be; the others come
-    # in small groups, whose least and greatest id tell. Of those, the ones that different sets offer.
+    # Prefix shingles that several documents offer. The frequent ones are known to be; the others come in small
+    # groups, in which a document stays if the next shorter or longer one of the group may be similar to it.
     def offered_of(kind):
-        return worded.select(F.col("doc_id").alias("id"), F.explode(kind).alias("token"))
+        return worded.select(F.col("doc_id").alias("id"), "n", F.explode(kind).alias("token"))
 
-    group = Window.partitionBy("token")
-    several = offered_of("rare").withColumn("least", F.min("id").over(group)).withColumn("most", F.max("id").over(group))
-    several = several.filter("least < most").select("id", "token")
+    by_length = Window.partitionBy("token").orderBy("n", "id")
+    beside = [long_enough(join, F.col("n"), place("n").over(by_length)) for place in (F.lag, F.lead)]
+    several = offered_of("rare").withColumn("beside", F.coalesce(beside[0], F.lit(False)) | F.coalesce(beside[1], F.lit(False)))
+    several = several.filter("beside").select("id", "n", "token")
     repeated = stored(several.unionByName(offered_of("often")), "repeated-shingles")
     firsts = member.filter("doc_id = first").select(F.col("doc_id").alias("id"))
-    offered = repeated.join(firsts, "id", "left_semi").distinct()
-    shared = offered.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
+    offered = repeated.join(firsts, "id", "left_semi").groupBy("id", "token").agg(F.min("n").alias("n"), F.max("n").alias("most"))
+    shared = offered.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "most")).alias("pivot")).filter("size > 1")
     postings = stored(offered.join(shared, "token"), "postings")
     about = postings.groupBy("id").agg(F.collect_set("token").alias("tokens"))
     about = about.join(worded.select(F.col("doc_id").alias("id"), "n", "l", "bits").dropDuplicates(["id"]), "id")
     about = stored(about, "candidates")
 
     # Each shingle's documents against the first of them.
-    star = postings.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    # An id of several texts has several lengths.
+    may = long_enough(join, F.col("n"), F.col("pivot.n")) | (F.col("n") < F.col("most")) | (F.col("pivot.n") < F.col("pivot.most"))
+    star = postings.filter(may & (F.col("id") != F.col("pivot.id"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
     a, b = (about.select(*[F.col(c).alias(f"{side}_{c}") for c in about.columns]) for side in "ab")
     star = star.join(b, F.col("b") == F.col("b_id")).join(a, F.col("a") == F.col("a_id"))
     star = stored(star_candidates(star, join), "star-pairs")
@@ -323,7 +343,7 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     groups = stored(components(links), "star-components")
 
     # What is not joined yet, in blocks.
-    left = postings.filter("id <> pivot AND size > 2").join(groups, "id", "left")
+    left = postings.filter("id <> pivot.id AND size > 2").select("id", "token", "size").join(groups, "id", "left")
     left = left.withColumn("component", F.coalesce("component", "id"))
     mixed = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     parts = F.ceil(F.col("size") / BLOCK)
