@@ -199,3 +199,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: int = 0,
     return rounded.join(settled, match, "left").select(
         *[F.col(f"`{c}`") for c in columns], "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: int = 0) -> DataFrame:
+    """``docs`` (``doc_id, text, source``) with ``copies``, how often the mix takes each row.
+
+    Mixed are the rows' ids, sources, sizes and two hashes of their texts; texts move once, to meet their copies. Rows
+    equal in all of these share their copies as evenly as whole numbers allow.
+    """
+    hashes = F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(1), "text").alias("__h2")
+    key = ["doc_id", "source", "__h1", "__h2"]
+    docs = docs.drop("copies", "__h1", "__h2")
+    brief = docs.select("doc_id", "source", *hashes, word_count(F.col("text")).alias("__words"))
+    mixed = mix(brief, weights, share, most, seed, F.col("__words"))
+    taken = mixed.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
+    taken = stored(taken.filter("copies > 0"), "copies").select(*[F.col(c).alias(f"of_{c}") for c in key], "copies", "times")
+    known = docs.select("*", *hashes)
+    match = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = known.join(taken.filter("times = 1"), match).select(*columns, "copies")
+    repeated = known.join(taken.filter("times > 1"), match)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*key)) - 1
+    share_of = F.floor(F.col("copies") / F.col("times")) + F.when(place < F.col("copies") % F.col("times"), 1).otherwise(0)
+    return alone.unionByName(repeated.select(*columns, share_of.cast("long").alias("copies")))

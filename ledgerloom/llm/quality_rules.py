@@ -155,8 +155,8 @@ def line_fails(line: Column, n: Column, symbols: Column, rules: Rules) -> Column
     )
 
 
-def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the counts of each text, the verdict and the text without failed lines."""
+def counted_lines(docs: DataFrame, rules: Rules) -> DataFrame:
+    """``docs`` with the counts of each text, and its lines with whether they fail."""
     judged = docs.drop(*RESULTS)
     text = F.coalesce(F.col("text"), F.lit(""))
     judged = judged.withColumn(
@@ -179,7 +179,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return F.aggregate("__lines", F.lit(0), lambda n, x: n + value(x)).cast("long")
 
     worded = F.transform(F.filter("__lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
-    counted = judged.select(
+    return judged.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS],
         "__lines",
         total(lambda x: F.size(x["words"])).alias("n_words"),
@@ -191,6 +191,9 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         total(lambda x: F.when(x["fails"], 1).otherwise(0)).alias("n_bad_lines"),
         total(lambda x: F.when(x["fails"], 0).otherwise(F.size(x["words"]))).alias("n_kept_words"),
     )
+
+
+def with_verdict(counted: DataFrame, rules: Rules) -> DataFrame:
     base_failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
@@ -204,3 +207,19 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         )
         .drop("__lines")
     )
+
+
+def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``docs`` with the counts of each text, the verdict and the text without failed lines."""
+    return with_verdict(counted_lines(docs, rules), rules)
+
+
+def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of `clean_lines` that are kept.
+
+    The optimizer writes the expressions of columns into a filter on them, once for each use. It moves none over
+    a generator, so the counts go through one of a single row each and are computed once.
+    """
+    counted = counted_lines(docs, rules)
+    row = F.struct(*[F.col(f"`{c}`") for c in counted.columns])
+    return with_verdict(counted.select(F.inline(F.array(row))), rules).filter("kept")

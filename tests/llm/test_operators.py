@@ -412,3 +412,27 @@ def test_quality_model(spark, none):
     one_kind = quality_model.score_quality(docs, labels.filter("quality = 1")).collect()
     assert {r.score for r in one_kind} == {0.5}
     assert quality_model.score_quality(none, labels).count() == 0
+
+
+def test_kept_documents_are_computed_once(docs):
+    kept = quality_rules.kept_documents(docs)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert sorted(map(key, kept.collect())) == sorted(map(key, quality_rules.clean_lines(docs).filter("kept").collect()))
+
+
+def test_mixed_documents_take_what_the_mix_takes(docs, none):
+    mixed = mixing.mix_documents(docs).collect()
+    sizes = Counter()
+    for row in mixed:
+        sizes[row["source"]] += row["copies"] * len(words(row["text"]))
+        assert row["copies"] <= 2
+    targets = {r["source"]: (r["target"], r["taken"]) for r in mixing.mix(docs).groupBy("source", "target").agg({"taken": "sum"}).toDF("source", "target", "taken").collect()}
+    largest = max(len(words(r["text"])) for r in docs.collect())
+    assert all(abs(sizes[s] - target) <= largest for s, (target, _) in targets.items())
+    assert mixing.mix_documents(none).count() == 0
+
+
+def test_mixed_documents_that_repeat(spark, docs):
+    rows = docs.filter("doc_id = 1").limit(1).collect() * 7
+    mixed = mixing.mix_documents(spark.createDataFrame(rows, docs.schema)).collect()
+    assert len(mixed) == 7 and sorted(r["copies"] for r in mixed) in ([1] * 4 + [2] * 3, [1] * 3 + [2] * 4)
