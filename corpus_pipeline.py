@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard, line_dedup, mixing, packing
-from ledgerloom.llm.quality_rules import WORD, clean_lines
+from ledgerloom.llm.quality_rules import WORD, kept_documents
 from ledgerloom.llm.shared import shared_folder, split_by_ids, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,7 +34,7 @@ def with_text(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_text(clean_lines(docs.select(*COLUMNS)).filter("kept"))
+    return with_text(kept_documents(docs.select(*COLUMNS)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +63,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs.select(*COLUMNS))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.filter("copies > 0").withColumn("copy", times).select(*COLUMNS)
+    mixed = mixing.mix_documents(docs.select(*COLUMNS)).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
