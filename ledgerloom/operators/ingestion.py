@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.checks import month_period
-from ledgerloom.functions.dates import instant, period_start
+from ledgerloom.functions.dates import instant, instants_between, period_start
 from ledgerloom.operators.summary import summarize_line_items
 from ledgerloom.sources import tables
 from ledgerloom.sources.billing_files import read_footers, scan_exports
@@ -148,7 +149,7 @@ def ingest_exports(
     if report.errors and not files:
         raise ValueError(f"nothing could be loaded: {report.errors}")
 
-    touched = tables.read_pending(spark, table_root)
+    touched = set(tables.read_pending(spark, table_root))
     if files:
         report.periods = sorted({period for period, _, _ in files})
         # a period of which no new file is usable keeps what it has
@@ -161,12 +162,12 @@ def ingest_exports(
         held = _marked(tables.read_line_items(spark, table_root), log, listed, replaced)
         stale = held.filter("stale")
         gone, come = _touched_days(stale), _touched_days(rows)
-        tables.note_pending(spark, table_root, gone + come)
+        tables.note_pending(spark, table_root, gone | come)
         counts = log_entries(rows, listed)
         starts = [row[0] for row in stale.select("billing_period_start").distinct().collect()]
         tables.replace_line_items(spark, table_root, rows, held.filter("NOT stale").drop("stale"), starts)
         tables.drop_partitions(spark, f"{table_root}/{tables.LOG_TABLE}", "billing_period", replaced)
-        touched += gone + come
+        touched |= gone | come
     if touched:
         _summarize_days(spark, table_root, touched)
     if files:
@@ -178,30 +179,35 @@ def ingest_exports(
     return report
 
 
-def _touched_days(line_items: DataFrame) -> list[date | None]:
-    """First and last usage day among line items; None if some have no usage day."""
-    day = F.to_date("usage_start_date")
-    row = line_items.agg(
-        F.min(day).alias("first"),
-        F.max(day).alias("last"),
-        F.count_if(day.isNull()).alias("without"),
-    ).first()
-    bounds = [] if row["first"] is None else [row["first"], row["last"]]
-    return bounds + ([None] if row["without"] else [])
+def _touched_days(line_items: DataFrame) -> set[date | None]:
+    """The usage days of line items; None stands for those without one. As many as the calendar has, at most."""
+    day = F.to_date("usage_start_date").alias("day")
+    return {row["day"] for row in line_items.select(day).distinct().collect()}
 
 
-def _summarize_days(spark: SparkSession, table_root: str, days: list[date | None]) -> None:
-    """Bring the summary of the days between those given up to date.
+def islands(days: Iterable[date]) -> list[tuple[date, date]]:
+    """Days as ranges without gaps."""
+    found: list[tuple[date, date]] = []
+    for day in sorted(days):
+        if found and day - found[-1][1] <= timedelta(days=1):
+            found[-1] = (found[-1][0], day)
+        else:
+            found.append((day, day))
+    return found
+
+
+def _summarize_days(spark: SparkSession, table_root: str, days: set[date | None]) -> None:
+    """Bring the summary of the given days up to date, and rewrite no other.
 
-    A NULL stands for line items without a usage day, which no range of days
-    finds: then the whole summary is rebuilt.
+    What a day has now is added up anew from its line items. Taking the old sums off again would leave
+    rounding errors behind, and no sum tells whether a cost was NULL.
     """
-    rows = tables.read_line_items(spark, table_root)
-    if None in days:
-        tables.write_rebuilt_summary(summarize_line_items(rows), table_root)
-    else:
-        start, end = min(days), max(days)
-        tables.write_rebuilt_days(summarize_line_items(rows, start, end), table_root, start, end)
+    start = F.col("usage_start_date")
+    wanted = start.isNull() if None in days else F.lit(False)
+    for first, last in islands(day for day in days if day is not None):
+        wanted = wanted | instants_between("usage_start_date", first, last)
+    rows = tables.read_line_items(spark, table_root).filter(wanted)
+    tables.write_rebuilt_days(summarize_line_items(rows), table_root, days)
 
 
 def _with_period(rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,11 +5,19 @@ source and day, the log by billing period: what a restatement replaces is always
 a set of whole partitions, and date filters prune directories. Plain Parquet has
 no transaction over several tables; the ingestion orders its writes so that a
 run that broke off can simply be run again.
+
+The summary by itself is transactional. A write puts the days it replaces into
+folders of its own version beside the others, and then publishes one small commit
+file that names the version of every day. A reader takes the latest whole commit
+and reads the folders it names: the rows before a write or those after it, never
+some of both, whatever the writer is doing and also if it broke off. Folders that
+no kept commit names are removed by `expire_summary`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 from datetime import date
 
 from py4j.java_gateway import JavaObject
@@ -53,10 +61,6 @@ def read_line_items(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/{LINE_ITEM_TABLE}", LINE_ITEMS)
 
 
-def read_summary(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/{SUMMARY_TABLE}", DAILY_SUMMARY)
-
-
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/{LOG_TABLE}", INGESTION_LOG)
 
@@ -114,63 +118,174 @@ def append_log(entries: DataFrame, root: str) -> None:
 
 def _by_day(summary: DataFrame) -> DataFrame:
     """Summary rows shuffled so that a day goes to few files, large days split."""
-    return conform(summary, DAILY_SUMMARY).drop("data_source").hint("rebalance", "usage_date")
+    return conform(summary, DAILY_SUMMARY).hint("rebalance", "data_source", "usage_date")
+
+
+#: A day's partition: source, and the day as its folder spells it.
+Day = tuple[str, str]
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+_COMMITS, _END = "_commits", "end"
+
+
+def _spelled(day: date | None) -> str:
+    return _NO_DAY if day is None else day.isoformat()
+
+
+def _day_path(root: str, day: Day, version: str) -> str:
+    return f"{root}/{SUMMARY_TABLE}/data_source={day[0]}/usage_date={day[1]}/version={version}"
+
+
+def _commit_numbers(spark: SparkSession, root: str) -> list[int]:
+    files, where = _path(spark, f"{root}/{SUMMARY_TABLE}/{_COMMITS}")
+    if not files.exists(where):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(where)]
+    return sorted((int(name) for name in names if name.isdigit()), reverse=True)
+
+
+def _read_commit(spark: SparkSession, root: str, number: int) -> dict[Day, str] | None:
+    """The version of every day as of a commit; None while it is still being written."""
+    files, where = _path(spark, f"{root}/{SUMMARY_TABLE}/{_COMMITS}/{number:012d}")
+    stream = files.open(where)
+    try:
+        lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
+    if lines[-1] != f"{_END} {len(lines) - 1}":
+        return None
+    return {(source, day): version for source, day, version in (line.split("\t") for line in lines[:-1])}
+
+
+def summary_commit(spark: SparkSession, root: str) -> tuple[int, dict[Day, str]]:
+    """Number and content of the latest whole commit; 0 and nothing before the first."""
+    for number in _commit_numbers(spark, root):
+        found = _read_commit(spark, root, number)
+        if found is not None:
+            return number, found
+    return 0, {}
+
+
+def _publish(spark: SparkSession, root: str, number: int, days: dict[Day, str]) -> None:
+    """Write a commit file. The file is created exclusively, so of two writers that started from one commit one fails."""
+    lines = ["\t".join((*day, version)) for day, version in sorted(days.items())]
+    text = "\n".join([*lines, f"{_END} {len(lines)}"])
+    files, where = _path(spark, f"{root}/{SUMMARY_TABLE}/{_COMMITS}/{number:012d}")
+    stream = files.create(where, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _replace_days(summary: DataFrame, root: str, replaced: Callable[[Day], bool]) -> None:
+    """Store ``summary`` and publish it in place of the days that are ``replaced``."""
+    spark = summary.sparkSession
+    numbers = _commit_numbers(spark, root)
+    _, before = summary_commit(spark, root)
+    version = uuid.uuid4().hex
+    rows = _by_day(summary).withColumn("version", F.lit(version))
+    rows.write.mode("append").partitionBy("data_source", "usage_date", "version").parquet(f"{root}/{SUMMARY_TABLE}")
+    files, pattern = _path(spark, f"{root}/{SUMMARY_TABLE}/data_source=*/usage_date=*/version={version}")
+    after = {day: held for day, held in before.items() if not replaced(day)}
+    for status in files.globStatus(pattern):
+        parts = dict(part.split("=", 1) for part in status.getPath().toString().split("/")[-3:])
+        after[parts["data_source"], parts["usage_date"]] = version
+    _publish(spark, root, (numbers[0] if numbers else 0) + 1, after)
+
+
+def read_summary(
+    spark: SparkSession,
+    root: str,
+    start: date | None = None,
+    end: date | None = None,
+    data_source: str | None = None,
+) -> DataFrame:
+    """The summary as of now, pinned: later writes do not change what the result reads.
+
+    A range of days or a source is looked up in the commit, so other folders are not even listed.
+    """
+    _, days = summary_commit(spark, root)
+    return _read_days(spark, root, days, start, end, data_source)
+
+
+def read_summary_as_of(spark: SparkSession, root: str, number: int) -> DataFrame:
+    """The summary as a commit left it, as long as its folders are kept."""
+    days = _read_commit(spark, root, number)
+    if days is None:
+        raise ValueError(f"commit {number} is not whole")
+    return _read_days(spark, root, days)
 
 
-def _source_path(root: str, data_source: str) -> str:
-    return f"{root}/{SUMMARY_TABLE}/data_source={data_source}"
+def _read_days(spark, root, days, start=None, end=None, data_source=None) -> DataFrame:
+    def wanted(day: Day) -> bool:
+        if data_source and day[0] != data_source:
+            return False
+        if not (start or end):
+            return True
+        return day[1] != _NO_DAY and (start or date.min).isoformat() <= day[1] <= (end or date.max).isoformat()
+
+    paths = [_day_path(root, day, version) for day, version in sorted(days.items()) if wanted(day)]
+    if not paths:
+        return spark.createDataFrame([], DAILY_SUMMARY)
+    stored = spark.read.schema(DAILY_SUMMARY).option("basePath", f"{root}/{SUMMARY_TABLE}").parquet(*paths)
+    return conform(stored, DAILY_SUMMARY)
 
 
 def write_rebuilt_summary(summary: DataFrame, root: str, data_source: str = EXPORT_SOURCE) -> int:
     """Replace every row of one source; other sources are not touched. Returns the rows written."""
-    path = _source_path(root, data_source)
-    _by_day(summary).write.mode("overwrite").partitionBy("usage_date").parquet(path)
+    _replace_days(summary.withColumn("data_source", F.lit(data_source)), root, lambda day: day[0] == data_source)
     return count_summary(summary.sparkSession, root, data_source)
 
 
-def write_rebuilt_days(summary: DataFrame, root: str, start: date, end: date) -> None:
-    """Replace the export rows of the days from start to end, all of them.
-
-    The days are dropped before they are written; note them with `note_pending`
-    first, so that a run that breaks off in between is made up for.
-    """
-    spark, path = summary.sparkSession, _source_path(root, EXPORT_SOURCE)
-    held = [day for day in _stored_days(spark, path) if start <= day <= end]
-    drop_partitions(spark, path, "usage_date", held)
-    _by_day(summary).write.mode("append").partitionBy("usage_date").parquet(path)
+def write_rebuilt_days(summary: DataFrame, root: str, days: Iterable[date | None]) -> None:
+    """Replace the export rows of the given days, and of no other."""
+    gone = {(EXPORT_SOURCE, _spelled(day)) for day in days}
+    _replace_days(summary.withColumn("data_source", F.lit(EXPORT_SOURCE)), root, gone.__contains__)
 
 
 def write_summary_range(incoming: DataFrame, root: str, data_source: str = API_SOURCE) -> int:
     """Replace one source over the date range of ``incoming``; returns the rows written.
 
-    Only the partitions of that range are rewritten. Dates in the range without
-    an incoming row are dropped. The driver sees one row per incoming date.
+    Only the days of that range are rewritten. Dates in the range without an
+    incoming row are dropped. The driver sees one row per incoming date.
     """
-    spark, path = incoming.sparkSession, _source_path(root, data_source)
+    spark = incoming.sparkSession
     dates = [row[0] for row in incoming.select("usage_date").distinct().collect()]
     if None in dates:
         raise ValueError("incoming costs without a usage_date")
-    dates.sort()
     if not dates:
         return 0
-    (
-        _by_day(incoming)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("usage_date")
-        .parquet(path)
-    )
-    written = set(dates)
-    stale = [
-        day
-        for day in _stored_days(spark, path)
-        if dates[0] <= day <= dates[-1] and day not in written
-    ]
-    drop_partitions(spark, path, "usage_date", stale)
-    return count_summary(spark, root, data_source, dates)
+    first, last = min(dates), max(dates)
 
+    def replaced(day: Day) -> bool:
+        return day[0] == data_source and day[1] != _NO_DAY and first <= date.fromisoformat(day[1]) <= last
 
-def note_pending(spark: SparkSession, root: str, days: Iterable[date]) -> None:
+    _replace_days(incoming.withColumn("data_source", F.lit(data_source)), root, replaced)
+    return count_summary(spark, root, data_source, first, last)
+
+
+def expire_summary(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Remove all but the last ``keep`` commits and the folders none of them names; returns the folders removed.
+
+    Not to be run while a write is under way, whose folders no commit names yet.
+    """
+    numbers = _commit_numbers(spark, root)
+    kept = [number for number in numbers if _read_commit(spark, root, number) is not None][:keep]
+    named = {
+        _day_path("", day, version)
+        for number in kept
+        for day, version in (_read_commit(spark, root, number) or {}).items()
+    }
+    files, pattern = _path(spark, f"{root}/{SUMMARY_TABLE}/data_source=*/usage_date=*/version=*")
+    removed = 0
+    for status in files.globStatus(pattern):
+        path = "/".join(["", SUMMARY_TABLE, *status.getPath().toString().split("/")[-3:]])
+        if path not in named:
+            removed += files.delete(status.getPath(), True)
+    for number in set(numbers) - set(kept):
+        files.delete(_path(spark, f"{root}/{SUMMARY_TABLE}/{_COMMITS}/{number:012d}")[1], False)
+    return removed
+
+
+def note_pending(spark: SparkSession, root: str, days: Iterable[date | None]) -> None:
     """Remember days whose summary is about to be out of date."""
     noted = spark.createDataFrame([(day,) for day in days], PENDING)
     noted.coalesce(1).write.mode("append").parquet(f"{root}/{PENDING_TABLE}")
@@ -186,27 +301,8 @@ def clear_pending(spark: SparkSession, root: str) -> None:
     files.delete(where, True)
 
 
-def _stored_days(spark: SparkSession, path: str) -> list[date]:
-    files, where = _path(spark, path)
-    if not files.exists(where):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(where)]
-    return [
-        date.fromisoformat(name.removeprefix("usage_date="))
-        for name in names
-        if name.startswith("usage_date=") and not name.endswith("__HIVE_DEFAULT_PARTITION__")
-    ]
-
-
 def count_summary(
-    spark: SparkSession, root: str, data_source: str = EXPORT_SOURCE, dates: list[date] | None = None
+    spark: SparkSession, root: str, data_source: str = EXPORT_SOURCE, start: date | None = None, end: date | None = None
 ) -> int:
     """Rows stored of one source; Parquet answers a count from footers."""
-    path = _source_path(root, data_source)
-    if not path_exists(spark, path):
-        return 0
-    schema = T.StructType([f for f in DAILY_SUMMARY if f.name != "data_source"])
-    stored = spark.read.schema(schema).parquet(path)
-    if dates:
-        stored = stored.filter(F.col("usage_date").isin(dates))
-    return stored.count()
+    return read_summary(spark, root, start, end, data_source).count()

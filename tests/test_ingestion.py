@@ -6,6 +6,7 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from ledgerloom.operators import ingestion
@@ -253,18 +254,38 @@ def test_days_noted_by_a_broken_run_are_summarized(spark, exports, store):
     root = str(exports.root)
     exports.manifest(JAN, "first", [exports.file(f"{JAN}/a.parquet", [1])])
     ingestion.ingest_exports(spark, root, store)
-    stale = tables.read_summary(spark, store).selectExpr(
-        "DATE'2025-01-20' AS usage_date", "usage_account_id", "product_code", "region",
-        "total_unblended_cost", "total_blended_cost", "total_net_amortized_cost",
-        "total_usage_amount", "line_item_count")
-    stale.write.mode("append").partitionBy("usage_date").parquet(
-        f"{store}/{tables.SUMMARY_TABLE}/data_source=cur")
+    stale = tables.read_summary(spark, store).withColumn("usage_date", F.lit(date(2025, 1, 20)))
+    tables.write_rebuilt_days(stale, store, [date(2025, 1, 20)])
     assert tables.count_summary(spark, store) == 2
     tables.note_pending(spark, store, [date(2025, 1, 20)])
     assert ingestion.ingest_exports(spark, root, store).summary_rows == 1
     assert tables.read_pending(spark, store) == []
 
 
+def test_restating_two_months_rewrites_their_days_only(spark, exports, store):
+    """Nothing between a month of 2021 and one of 2025 is written anew."""
+    root = str(exports.root)
+    periods = {f"{y}{m:02d}01-{y}{m:02d}28": f"{y}-{m:02d}-01" for y, m in ((2021, 3), (2022, 5), (2023, 7), (2025, 2))}
+    for period, start in periods.items():
+        exports.manifest(period, "first", [exports.file(f"{period}/a.parquet", [1], period=start)])
+    ingestion.ingest_exports(spark, root, store)
+    _, before = tables.summary_commit(spark, store)
+    for period in ("20210301-20210328", "20250201-20250228"):
+        exports.manifest(period, "second", [exports.file(f"{period}/b.parquet", [5], period=periods[period])], name="second-Manifest.json")
+    ingestion.ingest_exports(spark, root, store)
+    _, after = tables.summary_commit(spark, store)
+    changed = {day for (_, day), version in after.items() if before["cur", day] != version}
+    assert changed == {"2021-03-01", "2025-02-01"} and before.keys() == after.keys()
+    assert rows_of(tables.read_summary(spark, store), "usage_date", "total_unblended_cost") == [
+        (date(2021, 3, 1), 5.0), (date(2022, 5, 1), 1.0), (date(2023, 7, 1), 1.0), (date(2025, 2, 1), 5.0)]
+
+
+def test_islands():
+    days = [date(2025, 1, 3), date(2025, 1, 1), date(2025, 1, 2), date(2025, 3, 1)]
+    assert ingestion.islands(days) == [(date(2025, 1, 1), date(2025, 1, 3)), (date(2025, 3, 1), date(2025, 3, 1))]
+    assert ingestion.islands([]) == []
+
+
 def test_line_items_without_a_usage_day(spark, exports, store):
     root = str(exports.root)
     exports.manifest(JAN, "first", [

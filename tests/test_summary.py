@@ -109,3 +109,77 @@ def test_preferred_source(spark, make_summary):
     both = make_summary([*cur, (D1, "1", "p", "", 2, "cost_explorer")])
     assert state(ops.preferred_source(both)) == [(D1, 2.0, "cost_explorer")]
     assert state(ops.preferred_source(make_summary(cur))) == [(D1, 1.0, "cur")]
+
+
+def test_readers_see_a_rebuild_whole_or_not_at_all(spark, make_line_items, tmp_path):
+    root = str(tmp_path)
+    tables.write_rebuilt_summary(ops.summarize_line_items(make_line_items([item(1), item(2, day=datetime(2025, 1, 3))])), root)
+    old = [(D15, 1.0, "cur"), (D3, 2.0, "cur")]
+    pinned = tables.read_summary(spark, root)
+    seen = []
+
+    def watch(where, *rest, publish=tables._publish):
+        # All of the new rows are in the table's folder by now; a reader who comes here must not see them.
+        seen.append(state(tables.read_summary(spark, root)))
+        publish(where, *rest)
+
+    tables._publish, publish = watch, tables._publish
+    try:
+        tables.write_rebuilt_summary(ops.summarize_line_items(make_line_items([item(7)])), root)
+    finally:
+        tables._publish = publish
+    assert seen == [sorted(old, key=repr)]
+    # Who read before keeps what was there; who reads now gets the new rows only.
+    assert state(pinned) == sorted(old, key=repr)
+    assert state(tables.read_summary(spark, root)) == [(D15, 7.0, "cur")]
+    assert state(tables.read_summary_as_of(spark, root, 1)) == sorted(old, key=repr)
+
+
+def test_a_rebuild_that_breaks_off_changes_nothing(spark, make_line_items, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    tables.write_rebuilt_summary(ops.summarize_line_items(make_line_items([item(1)])), root)
+    new = ops.summarize_line_items(make_line_items([item(2)]))
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tables.write_rebuilt_summary(new, root)
+    assert state(tables.read_summary(spark, root)) == [(D15, 1.0, "cur")]
+    # Half a commit file is no commit.
+    half = tmp_path / tables.SUMMARY_TABLE / "_commits" / f"{2:012d}"
+    half.write_text("cur\t2025-01-15\tsome")
+    assert state(tables.read_summary(spark, root)) == [(D15, 1.0, "cur")]
+    tables.write_rebuilt_summary(new, root)
+    assert state(tables.read_summary(spark, root)) == [(D15, 2.0, "cur")]
+
+
+def test_of_two_writers_one_fails(spark, make_line_items, tmp_path):
+    root = str(tmp_path)
+    summary = ops.summarize_line_items(make_line_items([item(1)]))
+    tables.write_rebuilt_summary(summary, root)
+    with pytest.raises(Exception, match="exists"):
+        tables._publish(spark, root, 1, {})
+    assert state(tables.read_summary(spark, root)) == [(D15, 1.0, "cur")]
+
+
+def test_folders_no_commit_names_are_removed(spark, make_line_items, tmp_path):
+    root = str(tmp_path)
+    for cost in (1, 2, 3):
+        tables.write_rebuilt_summary(ops.summarize_line_items(make_line_items([item(cost)])), root)
+    assert tables.expire_summary(spark, root, keep=2) == 1
+    assert state(tables.read_summary_as_of(spark, root, 2)) == [(D15, 2.0, "cur")]
+    assert tables.expire_summary(spark, root, keep=1) == 1 and tables.expire_summary(spark, root, keep=1) == 0
+    assert state(tables.read_summary(spark, root)) == [(D15, 3.0, "cur")]
+    tables.write_rebuilt_summary(ops.summarize_line_items(make_line_items([item(4)])), root)
+    assert tables.summary_commit(spark, root)[0] == 4
+
+
+def test_a_range_of_days_reads_their_folders_only(spark, make_summary, tmp_path):
+    root = str(tmp_path)
+    tables.write_rebuilt_summary(make_summary([(d, "1", "p", "r", 1) for d in (D1, D2, D3, D15)]), root)
+    tables.write_summary_range(api(spark, (D2, 5), (D15, 6)), root)
+    asked = tables.read_summary(spark, root, D2, D3)
+    assert state(asked) == [(D2, 1.0, "cur"), (D2, 5.0, "cost_explorer"), (D3, 1.0, "cur")]
+    assert len(asked.inputFiles()) == 3
+    assert len(tables.read_summary(spark, root, data_source="cur").inputFiles()) == 4
+    plan = tables.read_summary(spark, root).filter(F.col("usage_date") == F.lit(D2))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_date" in plan
