@@ -6,13 +6,15 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.checks import month_period
 from ledgerloom.functions.dates import instant, instants_between, period_start
 from ledgerloom.operators.summary import summarize_line_items
 from ledgerloom.sources import tables
-from ledgerloom.sources.billing_files import read_footers, scan_exports
+from ledgerloom.sources.billing_files import broken_files, judge_exports, scan_exports
 from ledgerloom.sources.manifests import (
     latest_manifests,
     parse_manifests,
@@ -99,6 +101,7 @@ class IngestReport:
     periods: list[str] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
     errors: list[tuple[str, str]] = field(default_factory=list)
+    rejected_manifests: list[tuple[str, str, str]] = field(default_factory=list)
 
 
 def ingest_exports(
@@ -111,9 +114,10 @@ def ingest_exports(
 ) -> IngestReport:
     """Bring the tables up to date with the exports below ``export_root``.
 
-    Bad manifests and files are reported and left out. All accepted files of all
-    periods are loaded by one write, and only the days whose line items came or
-    went are summarized again. The driver handles one short row per file.
+    Bad manifests and files are reported, kept in the table of rejects until a run gets by without them, and
+    left out. Whether a file is good is found out by tasks; all accepted files of all periods are loaded by
+    one write, and only the days whose line items came or went are summarized again. The driver handles one
+    short row per file that is to be loaded.
 
     The log is written last and is what makes a file count as loaded. A run that
     broke off leaves line items no log entry accounts for, and notes of the days
@@ -126,6 +130,7 @@ def ingest_exports(
     wanted = month_period(month) if month else None
     for row in rejected_manifests(parsed).collect():
         if wanted in (None, row["billing_period"]):
+            report.rejected_manifests.append(tuple(row))
             report.errors.append((row["manifest_key"], row["error"]))
     log = tables.read_log(spark, table_root)
     plan = ingest_plan(report_keys(parsed), log, month=month, full_refresh=full_refresh).collect()
@@ -136,16 +141,33 @@ def ingest_exports(
     todo = [row for row in plan if row["billing_period"] in clear or row["action"] == "load"]
     report.skipped = sorted({row["s3_key"] for row in plan} - {row["s3_key"] for row in todo})
 
-    accepted, files = [], []
-    paths = [f"{root}/{row['s3_key']}" for row in todo]
-    footers = read_footers(spark, paths)
-    for row, path in zip(todo, paths):
-        footer = footers[path]
-        if footer.error:
-            report.errors.append((row["s3_key"], footer.error))
-        else:
-            accepted.append((path, footer.layout))
-            files.append((row["billing_period"], row["assembly_id"], row["s3_key"]))
+    keys = spark.createDataFrame([(row["s3_key"],) for row in todo], "s3_key string")
+    groups, verdicts = judge_exports(spark, keys, root) if todo else ([], [])
+    try:
+        _load(spark, root, table_root, log, todo, clear, groups, verdicts, report)
+    except (PySparkException, Py4JJavaError):
+        # Pages in the middle of a file may be damaged, which only reading them all shows: leave such files out.
+        broken = {row["s3_key"]: row for row in broken_files(spark, groups, verdicts, root)}
+        if not broken:
+            raise
+        verdicts = [broken.get(row["s3_key"], row) for row in verdicts]
+        _load(spark, root, table_root, log, todo, clear, groups, verdicts, report)
+    tables.clear_pending(spark, table_root)
+    report.summary_rows = tables.count_summary(spark, table_root)
+    return report
+
+
+def _load(spark, root, table_root, log, todo, clear, groups, verdicts, report: IngestReport) -> None:
+    """Load the accepted files of ``todo``; note the others as rejects."""
+    judged = {row["s3_key"]: row for row in verdicts}
+    files = [
+        (row["billing_period"], row["assembly_id"], row["s3_key"]) for row in todo if judged[row["s3_key"]]["error"] is None
+    ]
+    rejected = [
+        (row["billing_period"], row["s3_key"], judged[row["s3_key"]]["error"]) for row in todo if judged[row["s3_key"]]["error"]
+    ]
+    report.errors = [found for found in report.errors if found[0] not in judged] + [found[1:] for found in rejected]
+    tables.write_rejects(spark, table_root, [*report.rejected_manifests, *rejected])
     if report.errors and not files:
         raise ValueError(f"nothing could be loaded: {report.errors}")
 
@@ -157,7 +179,7 @@ def ingest_exports(
         listed = spark.createDataFrame(
             files, "billing_period string, assembly_id string, s3_key string"
         )
-        rows = _with_period(scan_exports(spark, accepted, root), listed)
+        rows = _with_period(scan_exports(spark, groups, verdicts, root), listed)
         # Rows go by the file they came from: a file may hold rows of another period than its manifest's.
         held = _marked(tables.read_line_items(spark, table_root), log, listed, replaced)
         stale = held.filter("stale")
@@ -174,9 +196,6 @@ def ingest_exports(
         tables.append_log(counts, table_root)
         logged = tables.read_log(spark, table_root).join(listed, listed.columns, "left_semi")
         report.rows_loaded = logged.agg(F.sum("rows_loaded")).first()[0]
-    tables.clear_pending(spark, table_root)
-    report.summary_rows = tables.count_summary(spark, table_root)
-    return report
 
 
 def _touched_days(line_items: DataFrame) -> set[date | None]:

@@ -50,9 +50,8 @@ def cur_scan(spark, sf):
     root = scratch(spark)
     for generation, export in samples.exports(spark, sf).items():
         export.write.parquet(f"{root}/{generation}")
-    keys = [row["key"] for row in manifests.list_keys(spark, root).collect()]
-    paths = [f"{root}/{key}" for key in keys if key.endswith(".parquet")]
-    rows = billing_files.read_exports(spark, paths, root)
+    keys = billing_files.list_files(spark, root).filter(F.col("key").endswith(".parquet"))
+    rows = billing_files.read_exports(spark, keys.withColumnRenamed("key", "s3_key"), root)
     return rows.groupBy(
         F.split_part("_source_file", F.lit("/"), F.lit(1)).alias("source_folder"),
         "billing_period_start",

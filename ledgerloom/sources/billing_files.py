@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, functions as F, types as T
 
 from ledgerloom.fixed_values import EXPORT_COLUMNS, MANDATORY_COLUMNS
 from ledgerloom.model import LINE_ITEMS
@@ -96,22 +96,31 @@ def relative_key(path: Column, root: str) -> Column:
 
 @dataclass(frozen=True)
 class Footer:
-    """What a file's footer says: files of equal ``layout`` can be read together; or why it is unusable."""
+    """What a file's footer says, or why the file is unusable."""
 
-    layout: str | None = None
+    generation: str | None = None
     missing: tuple[str, ...] = ()
     error: str | None = None
 
 
+@dataclass(frozen=True)
+class Group:
+    """Files whose columns have one type each, to be read by one scan."""
+
+    paths: tuple[str, ...]
+    schema: T.StructType
+
+
+VERDICT = "s3_key string, part int, generation string, rows long, error string"
+
+
 def read_footers(spark: SparkSession, paths: Sequence[str]) -> dict[str, Footer]:
     """The footer of each Parquet file, fetched through Hadoop's file systems by threads of the driver.
 
-    A path works here if it works for ``spark.read``, with the same credentials. Only mapped columns
-    count for the layout, as exports change their other columns from month to month. A file gets an
-    error if its footer is unreadable or a mandatory column is absent.
+    For the few files that `examine_exports` cannot judge by what tasks read. A path works here if it works for
+    ``spark.read``, with the same credentials. A file gets an error if its footer is unreadable or a mandatory column is absent.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    mapped = {name for _, v1, v2, _ in EXPORT_COLUMNS for name in (v1, v2)}
 
     def footer(path: str) -> Footer:
         try:
@@ -119,7 +128,7 @@ def read_footers(spark: SparkSession, paths: Sequence[str]) -> dict[str, Footer]
             reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
             try:
                 fields = reader.getFooter().getFileMetaData().getSchema().getFields()
-                columns = {field.getName(): str(field) for field in fields}
+                columns = [field.getName() for field in fields]
             finally:
                 reader.close()
             if not columns:
@@ -129,42 +138,143 @@ def read_footers(spark: SparkSession, paths: Sequence[str]) -> dict[str, Footer]
             return Footer(error=str(problem.java_exception))
         except ValueError as problem:
             return Footer(error=f"{type(problem).__name__}: {problem}")
-        layout = "|".join(sorted(text for name, text in columns.items() if name in mapped))
-        return Footer(hashlib.md5(layout.encode()).hexdigest(), tuple(missing))
+        return Footer(export_generation(columns), tuple(missing))
 
     with ThreadPoolExecutor(FOOTER_THREADS) as pool:
         return dict(zip(paths, pool.map(footer, paths)))
 
 
-def scan_exports(
-    spark: SparkSession, accepted: Iterable[tuple[str, str]], root: str
+def _lenient(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+
+
+def group_by_types(spark: SparkSession, paths: Sequence[str]) -> list[Group]:
+    """Files in as few groups as their columns' types allow, with each group's columns.
+
+    Spark reads the footers in tasks and merges their schemas. Where two files give one column different types
+    the files are halved, so there are as many jobs as changes of types among them, not as files. Files whose
+    footer is unreadable are in a group without columns of their own.
+    """
+    if not paths:
+        return []
+    try:
+        merged = _lenient(spark).option("mergeSchema", "true").parquet(*paths).schema
+    except (PySparkException, Py4JJavaError) as problem:
+        if "UNABLE_TO_INFER_SCHEMA" in str(problem):
+            return []
+        if len(paths) == 1 or "MERGE" not in str(problem):
+            raise
+        half = len(paths) // 2
+        return group_by_types(spark, paths[:half]) + group_by_types(spark, paths[half:])
+    mapped = {name for _, v1, v2, _ in EXPORT_COLUMNS for name in (v1, v2)}
+    return [Group(tuple(paths), T.StructType([field for field in merged if field.name in mapped]))]
+
+
+def examine_exports(
+    spark: SparkSession, keys: DataFrame, root: str, groups: Sequence[Group]
 ) -> DataFrame:
-    """Line items of many export files, given as (path, layout) pairs.
+    """Whether the files ``keys`` (s3_key) can be loaded: (s3_key, part, generation, rows, error), one row per file.
 
-    Files of equal layout are read by one multi-path scan, so the plan has as
-    many branches as there are distinct layouts of mapped columns, not files.
+    ``part`` is the place in ``groups``. Tasks count each file's rows twice: by its footer, and by reading its mandatory
+    columns with broken files passed over. A file whose mandatory columns hold values and give as many rows as
+    the footer says is fine. ``error`` is set on a file that does not exist or gives fewer rows. Of what else there is
+    (unreadable, empty, a mandatory column absent or without any value) generation and error are NULL.
     """
-    together: dict[str, list[str]] = defaultdict(list)
-    for path, layout in accepted:
-        together[layout].append(path)
+    file = file_key(root).alias("s3_key")
+    present = list_files(spark, root).select(F.col("key").alias("s3_key"), F.lit(True).alias("exists"))
+    verdicts = keys.select("s3_key").distinct().join(present, "s3_key", "left")
+    found = None
+    for part, group in enumerate(groups):
+        names = set(group.schema.names)
+        sources = {g: [column_map(g)[c] for c in MANDATORY_COLUMNS] for g in ("v1", "v2")}
+        counts = {
+            g: F.least(*[F.count(f"`{c}`") for c in columns]) if names >= set(columns) else F.lit(0)
+            for g, columns in sources.items()
+        }
+        scan = _lenient(spark).schema(group.schema).parquet(*group.paths)
+        footers = _lenient(spark).schema(group.schema).parquet(*group.paths).select(file).groupBy("s3_key").agg(F.count("*").alias("rows"))
+        touched = [f"`{c}`" for columns in sources.values() for c in columns if c in names]
+        read = scan.select(file, *touched).groupBy("s3_key").agg(
+            (F.max(F.xxhash64(*touched)).isNotNull() if touched else F.lit(False)).alias("any"),
+            F.count("*").alias("read"),
+            *[count.alias(g) for g, count in counts.items()],
+        )
+        own = footers.join(read, "s3_key").withColumn("part", F.lit(part))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = spark.createDataFrame([], "s3_key string, rows long, any boolean, read long, v1 long, v2 long, part int")
+    error = F.when(F.col("exists").isNull(), "the file does not exist").when(
+        F.col("read") < F.col("rows"), F.format_string("only %d of %d rows can be read", "read", "rows")
+    )
+    generation = F.when(error.isNotNull(), None).when(F.col("v1") > 0, "v1").when(F.col("v2") > 0, "v2")
+    return verdicts.join(found, "s3_key", "left").select(
+        "s3_key", "part", generation.alias("generation"), "rows", error.alias("error")
+    )
+
+
+def judge_exports(
+    spark: SparkSession, keys: DataFrame, root: str
+) -> tuple[list[Group], list[Row]]:
+    """Groups of files, and a verdict on each file. Only files that tasks could not judge have their footer opened by the driver.
+
+    ``keys`` holds the files that are to be loaded now; a scan needs their paths on the driver, as Spark's own listing does.
+    """
+    names = [row["s3_key"] for row in keys.select("s3_key").distinct().collect()]
+    there = {
+        row["s3_key"]
+        for row in keys.join(list_files(spark, root).select(F.col("key").alias("s3_key")), "s3_key", "left_semi").collect()
+    }
+    groups = group_by_types(spark, [f"{root}/{name}" for name in sorted(names) if name in there])
+    verdicts = {row["s3_key"]: row for row in examine_exports(spark, keys, root, groups).collect()}
+    unclear = [name for name, row in verdicts.items() if row["error"] is None and row["generation"] is None]
+    footers = read_footers(spark, [f"{root}/{name}" for name in unclear])
+    part_of = {path: part for part, group in enumerate(groups) for path in group.paths}
+    for name in unclear:
+        footer, path = footers[f"{root}/{name}"], f"{root}/{name}"
+        verdicts[name] = Row(
+            s3_key=name, part=part_of.get(path), generation=footer.generation, rows=verdicts[name]["rows"] or 0, error=footer.error
+        )
+    return groups, [verdicts[name] for name in sorted(verdicts)]
+
+
+def scan_exports(spark: SparkSession, groups: Sequence[Group], verdicts: Iterable[Row], root: str) -> DataFrame:
+    """Line items of the accepted files: one multi-path scan per group of types and generation."""
+    together: dict[tuple[int, str], list[str]] = defaultdict(list)
+    for row in verdicts:
+        if row["error"] is None:
+            together[row["part"], row["generation"]].append(f"{root}/{row['s3_key']}")
     if not together:
         return spark.createDataFrame([], LINE_ITEMS)
-    scans = [
-        normalize_export(_scan(spark, sorted(paths)), file_key(root))
-        for _, paths in sorted(together.items())
-    ]
+    scans = []
+    for (part, generation), paths in sorted(together.items()):
+        own = set(column_map(generation).values())
+        schema = T.StructType([field for field in groups[part].schema if field.name in own])
+        scans.append(normalize_export(spark.read.schema(schema).parquet(*sorted(paths)), file_key(root)))
     united = scans[0]
     for scan in scans[1:]:
         united = united.unionByName(scan)
     return united
 
 
-def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of one layout by their mapped columns, whatever other columns each has."""
-    first = spark.read.parquet(paths[0])
-    mapped = set(column_map(export_generation(first.columns)).values())
-    schema = T.StructType([field for field in first.schema if field.name in mapped])
-    return spark.read.schema(schema).parquet(*paths)
+def broken_files(spark: SparkSession, groups: Sequence[Group], verdicts: Iterable[Row], root: str) -> list[Row]:
+    """The accepted files of which some column cannot be read to the end, with ``error``. Reads every mapped column."""
+    expected = {row["s3_key"]: row for row in verdicts if row["error"] is None}
+    broken = []
+    for part, group in enumerate(groups):
+        own = [f"{root}/{name}" for name, row in expected.items() if row["part"] == part]
+        if not own or not group.schema.names:
+            continue
+        scan = _lenient(spark).schema(group.schema).parquet(*own)
+        every = F.max(F.xxhash64(*[f"`{name}`" for name in group.schema.names])).alias("any")
+        counts = scan.groupBy(file_key(root).alias("s3_key")).agg(every, F.count("*").alias("read"))
+        got = {row["s3_key"]: row["read"] for row in counts.collect()}
+        for path in own:
+            name = path.removeprefix(f"{root}/")
+            row = expected[name]
+            if got.get(name, 0) < row["rows"]:
+                error = f"only {got.get(name, 0)} of {row['rows']} rows can be read"
+                broken.append(Row(**{**row.asDict(), "error": error}))
+    return broken
 
 
 def file_key(root: str) -> Column:
@@ -173,10 +283,16 @@ def file_key(root: str) -> Column:
     return relative_key(F.url_decode(escaped), root)
 
 
-def read_exports(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
-    """Line items of the given files; raises if any of them is unusable."""
-    footers = read_footers(spark, paths)
-    for path, footer in footers.items():
-        if footer.error:
-            raise ValueError(f"cannot load {path}: {footer.error}")
-    return scan_exports(spark, [(path, footer.layout) for path, footer in footers.items()], root)
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Keys of all files below ``root``. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(relative_key(F.col("path"), root).alias("key"))
+
+
+def read_exports(spark: SparkSession, keys: DataFrame, root: str) -> DataFrame:
+    """Line items of the given files (s3_key); raises if any of them is unusable."""
+    groups, verdicts = judge_exports(spark, keys, root)
+    for row in verdicts:
+        if row["error"]:
+            raise ValueError(f"cannot load {row['s3_key']}: {row['error']}")
+    return scan_exports(spark, groups, verdicts, root)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.functions.dates import compact_period
-from ledgerloom.sources.billing_files import file_key, relative_key
+from ledgerloom.sources.billing_files import file_key
 
 MANIFEST = T.StructType(
     [
@@ -55,12 +55,6 @@ def billing_periods(keys: DataFrame) -> DataFrame:
     )
 
 
-def list_keys(spark: SparkSession, root: str) -> DataFrame:
-    """Keys of all files below ``root``. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(relative_key(F.col("path"), root).alias("key"))
-
-
 def read_manifest_files(spark: SparkSession, root: str) -> DataFrame:
     """(key, content) of the manifest files below ``root``."""
     files = (

@@ -31,6 +31,9 @@ SUMMARY_TABLE = "daily_cost_summary"
 LOG_TABLE = "ingestion_log"
 PENDING_TABLE = "pending_days"
 
+REJECT_TABLE = "ingestion_rejects"
+REJECTS = T.StructType([T.StructField(name, T.StringType()) for name in ("billing_period", "s3_key", "error")])
+
 PENDING = T.StructType([T.StructField("day", T.DateType())])
 
 
@@ -285,6 +288,15 @@ def expire_summary(spark: SparkSession, root: str, keep: int = 2) -> int:
     return removed
 
 
+def write_rejects(spark: SparkSession, root: str, rejected: list[tuple[str, str, str]]) -> None:
+    """What the last run left out: (billing_period, s3_key, error) of manifests and files."""
+    spark.createDataFrame(rejected, REJECTS).coalesce(1).write.mode("overwrite").parquet(f"{root}/{REJECT_TABLE}")
+
+
+def read_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/{REJECT_TABLE}", REJECTS)
+
+
 def note_pending(spark: SparkSession, root: str, days: Iterable[date | None]) -> None:
     """Remember days whose summary is about to be out of date."""
     noted = spark.createDataFrame([(day,) for day in days], PENDING)

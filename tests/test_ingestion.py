@@ -171,6 +171,26 @@ def test_bad_files_and_manifests_are_isolated(spark, exports, store):
     assert [c for _, c in costs(spark, store)] == [1.0, 2.0, 4.0, 8.0]
 
 
+def test_a_file_damaged_in_the_middle_is_left_out(spark, exports, store):
+    """Its footer and mandatory columns are fine; a page of another column is not."""
+    import pyarrow.parquet as pq
+
+    a, b = exports.file(f"{JAN}/a.parquet", [1]), exports.file(f"{JAN}/b.parquet", range(200))
+    path = exports.root / b
+    column = next(c for c in (pq.ParquetFile(path).metadata.row_group(0).column(i) for i in range(5)) if c.path_in_schema == "product_product_code")
+    data, start = bytearray(path.read_bytes()), column.dictionary_page_offset
+    data[start : start + column.total_compressed_size] = b"\xff" * column.total_compressed_size
+    path.write_bytes(data)
+    exports.manifest(JAN, "first", [a, b])
+    report = ingestion.ingest_exports(spark, str(exports.root), store)
+    assert report.rows_loaded == 1 and [key for key, _ in report.errors] == [b]
+    assert rows_of(tables.read_rejects(spark, store), "billing_period", "s3_key") == [(JAN, b)]
+    assert costs(spark, store) == [(date(2025, 1, 1), 1.0)]
+    exports.file(b, [2])
+    repaired = ingestion.ingest_exports(spark, str(exports.root), store)
+    assert repaired.rows_loaded == 1 and tables.read_rejects(spark, store).isEmpty()
+
+
 def test_keys_with_special_characters(spark, exports, store):
     keys = [exports.file(f"{JAN}/run=1/{name}.parquet", [1]) for name in ("a b", "a+b", "a%20b", "ä-1")]
     exports.manifest(JAN, "first", keys)

@@ -104,21 +104,63 @@ def test_times_and_bad_values(spark):
         2025, 1, 2, 2, 30)
 
 
+def keyed(spark, *keys):
+    return spark.createDataFrame([(key,) for key in keys], "s3_key string")
+
+
 def test_scan_of_mixed_files(spark, tmp_path):
     root = str(tmp_path)
     v2_export(spark).coalesce(1).write.parquet(f"{root}/new")
     v1_export(spark).coalesce(1).write.parquet(f"{root}/old")
-    keys = [r["key"] for r in manifests.list_keys(spark, root).collect()]
-    paths = [f"{root}/{k}" for k in keys if k.endswith(".parquet")]
-    got = billing_files.read_exports(spark, paths, root)
+    keys = [r["key"] for r in billing_files.list_files(spark, root).collect() if r["key"].endswith(".parquet")]
+    got = billing_files.read_exports(spark, keyed(spark, *keys), root)
     assert got.count() == 8
-    assert {r[0] for r in got.select("_source_file").collect()} == {
-        k for k in keys if k.endswith(".parquet")}
+    assert {r[0] for r in got.select("_source_file").collect()} == set(keys)
     (tmp_path / "bad.parquet").write_bytes(b"not parquet")
     with pytest.raises(ValueError, match="bad.parquet"):
-        billing_files.read_exports(spark, [*paths, f"{root}/bad.parquet"], root)
-    with pytest.raises(ValueError):
-        billing_files.read_exports(spark, [f"{root}/absent.parquet"], root)
+        billing_files.read_exports(spark, keyed(spark, *keys, "bad.parquet"), root)
+    with pytest.raises(ValueError, match="does not exist"):
+        billing_files.read_exports(spark, keyed(spark, "absent.parquet"), root)
+
+
+def test_tasks_judge_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = str(tmp_path)
+    good = {"line_item_usage_start_date": ["2025-01-01"], "line_item_line_item_type": ["Usage"], "line_item_unblended_cost": [1.0]}
+    files = {
+        "good": good,
+        "text_cost": {**good, "line_item_unblended_cost": ["2.5"]},
+        "tagged": {**good, "tag": ["x"]},
+        "other_tag": {**good, "tag": [1]},
+        "older": {"lineItem/UsageStartDate": ["2025-01-01"], "lineItem/LineItemType": ["Usage"], "lineItem/UnblendedCost": [4.0]},
+        "no_cost": {k: v for k, v in good.items() if "cost" not in k},
+        "null_cost": {**good, "line_item_unblended_cost": pa.array([None], pa.float64())},
+        "empty": {k: pa.array([], pa.array(v).type) for k, v in good.items()},
+    }
+    for name, columns in files.items():
+        pq.write_table(pa.table(columns), f"{root}/{name}")
+    (tmp_path / "rubbish").write_bytes(b"rubbish" * 100)
+    opened = []
+    groups, verdicts = billing_files.judge_exports(spark, keyed(spark, *files, "rubbish", "absent"), root)
+    by_name = {row["s3_key"]: row for row in verdicts}
+    errors = {name: row["error"] for name, row in by_name.items() if row["error"]}
+    assert errors.keys() == {"no_cost", "rubbish", "absent"}
+    assert "unblended_cost" in errors["no_cost"] and "exist" in errors["absent"]
+    assert {name: row["generation"] for name, row in by_name.items() if not row["error"]} == {
+        name: "v1" if name == "older" else "v2" for name in files if name != "no_cost"}
+    got = billing_files.scan_exports(spark, groups, verdicts, root)
+    assert rows_of(got, "_source_file", "unblended_cost") == sorted(
+        [("good", 1.0), ("text_cost", 2.5), ("tagged", 1.0), ("other_tag", 1.0), ("older", 4.0), ("null_cost", None)], key=repr)
+    # The driver opens only what tasks could not tell.
+    read = billing_files.read_footers
+    try:
+        billing_files.read_footers = lambda spark, paths: opened.extend(paths) or read(spark, paths)
+        billing_files.judge_exports(spark, keyed(spark, *files, "rubbish", "absent"), root)
+    finally:
+        billing_files.read_footers = read
+    assert {path.rsplit("/", 1)[1] for path in opened} == {"no_cost", "null_cost", "empty", "rubbish"}
 
 
 MANIFEST = {
