@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime, timezone
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.checks import month_period
-from ledgerloom.functions.dates import instant, instants_between, period_start
+from ledgerloom.functions.dates import instant, instants_between, islands, period_start
 from ledgerloom.operators.summary import summarize_line_items
 from ledgerloom.sources import tables
 from ledgerloom.sources.billing_files import broken_files, judge_exports, scan_exports
@@ -204,19 +203,8 @@ def _touched_days(line_items: DataFrame) -> set[date | None]:
     return {row["day"] for row in line_items.select(day).distinct().collect()}
 
 
-def islands(days: Iterable[date]) -> list[tuple[date, date]]:
-    """Days as ranges without gaps."""
-    found: list[tuple[date, date]] = []
-    for day in sorted(days):
-        if found and day - found[-1][1] <= timedelta(days=1):
-            found[-1] = (found[-1][0], day)
-        else:
-            found.append((day, day))
-    return found
-
-
 def _summarize_days(spark: SparkSession, table_root: str, days: set[date | None]) -> None:
-    """Bring the summary of the given days up to date, and rewrite no other.
+    """Bring the summary of the given days up to date.
 
     What a day has now is added up anew from its line items. Taking the old sums off again would leave
     rounding errors behind, and no sum tells whether a cost was NULL.

@@ -345,6 +345,72 @@ def ingest_error_isolation(spark, sf):
     return loaded.unionByName(rejected)
 
 
+_UNREADABLE, _LACKING = "19990501-19990601", "19990601-19990701"
+
+
+@query(
+    f"""WITH stored AS (
+  SELECT *, year(usage_start_date) = 2000 AS restated,
+         CASE WHEN year(usage_start_date) = 2000 THEN unblended_cost * 2 ELSE unblended_cost END AS cost
+  FROM line_items
+  WHERE line_item_type <> 'Refund'
+     OR year(usage_start_date) <> 2000 AND billing_period NOT IN ('{_UNREADABLE}', '{_LACKING}'))
+SELECT 'line items' AS kind, billing_period, '' AS name, COUNT(*) AS rows, SUM(cost) AS cost
+FROM stored GROUP BY billing_period
+UNION ALL
+SELECT 'summary', billing_period, product_code, COUNT(*), SUM(cost)
+FROM stored WHERE line_item_type <> 'Refund' GROUP BY billing_period, product_code
+UNION ALL
+SELECT 'log', billing_period, CASE WHEN restated THEN 'second' ELSE 'first' END, COUNT(*), NULL
+FROM stored GROUP BY billing_period, restated
+UNION ALL
+SELECT DISTINCT 'reject', billing_period,
+       CASE billing_period WHEN '{_LACKING}' THEN 'unblended_cost' ELSE 'unreadable' END, 0, NULL
+FROM line_items WHERE line_item_type = 'Refund' AND billing_period IN ('{_UNREADABLE}', '{_LACKING}')"""
+)
+def ingest_exports(spark, sf):
+    """Export files of all periods ingested, some of them bad, and a year restated at twice its cost.
+
+    Refunds come in files of the older generation; those of one period are unreadable, those of another
+    have no cost. The second assembly of 2000 has no refunds.
+    """
+    root, store = scratch(spark), scratch(spark)
+    rows = tables.line_items(spark, sf)
+    period, refund = billing_period(to_day(F.col("usage_start_date"))), F.col("line_item_type") == "Refund"
+    samples.write_export(rows.filter(~refund), "v2", root, "usage")
+    samples.write_export(rows.filter(refund & (period != _LACKING)), "v1", root, "refunds")
+    samples.write_export(rows.filter(refund & (period == _LACKING)), "v1", root, "lacking", "unblended_cost")
+    unreadable = F.col("key").startswith(f"refunds/period={_UNREADABLE}/") & F.col("key").endswith(".parquet")
+    for row in billing_files.list_files(spark, root).filter(unreadable).collect():
+        samples.write_text(spark, f"{root}/{row['key']}", "no Parquet")
+    samples.write_manifests(spark, root, "first", ["usage", "refunds", "lacking"])
+    ingestion.ingest_exports(spark, root, store)
+    year = F.year("usage_start_date") == 2000
+    twice = rows.filter(~refund & year).withColumn("unblended_cost", F.col("unblended_cost") * 2)
+    samples.write_export(twice, "v2", root, "restated")
+    samples.write_manifests(spark, root, "second", ["restated"])
+    ingestion.ingest_exports(spark, root, store)
+
+    cost = F.sum("unblended_cost").alias("cost")
+    stored = storage.read_line_items(spark, store)
+    summary = storage.read_summary(spark, store)
+    log = storage.read_log(spark, store)
+    reason = F.when(F.col("error").contains("unblended_cost"), "unblended_cost").otherwise("unreadable")
+    none = F.lit(None).cast("double").alias("cost")
+    found = [
+        stored.groupBy(F.lit("line items").alias("kind"), period.alias("billing_period"), F.lit("").alias("name"))
+        .agg(F.count("*").alias("rows"), cost),
+        summary.groupBy(F.lit("summary").alias("kind"), billing_period(F.col("usage_date")).alias("billing_period"), F.col("product_code").alias("name"))
+        .agg(F.sum("line_item_count").alias("rows"), F.sum("total_unblended_cost").alias("cost")),
+        log.groupBy(F.lit("log").alias("kind"), "billing_period", F.col("assembly_id").alias("name"))
+        .agg(F.sum("rows_loaded").alias("rows"), none),
+        storage.read_rejects(spark, store)
+        .select(F.lit("reject").alias("kind"), "billing_period", reason.alias("name")).distinct()
+        .select("*", F.lit(0).cast("long").alias("rows"), none),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query(
     """SELECT usage_date, usage_account_id, product_code, data_source,
        total_net_amortized_cost AS cost

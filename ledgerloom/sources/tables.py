@@ -1,14 +1,14 @@
 """The model's tables as partitioned Parquet below one root.
 
 Line items are partitioned by the start of their billing period, the summary by
-source and day, the log by billing period: what a restatement replaces is always
+source and month, its days in order, the log by billing period: what a restatement replaces is always
 a set of whole partitions, and date filters prune directories. Plain Parquet has
 no transaction over several tables; the ingestion orders its writes so that a
 run that broke off can simply be run again.
 
-The summary by itself is transactional. A write puts the days it replaces into
+The summary by itself is transactional. A write puts the months it changes into
 folders of its own version beside the others, and then publishes one small commit
-file that names the version of every day. A reader takes the latest whole commit
+file that names the version of every month. A reader takes the latest whole commit
 and reads the folders it names: the rows before a write or those after it, never
 some of both, whatever the writer is doing and also if it broke off. Folders that
 no kept commit names are removed by `expire_summary`.
@@ -21,9 +21,10 @@ from collections.abc import Callable, Iterable
 from datetime import date
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.fixed_values import API_SOURCE, EXPORT_SOURCE
+from ledgerloom.functions.dates import days_between, islands
 from ledgerloom.model import DAILY_SUMMARY, INGESTION_LOG, LINE_ITEMS, conform
 
 LINE_ITEM_TABLE = "cost_line_items"
@@ -120,22 +121,25 @@ def append_log(entries: DataFrame, root: str) -> None:
 
 
 def _by_day(summary: DataFrame) -> DataFrame:
-    """Summary rows shuffled so that a day goes to few files, large days split."""
-    return conform(summary, DAILY_SUMMARY).hint("rebalance", "data_source", "usage_date")
+    """Summary rows shuffled so that a month goes to few files, large months split, with days in order."""
+    month = F.coalesce(F.date_format("usage_date", "yyyy-MM"), F.lit(_NO_MONTH))
+    dealt = conform(summary, DAILY_SUMMARY).withColumn("usage_month", month).hint("rebalance", "data_source", "usage_month")
+    return dealt.sortWithinPartitions("data_source", "usage_month", "usage_date")
 
 
-#: A day's partition: source, and the day as its folder spells it.
-Day = tuple[str, str]
-_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+#: A month's partition: source, and the month as its folder spells it.
+Month = tuple[str, str]
+_NO_MONTH = "none"
+_STORED = T.StructType([*DAILY_SUMMARY, T.StructField("usage_month", T.StringType()), T.StructField("version", T.StringType())])
 _COMMITS, _END = "_commits", "end"
 
 
 def _spelled(day: date | None) -> str:
-    return _NO_DAY if day is None else day.isoformat()
+    return _NO_MONTH if day is None else f"{day:%Y-%m}"
 
 
-def _day_path(root: str, day: Day, version: str) -> str:
-    return f"{root}/{SUMMARY_TABLE}/data_source={day[0]}/usage_date={day[1]}/version={version}"
+def _month_path(root: str, month: Month, version: str) -> str:
+    return f"{root}/{SUMMARY_TABLE}/data_source={month[0]}/usage_month={month[1]}/version={version}"
 
 
 def _commit_numbers(spark: SparkSession, root: str) -> list[int]:
@@ -146,8 +150,8 @@ def _commit_numbers(spark: SparkSession, root: str) -> list[int]:
     return sorted((int(name) for name in names if name.isdigit()), reverse=True)
 
 
-def _read_commit(spark: SparkSession, root: str, number: int) -> dict[Day, str] | None:
-    """The version of every day as of a commit; None while it is still being written."""
+def _read_commit(spark: SparkSession, root: str, number: int) -> dict[Month, str] | None:
+    """The version of every month as of a commit; None while it is still being written."""
     files, where = _path(spark, f"{root}/{SUMMARY_TABLE}/{_COMMITS}/{number:012d}")
     stream = files.open(where)
     try:
@@ -156,10 +160,10 @@ def _read_commit(spark: SparkSession, root: str, number: int) -> dict[Day, str]
         stream.close()
     if lines[-1] != f"{_END} {len(lines) - 1}":
         return None
-    return {(source, day): version for source, day, version in (line.split("\t") for line in lines[:-1])}
+    return {(source, month): version for source, month, version in (line.split("\t") for line in lines[:-1])}
 
 
-def summary_commit(spark: SparkSession, root: str) -> tuple[int, dict[Day, str]]:
+def summary_commit(spark: SparkSession, root: str) -> tuple[int, dict[Month, str]]:
     """Number and content of the latest whole commit; 0 and nothing before the first."""
     for number in _commit_numbers(spark, root):
         found = _read_commit(spark, root, number)
@@ -168,9 +172,9 @@ def summary_commit(spark: SparkSession, root: str) -> tuple[int, dict[Day, str]]
     return 0, {}
 
 
-def _publish(spark: SparkSession, root: str, number: int, days: dict[Day, str]) -> None:
+def _publish(spark: SparkSession, root: str, number: int, months: dict[Month, str]) -> None:
     """Write a commit file. The file is created exclusively, so of two writers that started from one commit one fails."""
-    lines = ["\t".join((*day, version)) for day, version in sorted(days.items())]
+    lines = ["\t".join((*month, version)) for month, version in sorted(months.items())]
     text = "\n".join([*lines, f"{_END} {len(lines)}"])
     files, where = _path(spark, f"{root}/{SUMMARY_TABLE}/{_COMMITS}/{number:012d}")
     stream = files.create(where, False)
@@ -178,19 +182,25 @@ def _publish(spark: SparkSession, root: str, number: int, days: dict[Day, str])
     stream.close()
 
 
-def _replace_days(summary: DataFrame, root: str, replaced: Callable[[Day], bool]) -> None:
-    """Store ``summary`` and publish it in place of the days that are ``replaced``."""
+def _replace(
+    summary: DataFrame, root: str, data_source: str, months: Callable[[str], bool], stays: Column | None = None
+) -> None:
+    """Publish ``summary`` in place of the ``months`` of a source; of what these hold, rows that ``stays`` picks are carried over."""
     spark = summary.sparkSession
     numbers = _commit_numbers(spark, root)
     _, before = summary_commit(spark, root)
+    changed = {month: version for month, version in before.items() if month[0] == data_source and months(month[1])}
+    rows = conform(summary.withColumn("data_source", F.lit(data_source)), DAILY_SUMMARY)
+    if stays is not None and changed:
+        rows = rows.unionByName(_read_months(spark, root, changed).filter(stays))
     version = uuid.uuid4().hex
-    rows = _by_day(summary).withColumn("version", F.lit(version))
-    rows.write.mode("append").partitionBy("data_source", "usage_date", "version").parquet(f"{root}/{SUMMARY_TABLE}")
-    files, pattern = _path(spark, f"{root}/{SUMMARY_TABLE}/data_source=*/usage_date=*/version={version}")
-    after = {day: held for day, held in before.items() if not replaced(day)}
+    written = _by_day(rows).withColumn("version", F.lit(version)).write.mode("append")
+    written.partitionBy("data_source", "usage_month", "version").parquet(f"{root}/{SUMMARY_TABLE}")
+    files, pattern = _path(spark, f"{root}/{SUMMARY_TABLE}/data_source=*/usage_month=*/version={version}")
+    after = {month: held for month, held in before.items() if month not in changed}
     for status in files.globStatus(pattern):
         parts = dict(part.split("=", 1) for part in status.getPath().toString().split("/")[-3:])
-        after[parts["data_source"], parts["usage_date"]] = version
+        after[parts["data_source"], parts["usage_month"]] = version
     _publish(spark, root, (numbers[0] if numbers else 0) + 1, after)
 
 
@@ -203,65 +213,67 @@ def read_summary(
 ) -> DataFrame:
     """The summary as of now, pinned: later writes do not change what the result reads.
 
-    A range of days or a source is looked up in the commit, so other folders are not even listed.
+    A range of days or a source is looked up in the commit, so the folders of other months are not even listed.
     """
-    _, days = summary_commit(spark, root)
-    return _read_days(spark, root, days, start, end, data_source)
+    _, months = summary_commit(spark, root)
+
+    def wanted(month: Month) -> bool:
+        if data_source and month[0] != data_source:
+            return False
+        if not (start or end):
+            return True
+        return month[1] != _NO_MONTH and _spelled(start or date.min) <= month[1] <= _spelled(end or date.max)
+
+    rows = _read_months(spark, root, {month: version for month, version in months.items() if wanted(month)})
+    return rows.filter(days_between("usage_date", start or date.min, end or date.max)) if start or end else rows
 
 
 def read_summary_as_of(spark: SparkSession, root: str, number: int) -> DataFrame:
     """The summary as a commit left it, as long as its folders are kept."""
-    days = _read_commit(spark, root, number)
-    if days is None:
+    months = _read_commit(spark, root, number)
+    if months is None:
         raise ValueError(f"commit {number} is not whole")
-    return _read_days(spark, root, days)
+    return _read_months(spark, root, months)
 
 
-def _read_days(spark, root, days, start=None, end=None, data_source=None) -> DataFrame:
-    def wanted(day: Day) -> bool:
-        if data_source and day[0] != data_source:
-            return False
-        if not (start or end):
-            return True
-        return day[1] != _NO_DAY and (start or date.min).isoformat() <= day[1] <= (end or date.max).isoformat()
-
-    paths = [_day_path(root, day, version) for day, version in sorted(days.items()) if wanted(day)]
+def _read_months(spark: SparkSession, root: str, months: dict[Month, str]) -> DataFrame:
+    paths = [_month_path(root, month, version) for month, version in sorted(months.items())]
     if not paths:
         return spark.createDataFrame([], DAILY_SUMMARY)
-    stored = spark.read.schema(DAILY_SUMMARY).option("basePath", f"{root}/{SUMMARY_TABLE}").parquet(*paths)
+    stored = spark.read.schema(_STORED).option("basePath", f"{root}/{SUMMARY_TABLE}").parquet(*paths)
     return conform(stored, DAILY_SUMMARY)
 
 
 def write_rebuilt_summary(summary: DataFrame, root: str, data_source: str = EXPORT_SOURCE) -> int:
     """Replace every row of one source; other sources are not touched. Returns the rows written."""
-    _replace_days(summary.withColumn("data_source", F.lit(data_source)), root, lambda day: day[0] == data_source)
+    _replace(summary, root, data_source, lambda month: True)
     return count_summary(summary.sparkSession, root, data_source)
 
 
 def write_rebuilt_days(summary: DataFrame, root: str, days: Iterable[date | None]) -> None:
-    """Replace the export rows of the given days, and of no other."""
-    gone = {(EXPORT_SOURCE, _spelled(day)) for day in days}
-    _replace_days(summary.withColumn("data_source", F.lit(EXPORT_SOURCE)), root, gone.__contains__)
+    """Replace the export rows of the given days. Of their months, and of no other, the other days are carried over."""
+    days = set(days)
+    gone = F.col("usage_date").isNull() if None in days else F.lit(False)
+    for first, last in islands(day for day in days if day is not None):
+        gone = gone | F.coalesce(days_between("usage_date", first, last), F.lit(False))
+    _replace(summary, root, EXPORT_SOURCE, {_spelled(day) for day in days}.__contains__, ~gone)
 
 
 def write_summary_range(incoming: DataFrame, root: str, data_source: str = API_SOURCE) -> int:
     """Replace one source over the date range of ``incoming``; returns the rows written.
 
-    Only the days of that range are rewritten. Dates in the range without an
-    incoming row are dropped. The driver sees one row per incoming date.
+    Only the months of that range are rewritten. Dates in the range without an
+    incoming row are dropped. The driver sees the first and last date.
     """
     spark = incoming.sparkSession
-    dates = [row[0] for row in incoming.select("usage_date").distinct().collect()]
-    if None in dates:
+    day = F.col("usage_date")
+    first, last, undated = incoming.agg(F.min(day), F.max(day), F.count_if(day.isNull())).first()
+    if undated:
         raise ValueError("incoming costs without a usage_date")
-    if not dates:
+    if first is None:
         return 0
-    first, last = min(dates), max(dates)
-
-    def replaced(day: Day) -> bool:
-        return day[0] == data_source and day[1] != _NO_DAY and first <= date.fromisoformat(day[1]) <= last
-
-    _replace_days(incoming.withColumn("data_source", F.lit(data_source)), root, replaced)
+    stays = ~F.coalesce(days_between("usage_date", first, last), F.lit(False))
+    _replace(incoming, root, data_source, lambda month: month != _NO_MONTH and _spelled(first) <= month <= _spelled(last), stays)
     return count_summary(spark, root, data_source, first, last)
 
 
@@ -273,11 +285,11 @@ def expire_summary(spark: SparkSession, root: str, keep: int = 2) -> int:
     numbers = _commit_numbers(spark, root)
     kept = [number for number in numbers if _read_commit(spark, root, number) is not None][:keep]
     named = {
-        _day_path("", day, version)
+        _month_path("", month, version)
         for number in kept
-        for day, version in (_read_commit(spark, root, number) or {}).items()
+        for month, version in (_read_commit(spark, root, number) or {}).items()
     }
-    files, pattern = _path(spark, f"{root}/{SUMMARY_TABLE}/data_source=*/usage_date=*/version=*")
+    files, pattern = _path(spark, f"{root}/{SUMMARY_TABLE}/data_source=*/usage_month=*/version=*")
     removed = 0
     for status in files.globStatus(pattern):
         path = "/".join(["", SUMMARY_TABLE, *status.getPath().toString().split("/")[-3:]])

@@ -173,13 +173,23 @@ def test_folders_no_commit_names_are_removed(spark, make_line_items, tmp_path):
     assert tables.summary_commit(spark, root)[0] == 4
 
 
-def test_a_range_of_days_reads_their_folders_only(spark, make_summary, tmp_path):
+def test_a_range_of_days_reads_their_months_only(spark, make_summary, tmp_path):
     root = str(tmp_path)
-    tables.write_rebuilt_summary(make_summary([(d, "1", "p", "r", 1) for d in (D1, D2, D3, D15)]), root)
-    tables.write_summary_range(api(spark, (D2, 5), (D15, 6)), root)
-    asked = tables.read_summary(spark, root, D2, D3)
-    assert state(asked) == [(D2, 1.0, "cur"), (D2, 5.0, "cost_explorer"), (D3, 1.0, "cur")]
-    assert len(asked.inputFiles()) == 3
+    months = [date(2025, m, d) for m in (1, 2, 3) for d in (1, 20)]
+    tables.write_rebuilt_summary(make_summary([*((d, "1", "p", "r", 1) for d in months), (None, "1", "p", "r", 9)]), root)
+    tables.write_summary_range(api(spark, (date(2025, 2, 2), 5), (date(2025, 3, 3), 6)), root)
+    asked = tables.read_summary(spark, root, date(2025, 2, 1), date(2025, 2, 19))
+    assert state(asked) == [(date(2025, 2, 1), 1.0, "cur"), (date(2025, 2, 2), 5.0, "cost_explorer")]
+    assert len(asked.inputFiles()) == 2 and all("usage_month=2025-02" in f for f in asked.inputFiles())
     assert len(tables.read_summary(spark, root, data_source="cur").inputFiles()) == 4
-    plan = tables.read_summary(spark, root).filter(F.col("usage_date") == F.lit(D2))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(usage_date" in plan
+    assert "PushedFilters: [IsNotNull(usage_date)" in asked._jdf.queryExecution().executedPlan().toString()
+    assert tables.read_summary(spark, root).filter("usage_date IS NULL").count() == 1
+
+
+def test_replacing_a_day_carries_the_rest_of_its_month_over(spark, make_summary, tmp_path):
+    root = str(tmp_path)
+    tables.write_rebuilt_summary(make_summary([(d, "1", "p", "r", 1) for d in (D1, D2, None)]), root)
+    tables.write_rebuilt_days(make_summary([(D2, "1", "p", "r", 7)]), root, [D2, D3])
+    assert state(tables.read_summary(spark, root)) == sorted([(D1, 1.0, "cur"), (D2, 7.0, "cur"), (None, 1.0, "cur")], key=repr)
+    tables.write_rebuilt_days(make_summary([]), root, [D1, None])
+    assert state(tables.read_summary(spark, root)) == [(D2, 7.0, "cur")]
