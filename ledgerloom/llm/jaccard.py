@@ -319,9 +319,10 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
         return worded.select(F.col("doc_id").alias("id"), "n", F.explode(kind).alias("token"))
 
     by_length = Window.partitionBy("token").orderBy("n", "id")
-    beside = [long_enough(join, F.col("n"), place("n").over(by_length)) for place in (F.lag, F.lead)]
-    several = offered_of("rare").withColumn("beside", F.coalesce(beside[0], F.lit(False)) | F.coalesce(beside[1], F.lit(False)))
-    several = several.filter("beside").select("id", "n", "token")
+    # A document at either end of its group stands beside none, which is as if beside one of no shingles.
+    shorter, longer = (F.coalesce(place("n").over(by_length), F.lit(0)) for place in (F.lag, F.lead))
+    beside = long_enough(join, F.col("n"), shorter) | long_enough(join, F.col("n"), longer)
+    several = offered_of("rare").withColumn("beside", beside).filter("beside").select("id", "n", "token")
     repeated = stored(several.unionByName(offered_of("often")), "repeated-shingles")
     firsts = member.filter("doc_id = first").select(F.col("doc_id").alias("id"))
     offered = repeated.join(firsts, "id", "left_semi").groupBy("id", "token").agg(F.min("n").alias("n"), F.max("n").alias("most"))
