@@ -16,7 +16,7 @@ score and id are held, so that neither ties nor a single long vector lose a neig
 Every query block meets every shard: that is the search itself. Shards and blocks are bounded, and of
 each pair only the nearest ``k`` of each query leave the task.
 
-Defined results: vectors that are null, zero, or hold a null or a non-finite component take no part;
+Defined results: vectors that are null, zero, or hold a null or a non-finite component, and rows without an id, take no part;
 vectors of different length are never neighbours; equal vectors are all candidates, ties go to the
 smaller id; rows repeated with one id are one query, and never candidates of it; an empty
 table gives an empty result; further columns are ignored.
@@ -217,7 +217,7 @@ def nearest(
 
     def vectors(df):
         vector = F.transform("embedding", lambda x: x.cast("double"))
-        return df.filter(usable(F.col("embedding"))).select("vec_id", vector.alias("embedding"), F.size("embedding").alias("dim"))
+        return df.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", vector.alias("embedding"), F.size("embedding").alias("dim"))
 
     base, queries = vectors(base), vectors(queries).dropDuplicates(["vec_id"])
     count, asked = base.count(), queries.count()

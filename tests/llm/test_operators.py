@@ -436,3 +436,10 @@ def test_mixed_documents_that_repeat(spark, docs):
     rows = docs.filter("doc_id = 1").limit(1).collect() * 7
     mixed = mixing.mix_documents(spark.createDataFrame(rows, docs.schema)).collect()
     assert len(mixed) == 7 and sorted(r["copies"] for r in mixed) in ([1] * 4 + [2] * 3, [1] * 3 + [2] * 4)
+
+
+def test_vectors_without_an_id_take_no_part(spark):
+    rows = [(None, [9.0, 9.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in vantage.nearest(df, df, k=2).collect())
+    assert [f[:3] for f in found] == [(0, 1, 2), (0, 2, 1), (1, 1, 2), (1, 2, 0), (2, 1, 0), (2, 2, 1)]
