@@ -167,8 +167,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) with the text left, and how many lines it had and lost."""
     docs = docs.drop(*RESULTS)
-    known = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    brief = known.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
+    # Under names of their own: columns of the caller may be called uid or gone.
+    known = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
+    brief = known.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     lines = stored(hashed_lines(brief, bounds), "lines")
 
     def rank(place):
@@ -194,13 +195,14 @@ def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
         for rows, texts in text_blocks(batches):
             null = rows.column(rows.schema.get_field_index("text")).is_null().to_pylist()
             made = []
-            for text, lost, is_null in zip(texts, rows.column(rows.schema.get_field_index("gone")).to_pylist(), null):
+            for text, lost, is_null in zip(texts, rows.column(rows.schema.get_field_index("__gone")).to_pylist(), null):
                 split, lost = text.decode("utf-8", "replace").split("\n"), set(lost or ())
                 left = "\n".join(x for i, x in enumerate(split) if i not in lost) if lost else "\n".join(split)
                 made.append((0, 0, None) if is_null else (len(split), len(lost), left))
             results = [pa.array(c, k) for c, k in zip(zip(*made), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in columns), *results], [*columns, *RESULTS])
 
-    losing, whole = split_by_ids(known, "uid", gone)
-    read = losing.join(gone, "uid", "left").unionByName(whole.withColumn("gone", F.lit(None).cast("array<int>")))
-    return read.select(*[F.col(f"`{c}`") for c in columns], "gone").mapInArrow(remove, schema)
+    gone = gone.select(F.col("uid").alias("__uid"), F.col("gone").alias("__gone"))
+    losing, whole = split_by_ids(known, "__uid", gone)
+    read = losing.join(gone, "__uid", "left").unionByName(whole.withColumn("__gone", F.lit(None).cast("array<int>")))
+    return read.select(*[F.col(f"`{c}`") for c in columns], "__gone").mapInArrow(remove, schema)

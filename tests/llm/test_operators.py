@@ -243,19 +243,20 @@ def test_line_dedup(spark, none, rows):
     more = [(2000 + i, "\n".join(" ".join(v) for v in rng.sample(variants, 4)), None, None, None, None, None, None, None) for i in range(8)]
     everything = rows + more
     order = lambda i, p: (i is None, i or 0, p)
+    bounds = line_dedup.Bounds()
     first, texts = {}, {(r[0], r[1]) for r in everything}
     for i, text in texts:
         for p, x in enumerate((text or "").split("\n")):
             w = tuple(words(x))
-            if len(w) >= 4:
+            if len(w) >= bounds.least_words:
                 first[w] = min(first.get(w, order(i, p)), order(i, p))
-    near = {a for a in first for b in first if min(len(a), len(b)) >= 9 and first[b] < first[a] and line_dedup.one_edit(list(a), list(b))}
+    near = {a for a in first for b in first if min(len(a), len(b)) >= bounds.least_fuzzy and first[b] < first[a] and line_dedup.one_edit(list(a), list(b))}
 
     def plain(i, text):
         if text is None:
             return 0, 0, None
         lines = text.split("\n")
-        gone = [p for p, x in enumerate(lines) if len(w := tuple(words(x))) >= 4 and (w in near or first[w] != order(i, p))]
+        gone = [p for p, x in enumerate(lines) if len(w := tuple(words(x))) >= bounds.least_words and (w in near or first[w] != order(i, p))]
         return len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone)
 
     found = line_dedup.dedup_lines(spark.createDataFrame(everything, SCHEMA).repartition(3))
@@ -274,6 +275,15 @@ def test_line_dedup_of_short_lines(spark):
     }
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "same line\nother", "text", 5, [7]), (2, "same line", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string, places long, gone array<int>")
+    found = sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect())
+    assert found == [(*rows[0], 2, 0, "same line\nother"), (*rows[1], 1, 1, "")]
+    longs = spark.createDataFrame([(1, "a", 17)], "doc_id long, text string, uid long")
+    assert line_dedup.dedup_lines(longs).first()["uid"] == 17
+
+
 def test_line_dedup_of_texts_of_one_id(spark):
     line = "one line of words that stands in both of the texts"
     docs = [(7, line + "\nmine"), (7, line + "\nyours"), (8, "a b c d e f"), (8, "a b c d e g"), (9, "twice"), (9, "twice")]
