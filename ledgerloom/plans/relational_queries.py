@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ledgerloom import checks
 from ledgerloom.functions import robust
-from ledgerloom.functions.dates import month_start
+from ledgerloom.functions.dates import instants_between, month_start
 from ledgerloom.functions.labels import group_label, group_value
 from ledgerloom.operators import (
     anomalies,
@@ -481,21 +481,39 @@ def topn_breakdown(spark, sf):
     return broken_down.filter("dimension <> 'total'").select("dimension", "rank", "key", "cost")
 
 
+_SIDE = """SELECT product_code AS service, resource_id AS k, SUM(net_unblended_cost) AS cost
+  FROM line_items WHERE usage_date"""
 _RESOURCE_CHANGES = f"""changes AS (
-  SELECT *, b_cost - a_cost AS absolute_change FROM ({two_sided_sql("resource_id")}))"""
+  SELECT *, b_cost - a_cost AS absolute_change FROM (
+    SELECT COALESCE(a.service, b.service) AS service, COALESCE(a.k, b.k) AS key,
+           COALESCE(a.cost, 0) AS a_cost, COALESCE(b.cost, 0) AS b_cost
+    FROM ({_SIDE} {composites._A} GROUP BY 1, 2) AS a
+    FULL OUTER JOIN ({_SIDE} {composites._B} GROUP BY 1, 2) AS b ON a.service = b.service AND a.k = b.k))"""
+
+
+def _resource_changes(spark, sf):
+    """Changes of every resource of every service between the two periods."""
+    rows = tables.line_items(spark, sf, ["usage_start_date", "product_code", "resource_id", "net_unblended_cost"])
+    in_a, in_b = (instants_between("usage_start_date", *period) for period in (PERIOD_A, PERIOD_B))
+    named = rows.filter(in_a | in_b).select(
+        in_a.alias("in_a"), in_b.alias("in_b"), F.col("net_unblended_cost").alias("cost"),
+        F.col("product_code").alias("service"), F.col("resource_id").alias("key"),
+    )
+    costs = changes.two_sided_costs(named, ["service", "key"], F.col("in_a"), F.col("in_b"), F.col("cost"))
+    return changes.with_changes(costs)
 
 
 @query(
     f"""WITH {_RESOURCE_CHANGES}
-SELECT key, a_cost, b_cost, absolute_change FROM changes
-ORDER BY abs(absolute_change) DESC, key LIMIT 100"""
+SELECT service, rank, key, a_cost, b_cost, absolute_change FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY service ORDER BY abs(absolute_change) DESC, key, b_cost) AS rank FROM changes)
+WHERE rank <= 100"""
 )
 def sort_abs_change(spark, sf):
-    """The hundred resources of greatest change, whatever their category."""
-    rows = tables.line_items(spark, sf, composites.DETAIL)
-    costs = attribution.detail_period_costs(rows, SERVICE, PERIOD_A, PERIOD_B, by="resource_id")
-    largest = changes.largest_changes(changes.with_changes(costs), ["dimension"], "key", 100)
-    return largest.select("key", "a_cost", "b_cost", "absolute_change")
+    """The hundred resources of greatest change of each service, whatever their category."""
+    largest = changes.largest_changes(_resource_changes(spark, sf), ["service"], "key", 100)
+    return largest.select("service", "rank", "key", "a_cost", "b_cost", "absolute_change")
 
 
 @query(
@@ -503,16 +521,14 @@ def sort_abs_change(spark, sf):
 categories AS (
   SELECT *, CASE WHEN a_cost = 0 THEN 'new' WHEN b_cost = 0 THEN 'disappeared' ELSE 'mover' END
     AS category FROM changes)
-SELECT category, rank, key, absolute_change FROM (
+SELECT service, category, rank, key, absolute_change FROM (
   SELECT *, row_number() OVER (
-    PARTITION BY category ORDER BY abs(absolute_change) DESC, key) AS rank FROM categories)
+    PARTITION BY service, category ORDER BY abs(absolute_change) DESC, key, b_cost) AS rank FROM categories)
 WHERE rank <= 25"""
 )
 def topn_per_category(spark, sf):
-    rows = tables.line_items(spark, sf, composites.DETAIL)
-    costs = attribution.detail_period_costs(rows, SERVICE, PERIOD_A, PERIOD_B, by="resource_id")
-    largest = changes.largest_changes(changes.with_changes(costs), ["category"], "key", 25)
-    return largest.select("category", "rank", "key", "absolute_change")
+    largest = changes.largest_changes(_resource_changes(spark, sf), ["service", "category"], "key", 25)
+    return largest.select("service", "category", "rank", "key", "absolute_change")
 
 
 @query(
