@@ -7,7 +7,8 @@ split into pre-tokens, a pre-token that is proven whole counts one without any m
 rest go through the library's merges, once per distinct pre-token held in a bounded table.
 
 Texts of Latin letters are split by a pattern over exactly the characters it lists; a text with any
-other character is normalized and split by the library itself. The strings of special tokens inside
+other character is normalized and split by the library itself. Both look each pre-token up in the same
+way, the second spelled in the letters that stand for bytes. The strings of special tokens inside
 a text give their own id, as is the library's default.
 
 Defined results: a null or empty text has no tokens; repeated rows are counted each for themselves;
@@ -78,27 +79,34 @@ def whole_tokens(tokenizer_json: str) -> dict[str, int]:
     return proven
 
 
+def byte_spelling(piece: str) -> str:
+    """A pre-token in the letters that stand for its UTF-8 bytes."""
+    return piece.encode().decode("latin-1").translate(SPELLING)
+
+
+SPELLING = dict(enumerate(byte_letters()))
+
+
 class Pieces(dict):
-    """Packed ids by pre-token: the proven ones, and others as they come up to a bound."""
+    """Packed ids by pre-token: the proven ones, and others as they come up to a bound.
 
-    def __init__(self, tokenizer, whole: dict[str, int]):
-        super().__init__((piece, struct.pack("<H", token)) for piece, token in whole.items())
-        self.tokenize = tokenizer.model.tokenize
-        self.letters = dict(enumerate(byte_letters()))
-        self.whole = whole
+    ``spell`` turns a key into the letters that stand for bytes; keys may be so spelled already.
+    """
 
-    def merged(self, letters: str) -> bytes:
-        ids = [t.id for t in self.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}H", *ids)
+    def __init__(self, tokenizer, whole: dict[str, int], spell=byte_spelling):
+        self.tokenize, self.spell = tokenizer.model.tokenize, spell
+        self.whole = {piece: struct.pack("<H", token) for piece, token in whole.items()}
+        super().__init__(self.whole)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.merged(piece.encode().decode("latin-1").translate(self.letters))
+        ids = [t.id for t in self.tokenize(self.spell(piece))]
+        packed = struct.pack(f"<{len(ids)}H", *ids)
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= len(self.whole) + KEPT_PIECES:
                 self.clear()
-                self.update((p, struct.pack("<H", token)) for p, token in self.whole.items())
-            self[piece] = ids
-        return ids
+                self.update(self.whole)
+            self[piece] = packed
+        return packed
 
 
 class Encoder:
@@ -109,6 +117,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pieces = Pieces(self.tokenizer, whole)
+        self.spelled = Pieces(self.tokenizer, {byte_spelling(piece): token for piece, token in whole.items()}, str)
         applies, piece = latin_pattern()
         self.applies = re.compile(applies).fullmatch
         self.split = re.compile(piece).findall
@@ -122,7 +131,7 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, self.split(lower)))
         text = self.tokenizer.normalizer.normalize_str(text)
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return b"".join(self.pieces.merged(letters) for letters, _ in split)
+        return b"".join(self.spelled[letters] for letters, _ in split)
 
     def encode(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
