@@ -6,9 +6,12 @@ first character, its capitals, its last character, whether it holds a symbol, an
 1. Over all labelled training rows, counts of each feature by class give its log-count ratio.
 2. Indicators are scaled by these ratios and each document's vector to length one; a hinge-loss
    model with squared loss is fitted by dual coordinate descent, one document's multiplier at a time.
-   The fit takes a bounded sample: the ``SAMPLE`` labelled training rows of the smallest hashed ids.
+   The fit takes a bounded sample: the ``SAMPLE`` labelled training rows of the smallest 128-bit hashes of id, text and label.
 3. On a fifth of the sample, kept out of the fit, a logistic curve turns margins into scores.
 
+The sample, its order in the fit and the fifth all go by that hash, so the model does not depend on how rows are laid out or
+on tasks that are repeated.
+
 The model has a fixed size (one weight per hashed feature). All documents are scored on whole texts.
 
 Defined results: a null or empty text, having no features, gets the score of the constant term; labels that are null are ignored;
@@ -137,6 +140,11 @@ def logistic_curve(margins, labels, steps: int = 50):
     return float(a), float(b)
 
 
+def fold(draw: str) -> int:
+    """Which fifth of the sample a row's draw, 32 hexadecimal digits, falls into."""
+    return int(draw[-8:], 16) % 5
+
+
 def log_count_ratios(training: DataFrame):
     """The ratio of each feature from all training rows (``text``, ``label``); all zero unless both labels occur."""
     import numpy as np
@@ -175,26 +183,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     known = known.select("doc_id", F.col("quality").cast("int").alias("label"))
     # Only texts that have a label are shuffled, and once.
     labelled, _ = split_by_ids(docs.select("doc_id", "text"), "doc_id", known)
-    training = stored(labelled.join(known, "doc_id"), "training")
+    draw = F.md5(F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("label").cast("string"), "text"))
+    training = stored(labelled.join(known, "doc_id").withColumn("draw", draw), "training")
     ratios = log_count_ratios(training.select("text", "label"))
     if not ratios.any():
         return ratios, np.zeros(FEATURES + 1), 0.0, 0.0
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    # The sample's last draw is found among draws alone, so only the texts of the sample move.
-    drawn = training.withColumn("draw", F.xxhash64("doc_id"))
-    last = drawn.select("draw").orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
-    chosen = drawn.filter(F.col("draw") <= last).select("text", "label").limit(sample)
+    # The sample's last draw is found among draws alone, so only the sample's features move. Rows of one draw are equal.
+    last = training.select("draw").orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    drawn = training.filter(F.col("draw") <= last).select("draw", "text", "label")
+
+    def featured(batches):
+        import pyarrow as pa
+
+        for block, texts in text_blocks(batches):
+            kept = [block.column(block.schema.get_field_index(c)) for c in ("draw", "label")]
+            ids = pa.array([ids.astype("<i4").tobytes() for ids in features(texts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept, ids], ["draw", "label", "ids"])
+
+    chosen = drawn.mapInArrow(featured, "draw string, label int, ids binary").orderBy("draw").limit(sample)
 
     def fitted(batches):
         import numpy as np
         import pyarrow as pa
 
-        rows, labels = [], []
-        for block, texts in text_blocks(batches):
-            labels += block.column(block.schema.get_field_index("label")).to_pylist()
-            rows += [vector(ids, shared.value) for ids in features(texts)]
-        labels = np.array(labels) * 2 - 1
-        aside = np.arange(len(rows)) % 5 == 4
+        sample = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        rows = [vector(np.frombuffer(ids, "<i4").astype(np.int64), shared.value) for _, _, ids in sample]
+        labels = np.array([label for _, label, _ in sample]) * 2 - 1
+        aside = np.array([fold(draw) == 4 for draw, _, _ in sample])
         if len(set(labels[~aside])) < 2:
             aside[:] = False
         weights = dual_descent([r for r, x in zip(rows, aside) if not x], labels[~aside], EPOCHS, COST)
