@@ -81,14 +81,14 @@ def hashed_lines(docs: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Text and variants of the ``wanted`` lines (h1, rank, uid, place), each read where it stands first."""
-    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("h1", "rank", "place")).alias("wanted"))
+    """Text and variants of the ``wanted`` lines (h1, h2, rank, uid, place), each read where it stands first."""
+    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("h1", "h2", "rank", "place")).alias("wanted"))
 
     def emit(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("h1", pa.int64()), ("rank", RANK_ARROW()), ("line", pa.string()), ("variants", pa.list_(pa.int64()))])
+        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("rank", RANK_ARROW()), ("line", pa.string()), ("variants", pa.list_(pa.int64()))])
         for rows, texts in text_blocks(batches):
             lines, first = Lines(texts), 0
             made = []
@@ -96,13 +96,13 @@ def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 split = text.decode("utf-8", "replace").split("\n")
                 for w in want:
                     variants = lines.without_each(first + w["place"]).view(np.int64)
-                    made.append({"h1": w["h1"], "rank": w["rank"], "line": split[w["place"]], "variants": variants})
+                    made.append({"h1": w["h1"], "h2": w["h2"], "rank": w["rank"], "line": split[w["place"]], "variants": variants})
                 first += len(split)
             yield pa.RecordBatch.from_pylist(made, schema)
 
     holders, _ = split_by_ids(docs, "uid", wanted)
     read = holders.join(places, "uid").select("text", "wanted")
-    return read.mapInArrow(emit, f"h1 long, rank {RANK}, line string, variants array<long>")
+    return read.mapInArrow(emit, f"h1 long, h2 long, rank {RANK}, line string, variants array<long>")
 
 
 #: Where a line stands: nulls last by the flag, then document, then place.
@@ -126,15 +126,17 @@ def one_edit(a: list[str], b: list[str]) -> bool:
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``h1`` of the distinct lines that are one word edit from an earlier one."""
+    """``h1`` and ``h2`` of the distinct lines that are one word edit from an earlier one."""
+    # This filter may let a line of the same h1 through; from here on lines go by both hashes.
     keyed = distinct.select("h1", F.explode("halves").alias("half")).distinct()
     again = keyed.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
     wanted = keyed.join(again, "half").select("h1").distinct()
-    wanted = stored(distinct.join(wanted, "h1").select("h1", "rank", "uid", "place"), "near-candidates")
+    wanted = stored(distinct.join(wanted, "h1").select("h1", "h2", "rank", "uid", "place"), "near-candidates")
     lines = stored(neighbourhoods(docs, wanted), "neighbourhoods")
-    lines = lines.dropDuplicates(["h1"])
+    lines = lines.dropDuplicates(["h1", "h2"])
 
-    me = F.struct("rank", F.col("h1").alias("line")).alias("me")
+    key = F.struct("h1", "h2")
+    me = F.struct("rank", key.alias("line")).alias("me")
     variants = lines.select(me, F.posexplode("variants").alias("at", "variant"))
     wholes = lines.select(F.col("h1").alias("variant"), me)
 
@@ -148,7 +150,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     pairs = replaced.select("me", "first").unionByName(shorter.select("me", "first")).unionByName(longer.select("me", "first"))
     pairs = pairs.filter("first < me").groupBy("me").agg(F.min("first").alias("first"))
     pairs = pairs.select(F.col("me.line").alias("a"), F.col("first.line").alias("b"))
-    text = lines.select("h1", "line")
+    text = lines.select(key, "line")
     both = pairs.join(text.toDF("a", "a_line"), "a").join(text.toDF("b", "b_line"), "b").select("a", "a_line", "b_line")
 
     def check(batches):
@@ -159,9 +161,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         words = re.compile("[^\x20\x09-\x0d]+").findall
         for batch in batches:
             keep = [one_edit(words(x), words(y)) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["h1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["a"])
 
-    return both.mapInArrow(check, "h1 long")
+    return both.mapInArrow(check, "a struct<h1: long, h2: long>").select("a.*")
 
 
 def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
@@ -181,7 +183,7 @@ def dedup_lines(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     fuzzy = distinct.filter(F.size("halves") > 0)
     near = stored(near_lines(brief, fuzzy), "near-lines").withColumn("near", F.lit(True))
 
-    affected = distinct.join(near, "h1", "left").filter("times > 1 OR near").select("h1", "h2", F.struct("rank", "uid").alias("first"), "near")
+    affected = distinct.join(near, ["h1", "h2"], "left").filter("times > 1 OR near").select("h1", "h2", F.struct("rank", "uid").alias("first"), "near")
     later = F.filter("places", lambda p: F.coalesce("near", F.lit(False)) | (F.struct(rank(p).alias("rank"), "uid") > F.col("first")))
     gone = lines.join(affected, ["h1", "h2"]).select("uid", later.alias("gone")).filter(F.size("gone") > 0)
     gone = stored(gone.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "lines-gone")

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -149,6 +150,22 @@ def test_encoder_on_odd_texts():
         assert got == reference.encode(text, add_special_tokens=False).ids, text
 
 
+def test_proven_pieces_are_not_merged_in_any_script():
+    source = open(TOKENIZER).read()
+    whole = tokens.whole_tokens(source)
+    encoder, reference = tokens.Encoder(source, whole), Tokenizer.from_file(TOKENIZER)
+    asked = []
+    merge = encoder.pieces.tokenize
+    encoder.pieces.tokenize = encoder.spelled.tokenize = lambda letters: asked.append(letters) or merge(letters)
+    for text in ("the people of “the” city — and the river", "the people of the city and the river", "люди the людей город"):
+        asked.clear()
+        ids = encoder.encode(text.encode())
+        assert len(ids) == 2 * len(reference.encode(text, add_special_tokens=False).ids)
+        assert not set(asked) & {"the", "people", "of", "city", "and", "river"}
+        asked.clear()
+        assert encoder.encode(text.encode()) == ids and not asked
+
+
 def test_bounded_table_of_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
     source = open(TOKENIZER).read()
@@ -424,6 +441,54 @@ def test_quality_model(spark, none):
     assert quality_model.score_quality(none, labels).count() == 0
 
 
+@pytest.fixture(scope="module")
+def graded(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, 25) if i % 2 else " # ".join(words(prose(rng, 25))) for i in range(80)]
+    docs = spark.createDataFrame([(i % 70, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, quality int")
+
+
+def test_quality_model_does_not_depend_on_layout(graded):
+    docs, labels = graded
+    models = [quality_model.fit(docs.repartition(n), labels.repartition(n), sample=40) for n in (2, 7)]
+    for one, other in zip(*models):
+        assert np.array_equal(one, other)
+    assert models[0][1].any()
+
+
+def test_log_count_ratios_and_dual_solution_by_plain_versions(graded):
+    docs, labels = graded
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.text, quality[r.doc_id]) for r in docs.collect()]
+    alone = [quality_model.features([t.encode()])[0] for t, _ in rows]
+    together = quality_model.features([t.encode() for t, _ in rows])
+    assert all(sorted(a) == sorted(b) and len(set(a)) == len(a) for a, b in zip(alone, together))
+
+    counts = {k: Counter(f for ids, (_, label) in zip(alone, rows) if label == k for f in ids) for k in (0, 1)}
+    sums = {k: sum(counts[k].values()) + quality_model.FEATURES for k in (0, 1)}
+    expected = [np.log(((counts[1][f] + 1) / sums[1]) / ((counts[0][f] + 1) / sums[0])) for f in range(quality_model.FEATURES)]
+    training = docs.sparkSession.createDataFrame(rows, "text string, label int").repartition(3)
+    ratios = quality_model.log_count_ratios(training)
+    assert np.array_equal(ratios, expected)
+
+    vectors = [quality_model.vector(ids, ratios) for ids in alone]
+    y = np.array([label for _, label in rows]) * 2 - 1
+    share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
+
+    def gap(epochs):
+        """Primal less dual value, relative to the primal, with the multipliers the weights stand for."""
+        weights = quality_model.dual_descent(vectors, y, epochs, 1.0)
+        slack = np.maximum(0, 1 - y * np.array([weights[p] @ v for p, v in vectors]))
+        alpha, back = slack / share, np.zeros_like(weights)
+        for a, label, (p, v) in zip(alpha, y, vectors):
+            back[p] += a * label * v
+        primal = weights @ weights / 2 + (slack**2 / share).sum() / 2
+        return (primal - (alpha.sum() - back @ back / 2 - (share * alpha**2).sum() / 2)) / primal
+
+    assert -1e-9 <= gap(400) < 1e-9 and gap(quality_model.EPOCHS) < 0.01
+
+
 def test_kept_documents_are_computed_once(docs):
     kept = quality_rules.kept_documents(docs)
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
