@@ -103,7 +103,12 @@ def test_more_ranks_than_spark_cuts_early(spark):
 @pytest.mark.parametrize("text", [
     "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM others", "SELECT (SELECT MAX(x) FROM others) FROM own",
     "WITH own AS (SELECT * FROM others) SELECT * FROM own", "SELECT * FROM own WHERE EXISTS (SELECT 1 FROM others)",
-    "SELECT * FROM own JOIN global_temp.others ON TRUE"])
+    "SELECT * FROM own JOIN global_temp.others ON TRUE", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+    "SELECT * FROM IDENTIFIER('oth' || 'ers')", "SELECT * FROM (WITH others AS (SELECT 1 x) SELECT * FROM others) y JOIN others z",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 x) SELECT * FROM a", "SELECT * FROM own, LATERAL (SELECT * FROM others)",
+    "SELECT x FROM own WHERE x IN (SELECT x FROM others)", "SELECT * FROM range(5)", "SELECT IDENTIFIER('ab' || 's')(x) FROM own",
+    "SELECT x, RANK() OVER (ORDER BY (SELECT MAX(x) FROM others)) FROM own", "SELECT TRANSFORM(x) USING 'cat' FROM own",
+    "WITH others AS (SELECT * FROM others) SELECT * FROM others", "SELECT not_built_in(x) FROM own", "SELECT default.abs(x) FROM own"])
 def test_only_given_tables(spark, text):
     spark.range(3).toDF("x").createOrReplaceTempView("others")
     own = spark.range(2).toDF("x")
@@ -113,6 +118,19 @@ def test_only_given_tables(spark, text):
     assert outcome.error and outcome.columns == [] and outcome.row_count() == 0
 
 
+@pytest.mark.parametrize("text,count", [
+    ("WITH RECURSIVE a AS (SELECT 1 x UNION ALL SELECT x + 1 FROM a WHERE x < 3) SELECT * FROM a", 3),
+    ("with a as (select x from own), b as (select x from A) select * from b where x in (select max(x) from a)", 1),
+    ("SELECT * FROM own TABLESAMPLE (100 PERCENT) t LATERAL VIEW explode(array(1, 2)) v AS y", 4),
+    ("SELECT SUM(x) OVER w FROM own WINDOW w AS (PARTITION BY x) ORDER BY 1 LIMIT 1", 1),
+    ("SELECT x, COUNT(*) c FROM own GROUP BY GROUPING SETS ((x), ()) HAVING COUNT(*) > 1", 1),
+    ("SELECT * FROM own, LATERAL (SELECT own.x + 1) z UNION SELECT 7, LENGTH(CAST(CURRENT_DATE AS STRING))", 3),
+    ("SELECT * FROM (SELECT x, 'a' AS k FROM own) PIVOT (SUM(x) FOR k IN ('a', 'b'))", 1),
+    ("SELECT t.x FROM VALUES (0), (5) t(x) EXCEPT SELECT x FROM OWN", 1)])
+def test_queries_that_are_let_through(spark, text, count):
+    assert adhoc.run_sql(spark, text, {"own": spark.range(2).toDF("x")}).count() == count
+
+
 def test_views_of_the_session_stay(spark):
     spark.range(3).createOrReplaceTempView("own")
     tables = {"own": spark.range(1)}
@@ -123,6 +141,11 @@ def test_views_of_the_session_stay(spark):
     assert (outcome.columns, outcome.row_count(), outcome.error) == (["id", "next"], 1, None)
     assert outcome.rows().first()["row"] == '{"id":0,"next":1}'
     assert adhoc.execute_sql(spark, "SELECT nothing FROM own", tables).error
+    assert rows_of(outcome.table(spark)) == [('{"id":0,"next":1}', "id,next", 1, None)]
+    empty = adhoc.execute_sql(spark, "SELECT id FROM own WHERE id > 5", tables)
+    assert rows_of(empty.table(spark)) == [(None, "id", 0, None)]
+    refused = adhoc.execute_sql(spark, "DROP TABLE own", tables).table(spark)
+    assert [(r[0], r[2]) for r in rows_of(refused)] == [(None, 0)] and rows_of(refused)[0][3]
 
 
 def test_lookups(spark):
