@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.checks import dimensions, ordered_range, positive, sensitivity_threshold
 from ledgerloom.fixed_values import MIN_DRIFT_DAYS, MIN_POINT_DAYS
-from ledgerloom.functions import robust
+from ledgerloom.functions import robust, rolling
 from ledgerloom.functions.dates import date_range, utc_today
 from ledgerloom.functions.labels import group_label, group_value
 from ledgerloom.model import SUMMARY_MEASURE
 from ledgerloom.operators.filters import from_source, in_range
 from ledgerloom.operators.totals import daily_costs
 
+#: Days from which a scan keeps order statistics from one window to the next.
+LONG_WINDOW = 45
+
 _FINDING = (
     "usage_date",
     "current_cost",
@@ -47,15 +51,10 @@ def score_windows(
     up to two rows, its other columns kept.
     """
     kept = [c for c in windows.columns if c != "points"]
-    threshold = sensitivity_threshold(sensitivity)
-    least = f"{float(min_daily_cost)!r}D"
-    drift = (
-        f"CASE WHEN size(costs) >= {MIN_DRIFT_DAYS} AND median_cost > {least} "
-        f"THEN {robust.theil_sen('costs')} * size(costs) / median_cost END"
-    )
-    judged = (
+    measured = (
         windows.filter(
-            f"size(points) >= {MIN_POINT_DAYS} AND element_at(points, -1).cost >= {least}"
+            f"size(points) >= {MIN_POINT_DAYS} "
+            f"AND element_at(points, -1).cost >= {float(min_daily_cost)!r}D"
         )
         .selectExpr(
             *kept,
@@ -66,11 +65,40 @@ def score_windows(
         )
         .selectExpr("*", f"{robust.median_of('baseline')} AS median_cost")
         .selectExpr("*", f"{robust.mad_of('baseline', 'median_cost')} AS mad")
-        .selectExpr(
-            "*",
-            f"{robust.robust_z('current_cost', 'median_cost', 'mad', min_daily_cost)} AS z",
-            f"{drift} AS drift",
-        )
+    )
+    return _judged(
+        measured,
+        kept,
+        "size(costs)",
+        robust.theil_sen("costs"),
+        sensitivity,
+        min_daily_cost,
+        drift_threshold,
+    )
+
+
+def _judged(
+    measured: DataFrame,
+    kept: list[str],
+    points: str,
+    slope: str,
+    sensitivity: str = "medium",
+    min_daily_cost: float = 1.0,
+    drift_threshold: float = 0.20,
+) -> DataFrame:
+    """Findings of windows with their last point, median and deviation.
+
+    ``points`` and ``slope`` are expressions; the slope is evaluated only where a drift can be found.
+    """
+    threshold = sensitivity_threshold(sensitivity)
+    drift = (
+        f"CASE WHEN {points} >= {MIN_DRIFT_DAYS} AND median_cost > {float(min_daily_cost)!r}D "
+        f"THEN {slope} * {points} / median_cost END"
+    )
+    judged = measured.selectExpr(
+        "*",
+        f"{robust.robust_z('current_cost', 'median_cost', 'mad', min_daily_cost)} AS z",
+        f"{drift} AS drift",
     )
     point = (
         f"CASE WHEN abs(z) >= {threshold}D THEN struct(z AS z_score, "
@@ -171,6 +199,49 @@ def sliding_windows(
     )
 
 
+def rolling_windows(
+    summary: DataFrame,
+    scan_start: date,
+    scan_end: date,
+    *,
+    days: int = 14,
+    group_by: str | Iterable[str] = "product_code",
+    data_source: str | None = None,
+    measure: str = SUMMARY_MEASURE,
+) -> DataFrame:
+    """The windows of `sliding_windows` that can be judged, with their order statistics instead of points.
+
+    (keys…, ref_date, usage_date, current_cost, points, median_cost, mad, slope). Groups are sorted by day once and
+    streamed through tasks; a step of the window costs the number of its points, not of their pairs.
+    """
+    ordered_range(scan_start, scan_end, "scan")
+    keys = dimensions(group_by)
+    positive(days, "days")
+    rows = from_source(
+        in_range(summary, scan_start - timedelta(days=days), scan_end), data_source
+    )
+    daily = daily_costs(rows, keys, measure).select(
+        *keys, F.unix_date("usage_date").alias("day"), F.col("cost").cast("double").alias("cost")
+    )
+    ordered = daily.repartition(*keys).sortWithinPartitions(*keys, "day")
+    measures = ("current_cost double", "points int", "median_cost double", "mad double", "slope double")
+    found = T.StructType.fromDDL(", ".join(("ref_day int", "last_day int", *measures)))
+    schema = T.StructType([*(daily.schema[k] for k in keys), *found])
+    arrow = to_arrow_schema(schema)
+    first, last = ((d - date(1970, 1, 1)).days for d in (scan_start, scan_end))
+    count = len(keys)
+
+    def scanned(batches):
+        return rolling.scan_batches(batches, count, first, last, days, MIN_POINT_DAYS, arrow)
+
+    return ordered.mapInArrow(scanned, schema).select(
+        *keys,
+        F.date_from_unix_date("ref_day").alias("ref_date"),
+        F.date_from_unix_date("last_day").alias("usage_date"),
+        *found.names[2:],
+    )
+
+
 def scan_anomalies(
     summary: DataFrame,
     scan_start: date,
@@ -187,18 +258,20 @@ def scan_anomalies(
     A streak is a run of consecutive scan days on which a group shows the same
     kind of anomaly; its finding of greatest absolute score is kept, the earliest
     on a tie. Streaks are found inside the partitioning by group.
+
+    The slope takes all pairs of a window's points. From ``LONG_WINDOW`` days on, windows are therefore
+    slid by `rolling_windows`, which gives the same findings.
     """
     keys = dimensions(group_by)
-    windows = sliding_windows(
-        summary,
-        scan_start,
-        scan_end,
-        days=days,
-        group_by=keys,
-        data_source=data_source,
-        measure=measure,
-    )
-    findings = score_windows(windows, **scoring)
+    place = dict(days=days, group_by=keys, data_source=data_source, measure=measure)
+    if days < LONG_WINDOW:
+        windows = sliding_windows(summary, scan_start, scan_end, **place)
+        findings = score_windows(windows, **scoring)
+    else:
+        least = float(scoring.get("min_daily_cost", 1.0))
+        windows = rolling_windows(summary, scan_start, scan_end, **place)
+        windows = windows.filter(F.col("current_cost") >= least)
+        findings = _judged(windows, [*keys, "ref_date"], "points", "slope", **scoring)
     return _report(merge_streaks(findings, keys), keys)
 
 

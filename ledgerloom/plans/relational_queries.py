@@ -451,6 +451,13 @@ def win_streak_dedup(spark, sf):
     return composites.scanned(spark, sf, "region")
 
 
+@query(anomalies_sql("product_code", *composites.SCAN, 60, streaks=True))
+def scan_long_windows(spark, sf):
+    """Windows of sixty days, whose order statistics roll from day to day."""
+    rows = _summary(spark, sf, "product_code")
+    return anomalies.scan_anomalies(rows, *WHOLE, days=60)
+
+
 # Orderings and top-n
 
 

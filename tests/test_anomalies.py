@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from conftest import days, rows_of
+from ledgerloom.functions import rolling
 from ledgerloom.operators import anomalies as ops
 
 START, REF = date(2025, 1, 1), date(2025, 1, 15)
@@ -201,6 +202,41 @@ def test_scan_against_a_day_loop(make_summary, seed):
     assert len(expected) > 20
 
 
+def test_rolling_window_against_all_pairs():
+    """Gaps, ties, repeated costs; every measure equal to the last bit."""
+    rng = random.Random(3)
+    for days in (2, 7, 40):
+        series = sorted({(n, rng.choice([0.1, 5.0, 5.0, rng.uniform(-9, 90)])) for n in rng.sample(range(150), 90)})
+        series = list(dict(series).items())
+        seen = {}
+        for ref, day, cost, points, *measures in rolling.scan(series, 10, 160, days, 3):
+            held = [(d, c) for d, c in series if ref - days <= d <= ref]
+            costs = np.array([c for _, c in held])
+            assert (day, cost, points) == (*held[-1], len(held))
+            median = np.median(costs[:-1])
+            j, i = np.triu_indices(len(costs), k=1)
+            slope = np.median((costs[i] - costs[j]) / (i - j))
+            assert measures == [median, np.median(np.abs(costs[:-1] - median)), slope]
+            seen[ref] = True
+        assert set(seen) == {r for r in range(10, 161) if sum(r - days <= d <= r for d, _ in series) >= 3}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rolling_scan_is_the_scan_by_arrays(make_summary, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(START + timedelta(n), "1", p, None if p == "b" else "r", round(rng.uniform(0.5, 200)) / 4)
+            for p in "abc" for n in range(70) if rng.random() < 0.8]
+    summary = make_summary(rows)
+    span = (START + timedelta(5), START + timedelta(120))
+    for by in ("product_code", ["region", "product_code"]):
+        monkeypatch.setattr(ops, "LONG_WINDOW", 1000)
+        expected = rows_of(ops.scan_anomalies(summary, *span, days=20, group_by=by, sensitivity="high"))
+        monkeypatch.setattr(ops, "LONG_WINDOW", 1)
+        got = rows_of(ops.scan_anomalies(summary, *span, days=20, group_by=by, sensitivity="high"))
+        assert got == expected and got
+    assert rows_of(ops.scan_anomalies(summary.limit(0), *span)) == []
+
+
 def test_detection_is_the_scan_of_one_day(thirty_days):
     day = date(2025, 1, 15)
     assert rows_of(ops.detect_anomalies(thirty_days, reference_date=day)) == rows_of(
