@@ -18,13 +18,14 @@ from ledgerloom.operators import (
     drilldown,
     filters,
     ingestion,
+    medians,
     totals,
     trends,
 )
 from ledgerloom.plans import composites, samples
 from ledgerloom.plans.composites import two_sided_sql
 from ledgerloom.plans.model_sql import anomalies_sql, median_of, rounded
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import query, stored
 from ledgerloom.plans.samples import ACCOUNT, PERIOD_A, PERIOD_B, REFERENCE, SERVICE, WHOLE
 from ledgerloom.sources import sample_tables as tables
 
@@ -293,6 +294,17 @@ def agg_median(spark, sf):
     return _monthly(spark, sf).select("product_code", "month", F.col("exact").alias("median_cost"))
 
 
+@query(
+    """SELECT product_code, COUNT(net_unblended_cost) AS n, median(net_unblended_cost) AS median_cost
+FROM line_items WHERE net_unblended_cost IS NOT NULL GROUP BY product_code"""
+)
+def agg_median_line_items(spark, sf):
+    """Exact median over line items, of which a group is never gathered."""
+    rows = tables.line_items(spark, sf, ["product_code", "net_unblended_cost"])
+    found = medians.exact_medians(rows, ["product_code"], "net_unblended_cost", stored)
+    return found.withColumnRenamed("median", "median_cost")
+
+
 @query(
     f"""WITH {_MONTHLY},
 centred AS (SELECT *, {median_of("costs")} AS median_cost FROM monthly),
