@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ledgerloom.checks import month_period
 from ledgerloom.functions.dates import instant, instants_between, islands, period_start
 from ledgerloom.operators.summary import summarize_line_items
 from ledgerloom.sources import tables
-from ledgerloom.sources.billing_files import broken_files, judge_exports, scan_exports
+from ledgerloom.sources.billing_files import (
+    Group,
+    count_readable,
+    examine_exports,
+    group_by_types,
+    list_files,
+    read_footers,
+    scan_exports,
+)
 from ledgerloom.sources.manifests import (
     latest_manifests,
     parse_manifests,
@@ -91,6 +100,58 @@ def log_entries(
     )
 
 
+def judge_exports(
+    spark: SparkSession, keys: DataFrame, root: str
+) -> tuple[list[Group], list[Row]]:
+    """Groups of files, and a verdict on each file. Only files that tasks could not judge have their footer opened by the driver.
+
+    ``keys`` holds the files that are to be loaded now; a scan needs their paths on the driver, as Spark's own listing does.
+    """
+    names = [row["s3_key"] for row in keys.select("s3_key").distinct().collect()]
+    there = {
+        row["s3_key"]
+        for row in keys.join(list_files(spark, root).select(F.col("key").alias("s3_key")), "s3_key", "left_semi").collect()
+    }
+    groups = group_by_types(spark, [f"{root}/{name}" for name in sorted(names) if name in there])
+    verdicts = {row["s3_key"]: row for row in examine_exports(spark, keys, root, groups).collect()}
+    unclear = [name for name, row in verdicts.items() if row["error"] is None and row["generation"] is None]
+    footers = read_footers(spark, [f"{root}/{name}" for name in unclear])
+    part_of = {path: part for part, group in enumerate(groups) for path in group.paths}
+    for name in unclear:
+        footer, path = footers[f"{root}/{name}"], f"{root}/{name}"
+        verdicts[name] = Row(
+            s3_key=name, part=part_of.get(path), generation=footer.generation, rows=verdicts[name]["rows"] or 0, error=footer.error
+        )
+    return groups, [verdicts[name] for name in sorted(verdicts)]
+
+
+def broken_files(spark: SparkSession, groups: Sequence[Group], verdicts: Iterable[Row], root: str) -> list[Row]:
+    """The accepted files of which some column cannot be read to the end, with ``error``. Reads every mapped column."""
+    expected = {row["s3_key"]: row for row in verdicts if row["error"] is None}
+    broken = []
+    for part, group in enumerate(groups):
+        own = [f"{root}/{name}" for name, row in expected.items() if row["part"] == part]
+        if not own or not group.schema.names:
+            continue
+        got = {row["s3_key"]: row["read"] for row in count_readable(spark, group, own, root).collect()}
+        for path in own:
+            name = path.removeprefix(f"{root}/")
+            row = expected[name]
+            if got.get(name, 0) < row["rows"]:
+                error = f"only {got.get(name, 0)} of {row['rows']} rows can be read"
+                broken.append(Row(**{**row.asDict(), "error": error}))
+    return broken
+
+
+def read_exports(spark: SparkSession, keys: DataFrame, root: str) -> DataFrame:
+    """Line items of the given files (s3_key); raises if any of them is unusable."""
+    groups, verdicts = judge_exports(spark, keys, root)
+    for row in verdicts:
+        if row["error"]:
+            raise ValueError(f"cannot load {row['s3_key']}: {row['error']}")
+    return scan_exports(spark, groups, verdicts, root)
+
+
 @dataclass
 class IngestReport:
     """Outcome of one ingestion run."""

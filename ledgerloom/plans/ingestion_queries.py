@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from ledgerloom.checks import month_period
 from ledgerloom.functions.dates import billing_period, period_start, to_day
@@ -51,7 +52,7 @@ def cur_scan(spark, sf):
     for generation, export in samples.exports(spark, sf).items():
         export.write.parquet(f"{root}/{generation}")
     keys = billing_files.list_files(spark, root).filter(F.col("key").endswith(".parquet"))
-    rows = billing_files.read_exports(spark, keys.withColumnRenamed("key", "s3_key"), root)
+    rows = ingestion.read_exports(spark, keys.withColumnRenamed("key", "s3_key"), root)
     return rows.groupBy(
         F.split_part("_source_file", F.lit("/"), F.lit(1)).alias("source_folder"),
         "billing_period_start",
@@ -348,6 +349,19 @@ def ingest_error_isolation(spark, sf):
 _UNREADABLE, _LACKING = "19990501-19990601", "19990601-19990701"
 
 
+def write_manifests(spark: SparkSession, root: str, assembly: str, names: list[str]) -> None:
+    """One manifest per billing period that lists its files below the folders ``names``; the calendar bounds their number."""
+    keys = billing_files.list_files(spark, root).select(
+        "key",
+        F.regexp_extract("key", r"/period=([^/]+)/[^/]+[.]parquet$", 1).alias("period"),
+        F.split_part("key", F.lit("/"), F.lit(1)).alias("name"),
+    )
+    by_period = keys.filter((F.col("period") != "") & F.col("name").isin(names)).groupBy("period")
+    for row in by_period.agg(F.sort_array(F.collect_list("key")).alias("keys")).collect():
+        content = json.dumps({"assemblyId": assembly, "compression": "Parquet", "reportKeys": row["keys"]})
+        samples.write_text(spark, f"{root}/{row['period']}/{assembly}-Manifest.json", content)
+
+
 @query(
     f"""WITH stored AS (
   SELECT *, year(usage_start_date) = 2000 AS restated,
@@ -383,12 +397,12 @@ def ingest_exports(spark, sf):
     unreadable = F.col("key").startswith(f"refunds/period={_UNREADABLE}/") & F.col("key").endswith(".parquet")
     for row in billing_files.list_files(spark, root).filter(unreadable).collect():
         samples.write_text(spark, f"{root}/{row['key']}", "no Parquet")
-    samples.write_manifests(spark, root, "first", ["usage", "refunds", "lacking"])
+    write_manifests(spark, root, "first", ["usage", "refunds", "lacking"])
     ingestion.ingest_exports(spark, root, store)
     year = F.year("usage_start_date") == 2000
     twice = rows.filter(~refund & year).withColumn("unblended_cost", F.col("unblended_cost") * 2)
     samples.write_export(twice, "v2", root, "restated")
-    samples.write_manifests(spark, root, "second", ["restated"])
+    write_manifests(spark, root, "second", ["restated"])
     ingestion.ingest_exports(spark, root, store)
 
     cost = F.sum("unblended_cost").alias("cost")

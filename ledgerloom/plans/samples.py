@@ -3,7 +3,6 @@ manifests and API pages derived from them."""
 
 from __future__ import annotations
 
-import json
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +11,7 @@ from ledgerloom.fixed_values import EXPORT_COLUMNS
 from ledgerloom.functions.dates import billing_period, to_day
 from ledgerloom.sources import sample_tables
 from ledgerloom.sources.api_pages import API_PAGE
-from ledgerloom.sources.billing_files import column_map, list_files
+from ledgerloom.sources.billing_files import column_map
 
 # Two periods that cover every line item, and ranges that cover every cost.
 PERIOD_A = (date(1995, 1, 1), date(1998, 6, 30))
@@ -173,16 +172,3 @@ def write_export(rows: DataFrame, generation: str, root: str, name: str, lacking
     period = billing_period(to_day(F.col(f"`{column_map(generation)['usage_start_date']}`")))
     dealt = export.withColumn("period", period).hint("rebalance", "period")
     dealt.write.partitionBy("period").parquet(f"{root}/{name}")
-
-
-def write_manifests(spark: SparkSession, root: str, assembly: str, names: list[str]) -> None:
-    """One manifest per billing period that lists its files below the folders ``names``; the calendar bounds their number."""
-    keys = list_files(spark, root).select(
-        "key",
-        F.regexp_extract("key", r"/period=([^/]+)/[^/]+[.]parquet$", 1).alias("period"),
-        F.split_part("key", F.lit("/"), F.lit(1)).alias("name"),
-    )
-    by_period = keys.filter((F.col("period") != "") & F.col("name").isin(names)).groupBy("period")
-    for row in by_period.agg(F.sort_array(F.collect_list("key")).alias("keys")).collect():
-        content = json.dumps({"assemblyId": assembly, "compression": "Parquet", "reportKeys": row["keys"]})
-        write_text(spark, f"{root}/{row['period']}/{assembly}-Manifest.json", content)

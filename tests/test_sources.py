@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from ledgerloom.model import LINE_ITEMS
+from ledgerloom.operators import ingestion
 from ledgerloom.sources import api_pages, billing_files, manifests
 
 V2_STRINGS = """identity_line_item_id line_item_usage_start_date line_item_usage_end_date
@@ -113,14 +114,14 @@ def test_scan_of_mixed_files(spark, tmp_path):
     v2_export(spark).coalesce(1).write.parquet(f"{root}/new")
     v1_export(spark).coalesce(1).write.parquet(f"{root}/old")
     keys = [r["key"] for r in billing_files.list_files(spark, root).collect() if r["key"].endswith(".parquet")]
-    got = billing_files.read_exports(spark, keyed(spark, *keys), root)
+    got = ingestion.read_exports(spark, keyed(spark, *keys), root)
     assert got.count() == 8
     assert {r[0] for r in got.select("_source_file").collect()} == set(keys)
     (tmp_path / "bad.parquet").write_bytes(b"not parquet")
     with pytest.raises(ValueError, match="bad.parquet"):
-        billing_files.read_exports(spark, keyed(spark, *keys, "bad.parquet"), root)
+        ingestion.read_exports(spark, keyed(spark, *keys, "bad.parquet"), root)
     with pytest.raises(ValueError, match="does not exist"):
-        billing_files.read_exports(spark, keyed(spark, "absent.parquet"), root)
+        ingestion.read_exports(spark, keyed(spark, "absent.parquet"), root)
 
 
 def test_tasks_judge_files(spark, tmp_path):
@@ -143,7 +144,7 @@ def test_tasks_judge_files(spark, tmp_path):
         pq.write_table(pa.table(columns), f"{root}/{name}")
     (tmp_path / "rubbish").write_bytes(b"rubbish" * 100)
     opened = []
-    groups, verdicts = billing_files.judge_exports(spark, keyed(spark, *files, "rubbish", "absent"), root)
+    groups, verdicts = ingestion.judge_exports(spark, keyed(spark, *files, "rubbish", "absent"), root)
     by_name = {row["s3_key"]: row for row in verdicts}
     errors = {name: row["error"] for name, row in by_name.items() if row["error"]}
     assert errors.keys() == {"no_cost", "rubbish", "absent"}
@@ -157,7 +158,7 @@ def test_tasks_judge_files(spark, tmp_path):
     read = billing_files.read_footers
     try:
         billing_files.read_footers = lambda spark, paths: opened.extend(paths) or read(spark, paths)
-        billing_files.judge_exports(spark, keyed(spark, *files, "rubbish", "absent"), root)
+        ingestion.judge_exports(spark, keyed(spark, *files, "rubbish", "absent"), root)
     finally:
         billing_files.read_footers = read
     assert {path.rsplit("/", 1)[1] for path in opened} == {"no_cost", "null_cost", "empty", "rubbish"}
