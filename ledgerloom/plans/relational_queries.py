@@ -17,6 +17,7 @@ from ledgerloom.operators import (
     comparison,
     drilldown,
     filters,
+    heavy_groups,
     ingestion,
     medians,
     totals,
@@ -500,6 +501,20 @@ def topn_breakdown(spark, sf):
     return broken_down.filter("dimension <> 'total'").select("dimension", "rank", "key", "cost")
 
 
+@query(
+    """SELECT product_code, rank, resource_id, total_cost FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_code ORDER BY total_cost DESC, resource_id) AS rank FROM (
+    SELECT product_code, resource_id, SUM(net_unblended_cost) AS total_cost
+    FROM line_items WHERE resource_id <> '' GROUP BY 1, 2))
+WHERE rank <= 10"""
+)
+def topn_resources(spark, sf):
+    """The ten costliest resources of every service; resources whose bucket cannot hold one are not added up."""
+    rows = tables.line_items(spark, sf, ["product_code", "resource_id", "net_unblended_cost"])
+    named = filters.with_resource(rows)
+    return heavy_groups.heaviest_keys(named, ["product_code"], "resource_id", 10, "net_unblended_cost", stored)
+
+
 _SIDE = """SELECT product_code AS service, resource_id AS k, SUM(net_unblended_cost) AS cost
   FROM line_items WHERE usage_date"""
 _RESOURCE_CHANGES = f"""changes AS (
