@@ -11,9 +11,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ledgerloom.checks import month_period
-from ledgerloom.functions.dates import instant, instants_between, islands, period_start
+from ledgerloom.functions.dates import instant, islands, period_start
 from ledgerloom.operators.summary import summarize_line_items
-from ledgerloom.sources import tables
+from ledgerloom.sources import day_index, tables
 from ledgerloom.sources.billing_files import (
     Group,
     count_readable,
@@ -91,6 +91,11 @@ def log_entries(
     counts = line_items.groupBy(F.col("_source_file").alias("s3_key")).agg(
         F.count("*").alias("rows_loaded")
     )
+    return counted_entries(counts, files, ingested_at)
+
+
+def counted_entries(counts: DataFrame, files: DataFrame, ingested_at: datetime | None = None) -> DataFrame:
+    """Log rows of ``files`` with the row counts of ``counts`` (s3_key, rows_loaded), 0 for files that are not there."""
     return files.join(counts, "s3_key", "left").select(
         "assembly_id",
         "billing_period",
@@ -245,15 +250,16 @@ def _load(spark, root, table_root, log, todo, clear, groups, verdicts, report: I
         stale = held.filter("stale")
         gone, come = _touched_days(stale), _touched_days(rows)
         tables.note_pending(spark, table_root, gone | come)
-        counts = log_entries(rows, listed)
         starts = [row[0] for row in stale.select("billing_period_start").distinct().collect()]
         tables.replace_line_items(spark, table_root, rows, held.filter("NOT stale").drop("stale"), starts)
         tables.drop_partitions(spark, f"{table_root}/{tables.LOG_TABLE}", "billing_period", replaced)
+        day_index.index_line_items(spark, table_root)
         touched |= gone | come
     if touched:
         _summarize_days(spark, table_root, touched)
     if files:
-        tables.append_log(counts, table_root)
+        # The index has counted what is stored: the exports are not read again.
+        tables.append_log(counted_entries(day_index.stored_counts(spark, table_root), listed), table_root)
         logged = tables.read_log(spark, table_root).join(listed, listed.columns, "left_semi")
         report.rows_loaded = logged.agg(F.sum("rows_loaded")).first()[0]
 
@@ -267,14 +273,11 @@ def _touched_days(line_items: DataFrame) -> set[date | None]:
 def _summarize_days(spark: SparkSession, table_root: str, days: set[date | None]) -> None:
     """Bring the summary of the given days up to date.
 
-    What a day has now is added up anew from its line items. Taking the old sums off again would leave
+    What a day has now is added up anew from its line items; files without a line item of these days are not opened. Taking the old sums off again would leave
     rounding errors behind, and no sum tells whether a cost was NULL.
     """
-    start = F.col("usage_start_date")
-    wanted = start.isNull() if None in days else F.lit(False)
-    for first, last in islands(day for day in days if day is not None):
-        wanted = wanted | instants_between("usage_start_date", first, last)
-    rows = tables.read_line_items(spark, table_root).filter(wanted)
+    ranges = islands(day for day in days if day is not None)
+    rows = day_index.read_line_items_of(spark, table_root, ranges, undated=None in days)
     tables.write_rebuilt_days(summarize_line_items(rows), table_root, days)
 
 

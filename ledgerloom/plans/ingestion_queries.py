@@ -15,7 +15,7 @@ from ledgerloom.operators import ingestion
 from ledgerloom.operators import summary as summary_ops
 from ledgerloom.plans import samples
 from ledgerloom.plans.registry import query, scratch
-from ledgerloom.sources import billing_files, manifests
+from ledgerloom.sources import billing_files, day_index, manifests
 from ledgerloom.sources import sample_tables as tables
 from ledgerloom.sources import tables as storage
 from ledgerloom.sources.api_pages import api_costs, drop_zero_costs
@@ -238,6 +238,20 @@ def lineitem_append(spark, sf):
     return _per_period(storage.read_line_items(spark, root))
 
 
+@query(
+    """SELECT product_code, COUNT(*) AS line_items, SUM(net_unblended_cost) AS cost FROM line_items
+WHERE CAST(usage_start_date AS DATE) BETWEEN DATE '1997-03-10' AND DATE '1997-05-05' GROUP BY 1"""
+)
+def stored_day_range(spark, sf):
+    """Eight weeks of stored line items, for which files of other days are not opened."""
+    root = scratch(spark)
+    for generation, export in samples.exports(spark, sf).items():
+        storage.append_line_items(billing_files.normalize_export(export, generation), root)
+    day_index.index_line_items(spark, root)
+    rows = day_index.read_line_items_of(spark, root, [(date(1997, 3, 10), date(1997, 5, 5))])
+    return rows.groupBy("product_code").agg(F.count("*").alias("line_items"), F.sum("net_unblended_cost").alias("cost"))
+
+
 def _log(spark, sf):
     files = samples.export_files(spark, sf).withColumns(
         {"rows_loaded": F.col("rows"), "ingested_at": F.col("last_usage")}

@@ -55,18 +55,19 @@ def drop_partitions(spark: SparkSession, table: str, column: str, values: Iterab
         files.delete(where, True)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of the given columns, empty where it has not been written yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return conform(spark.read.schema(schema).parquet(path), schema)
 
 
 def read_line_items(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/{LINE_ITEM_TABLE}", LINE_ITEMS)
+    return read_table(spark, f"{root}/{LINE_ITEM_TABLE}", LINE_ITEMS)
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/{LOG_TABLE}", INGESTION_LOG)
+    return read_table(spark, f"{root}/{LOG_TABLE}", INGESTION_LOG)
 
 
 def append_line_items(line_items: DataFrame, root: str, name: str = LINE_ITEM_TABLE) -> None:
@@ -306,7 +307,7 @@ def write_rejects(spark: SparkSession, root: str, rejected: list[tuple[str, str,
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/{REJECT_TABLE}", REJECTS)
+    return read_table(spark, f"{root}/{REJECT_TABLE}", REJECTS)
 
 
 def note_pending(spark: SparkSession, root: str, days: Iterable[date | None]) -> None:
@@ -317,7 +318,7 @@ def note_pending(spark: SparkSession, root: str, days: Iterable[date | None]) ->
 
 def read_pending(spark: SparkSession, root: str) -> list[date]:
     """Days noted by runs that broke off."""
-    return [row["day"] for row in _read(spark, f"{root}/{PENDING_TABLE}", PENDING).distinct().collect()]
+    return [row["day"] for row in read_table(spark, f"{root}/{PENDING_TABLE}", PENDING).distinct().collect()]
 
 
 def clear_pending(spark: SparkSession, root: str) -> None:
