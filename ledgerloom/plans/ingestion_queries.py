@@ -15,7 +15,7 @@ from ledgerloom.operators import ingestion
 from ledgerloom.operators import summary as summary_ops
 from ledgerloom.plans import samples
 from ledgerloom.plans.registry import query, scratch
-from ledgerloom.sources import billing_files, day_index, manifests
+from ledgerloom.sources import billing_files, day_index, distinct_sketches, manifests
 from ledgerloom.sources import sample_tables as tables
 from ledgerloom.sources import tables as storage
 from ledgerloom.sources.api_pages import api_costs, drop_zero_costs
@@ -473,6 +473,31 @@ def summary_upsert_range(spark, sf):
     )
 
 
+@query(
+    """SELECT column_name, CAST(n AS BIGINT) AS n, true AS within FROM (
+  SELECT COUNT(DISTINCT usage_account_id) AS usage_account_id, COUNT(DISTINCT product_code) AS product_code,
+         COUNT(DISTINCT region) AS region FROM export_summary
+  WHERE usage_date BETWEEN DATE '1996-02-10' AND DATE '1997-11-20')
+UNPIVOT (n FOR column_name IN (usage_account_id, product_code, region))"""
+)
+def agg_sketched_distinct(spark, sf):
+    """Exact distinct counts of a range of a stored summary, and whether the merged sketches of its days come near."""
+    root, first, last = scratch(spark), date(1996, 2, 10), date(1997, 11, 20)
+    storage.write_rebuilt_summary(summary_ops.summarize_line_items(tables.line_items(spark, sf)), root)
+    distinct_sketches.store_sketches(spark, root)
+    names = distinct_sketches.COUNTED
+    exact = storage.read_summary(spark, root, first, last).agg(*[F.countDistinct(c).alias(names[c]) for c in names])
+    counts = exact.withColumn("exact", F.lit(True)).unionByName(
+        distinct_sketches.distinct_counts(spark, root, first, last).withColumn("exact", F.lit(False))
+    )
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(names[c]).alias("count")) for c in names]
+    n = F.max(F.when(F.col("exact"), F.col("count")))
+    off = F.abs(n - F.max(F.when(~F.col("exact"), F.col("count"))))
+    return counts.select("exact", F.inline(F.array(*cells))).groupBy("column_name").agg(
+        n.alias("n"), (off <= distinct_sketches.ERROR * n).alias("within")
+    )
+
+
 @query(
     """SELECT product_code, 'cur' AS data_source, SUM(total_unblended_cost) AS unblended,
        CAST(0.0 AS DOUBLE) AS net, COUNT(*) AS rows

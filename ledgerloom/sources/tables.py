@@ -48,6 +48,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def finished_runs(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the folders of a table below ``folder`` whose write has ended well."""
+    files, pattern = _path(spark, f"{folder}/*/_SUCCESS")
+    return sorted(status.getPath().getParent().toString() for status in files.globStatus(pattern) or [])
+
+
 def drop_partitions(spark: SparkSession, table: str, column: str, values: Iterable) -> None:
     """Remove whole partitions of a table; partitions that do not exist are skipped."""
     for value in values:
@@ -205,6 +211,21 @@ def _replace(
     _publish(spark, root, (numbers[0] if numbers else 0) + 1, after)
 
 
+def months_of(
+    months: dict[Month, str], start: date | None = None, end: date | None = None, data_source: str | None = None
+) -> dict[Month, str]:
+    """Those months of a commit that may hold days of a range and rows of a source."""
+
+    def wanted(month: Month) -> bool:
+        if data_source and month[0] != data_source:
+            return False
+        if not (start or end):
+            return True
+        return month[1] != _NO_MONTH and _spelled(start or date.min) <= month[1] <= _spelled(end or date.max)
+
+    return {month: version for month, version in months.items() if wanted(month)}
+
+
 def read_summary(
     spark: SparkSession,
     root: str,
@@ -216,16 +237,7 @@ def read_summary(
 
     A range of days or a source is looked up in the commit, so the folders of other months are not even listed.
     """
-    _, months = summary_commit(spark, root)
-
-    def wanted(month: Month) -> bool:
-        if data_source and month[0] != data_source:
-            return False
-        if not (start or end):
-            return True
-        return month[1] != _NO_MONTH and _spelled(start or date.min) <= month[1] <= _spelled(end or date.max)
-
-    rows = _read_months(spark, root, {month: version for month, version in months.items() if wanted(month)})
+    rows = _read_months(spark, root, months_of(summary_commit(spark, root)[1], start, end, data_source))
     return rows.filter(days_between("usage_date", start or date.min, end or date.max)) if start or end else rows
 
 
@@ -237,12 +249,16 @@ def read_summary_as_of(spark: SparkSession, root: str, number: int) -> DataFrame
     return _read_months(spark, root, months)
 
 
-def _read_months(spark: SparkSession, root: str, months: dict[Month, str]) -> DataFrame:
+def stored_months(spark: SparkSession, root: str, months: dict[Month, str]) -> DataFrame:
+    """Rows of the given versions of months (at least one), with ``usage_month`` and ``version``."""
     paths = [_month_path(root, month, version) for month, version in sorted(months.items())]
-    if not paths:
+    return spark.read.schema(_STORED).option("basePath", f"{root}/{SUMMARY_TABLE}").parquet(*paths)
+
+
+def _read_months(spark: SparkSession, root: str, months: dict[Month, str]) -> DataFrame:
+    if not months:
         return spark.createDataFrame([], DAILY_SUMMARY)
-    stored = spark.read.schema(_STORED).option("basePath", f"{root}/{SUMMARY_TABLE}").parquet(*paths)
-    return conform(stored, DAILY_SUMMARY)
+    return conform(stored_months(spark, root, months), DAILY_SUMMARY)
 
 
 def write_rebuilt_summary(summary: DataFrame, root: str, data_source: str = EXPORT_SOURCE) -> int:
