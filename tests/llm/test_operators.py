@@ -106,6 +106,33 @@ def test_repeated_starts_against_brute_force():
         assert [x.tolist() for x in suffixes.repeated_starts(strings, weights, length)] == expected
 
 
+def test_only_new_intervals_are_extended():
+    """The expansion starts from the boundaries of exactly ``SEED - 1`` common bytes; all others were extended before."""
+    rng = random.Random(11)
+    for letters in (b"ab", b"\x00\xff", bytes(range(256))):
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 90))) for _ in range(8)]
+        strings += [strings[0][5:] + b"a", strings[1], strings[2][:40]]
+        text, order, first, young, left = suffixes.suffix_order(strings, 60)
+        suffix = [tuple(text[p : p + left[p]].tolist()) for p in order.tolist()]
+        common = [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(suffix, suffix[1:])]
+        assert young.tolist() == [i for i, n in enumerate(common, 1) if n == suffixes.SEED - 1]
+        assert np.flatnonzero(first).tolist() == [0, *(i for i, n in enumerate(common, 1) if n < suffixes.SEED), len(order)]
+
+
+def test_ordered_pairs_of_narrow_and_wide_keys():
+    rng = np.random.default_rng(3)
+    high, low = rng.integers(0, 5, 400), rng.integers(0, 1 << 21, 3)[rng.integers(0, 3, 400)].astype(np.int32)
+    high[:9] = (1 << 21) - 1
+    pairs = sorted(zip(high.tolist(), low.tolist()))
+    for bits in (21, 22, 31):
+        order, new = suffixes.ordered_pairs(high, low, bits)
+        assert list(zip(high[order].tolist(), low[order].tolist())) == pairs
+        assert new.tolist() == [x != y for x, y in zip(pairs, pairs[1:])]
+    high[:9] = (1 << 31) - 2
+    order, _ = suffixes.ordered_pairs(high, low, 31)
+    assert list(zip(high[order].tolist(), low[order].tolist())) == sorted(zip(high.tolist(), low.tolist()))
+
+
 @pytest.mark.parametrize("shard", [substrings.SHARD_BYTES, 2000])
 def test_substrings(docs, none, rows, monkeypatch, shard):
     monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
